@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from quarryline.llm import exact_dedup, language_id, url_filter
+from quarryline.llm import decontamination, exact_dedup, language_id, license_scan, near_dedup, secret_scan, sentencepiece, url_filter
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_language_id": language_id.op3_language_id,
+    "op5_decontamination": decontamination.op5_decontamination,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_license_scan": license_scan.op8_license_scan,
+    "op9_sentencepiece": sentencepiece.op9_sentencepiece,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op6_near_dedup": near_dedup.SQL,
     "op7_url_filter": url_filter.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
