@@ -52,6 +52,18 @@ def learned_from(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3, F.lit(0)) != 1
 
 
+#: Ids that are taken out are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` without the rows whose doc_id is in `gone`; the texts aren't shuffled if the ids are few enough to broadcast."""
+    gone = written(gone.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
 # --- byte-level words ---------------------------------------------------------------------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)

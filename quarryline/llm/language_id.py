@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,17 +117,20 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS, smoothing: float = 0
     return LanguageModel(langs, np.log(table / table.sum(1, keepdims=True)), np.log((rows_of + smoothing) / (rows_of + smoothing).sum()))
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred and score of every row."""
+def guess(model: LanguageModel):
+    """A column function: (lang_pred, score) of a text."""
 
-    def score(batches):
-        import pyarrow as pa
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-        for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+    return lambda text: predicted(F.col(text).cast("string"))
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id, lang_pred and score of every row."""
+    said = docs.select("doc_id", guess(model)("text").alias("guess"))
+    return said.select("doc_id", "guess.lang_pred", "guess.score")
 
 
 def labelled(docs: DataFrame) -> DataFrame:

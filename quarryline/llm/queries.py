@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarryline.llm import decontamination, exact_dedup, language_id, license_scan, near_dedup, secret_scan, sentencepiece, url_filter
+from quarryline.llm import decontamination, exact_dedup, language_id, license_scan, near_dedup, pii_surrogates, secret_scan, sentencepiece, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_language_id": language_id.op3_language_id,
+    "op4_pii_surrogates": pii_surrogates.op4_pii_surrogates,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
