@@ -8,8 +8,10 @@
    all documents, are enough. Passages that very many documents share come last in that order.
 4. Overlaps come from the lists without making all pairs of one: each list sends its members to a leader, links are
    verified, components formed, and only members that are still in another component than the largest of their list
-   go on. What is left at the end is compared with every member of its list that is in another component. Lists that
-   are long even then are made anew from whole sets, where a prefix of the rarest quarter is exact.
+   go on. For documents of the lists that are still open at the end, lists are made anew from whole sets, where the
+   rarest quarter is an exact prefix, and who is left is compared with every member of its list that is in another
+   component, if the places of the first shared value leave room for enough overlap. That last test is exact too, and
+   drops copies that differ too much before they become pairs.
 5. The union of two sketches estimates the Jaccard value; pairs that can't reach the threshold go.
 6. The exact Jaccard value of the whole sets decides.
 
@@ -30,8 +32,6 @@ from quarryline.llm.components import connected
 WIDTH, K = 5, 64
 #: Links have 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Lists of more members than this are made anew from whole sets before their rest is compared.
-LONG_LIST = 40
 #: Ids of documents that are verified are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -99,7 +99,7 @@ def _sizes_fit(n1, n2, threshold: int):
 
 
 def prefixes(values: DataFrame, share_floor) -> DataFrame:
-    """Lists (v, id, n) of each document's rarest values, from rows (v, id, n, s); s: how many values the document has.
+    """Lists (v, id, n, place) of each document's rarest values, from rows (v, id, n, s); s: how many values the document has.
 
     `share_floor` maps s to the least number of values that a linked document shares; a document is listed under its
     s - share_floor + 1 rarest values. Values that one document has alone come first and are never listed.
@@ -108,7 +108,7 @@ def prefixes(values: DataFrame, share_floor) -> DataFrame:
     listed = values.join(often, "v")
     mine = Window.partitionBy("id")
     place = F.col("s") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("freq", "v"))
-    return listed.select("v", "id", "n", "s", place.alias("place")).where(F.col("place") <= F.col("s") - share_floor(F.col("s")) + 1).select("v", "id", "n")
+    return listed.select("v", "id", "n", "s", place.alias("place")).where(F.col("place") <= F.col("s") - share_floor(F.col("s")) + 1).select("v", "id", "n", "place")
 
 
 class _Linker:
@@ -145,7 +145,7 @@ class _Linker:
         comps = connected(self.links).withColumnRenamed("node", "id")
         now = written(lists.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "placed")
         sizes = now.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
-        major = sizes.groupBy("v").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("members")).where("comps > 1").select("v", F.col("top.comp").alias("major"), "members")
+        major = sizes.groupBy("v").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("v", F.col("top.comp").alias("major"))
         return written(now.join(major, "v"), "open")
 
 
@@ -164,16 +164,16 @@ def links_of(docs: DataFrame, reps: DataFrame, width: int, k: int, threshold: in
         rest = open_lists.where("comp <> major").join(leaders, "v").where(_sizes_fit(F.col("n"), F.col("lead.n"), threshold))
         linker.test(rest.select(F.col("lead.id").alias("a"), F.col("id").alias("b")))
         open_lists = linker.placed(lists.join(open_lists.select("v").distinct(), "v", "left_semi"))
-    long = open_lists.where(F.col("members") > LONG_LIST)
-    again = long.select("id", "n").distinct()
+    again = open_lists.select("id", "n").distinct()
     from_sets = again.join(sets, "id").select("id", "n", F.col("n").alias("s"), F.explode("items").alias("v"))
-    finer = written(prefixes(from_sets, lambda s: F.ceil(s * threshold / 100)), "finer")
-    finer = linker.placed(finer)
-    for part in (open_lists.where(F.col("members") <= LONG_LIST), finer):
-        rest = part.where("comp <> major").select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        every = part.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        cross = rest.join(every, "v").where((F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), threshold))
-        linker.test(cross.select("a", "b"))
+    finer = linker.placed(written(prefixes(from_sets, lambda s: F.ceil(s * threshold / 100)), "finer"))
+    rest = finer.where("comp <> major").select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"))
+    every = finer.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"))
+    # where the first shared value stands, the rest of both sets must still be enough for the overlap that a link needs
+    needed = F.ceil(F.lit(threshold) * (F.col("na") + F.col("nb")) / (100 + threshold))
+    enough = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed
+    cross = rest.join(every, "v").where((F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), threshold) & enough)
+    linker.test(cross.select("a", "b"))
     return linker.links
 
 
