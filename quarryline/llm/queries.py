@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarryline.llm import decontamination, exact_dedup, language_id, license_scan, near_dedup, pii_surrogates, secret_scan, sentencepiece, url_filter
+from quarryline.llm import decontamination, exact_dedup, language_id, license_scan, near_dedup, pii_surrogates, secret_scan, sentencepiece, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": language_id.op3_language_id,
     "op4_pii_surrogates": pii_surrogates.op4_pii_surrogates,
     "op5_decontamination": decontamination.op5_decontamination,
