@@ -21,7 +21,6 @@ from __future__ import annotations
 import heapq
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +30,16 @@ from quarryline.llm.common import list_array, read_table
 
 MARK = "▁"
 #: Words remembered by a worker between batches, at most; longer words than REMEMBERED_CHARS never are.
-REMEMBERED_WORDS, REMEMBERED_CHARS = 300_000, 64
+REMEMBERED_WORDS, REMEMBERED_CHARS = 400_000, 64
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: No piece ends here (a character outside the vocabulary stands alone).
+NONE = -1
+
+
+def pa_bool(mask: np.ndarray):
+    import pyarrow as pa
+
+    return pa.array(mask)
 
 
 def default_model() -> str:
@@ -58,28 +65,40 @@ class Pieces:
         normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id_of = {self.names[i]: i for i in normal}
         self.score = {self.names[i]: sp.get_score(i) for i in normal}
-        self.unknown_score = min(self.score.values()) - 10
-        lengths: dict[str, set[int]] = {}
-        for p in self.id_of:
-            lengths.setdefault(p[-1], set()).add(len(p))
-        #: lengths of the pieces that end with a character, longest first
-        self.lengths = {c: tuple(sorted(x, reverse=True)) for c, x in lengths.items()}
-        self.apart = lru_cache(1 << 18)(self._apart)
-        self.known: dict[str, np.ndarray] = {}
-        shown = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.names)]
-        self.shown = shown
+        self.unknown_score = min(self.score.values(), default=0.0) - 10
+        #: pieces read from their last character backwards: {character: [id or NONE, {...}]}
+        self.backward: dict = {}
+        for name, i in self.id_of.items():
+            node, at = self.backward, None
+            for c in reversed(name):
+                at = node.setdefault(c, [NONE, {}])
+                node = at[1]
+            at[0] = i
+        self.shown = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.names)]
+        self.shown_size = np.array([len(x) for x in self.shown], np.int64)
+        self.shown_at = np.concatenate([[0], np.cumsum(self.shown_size)[:-1]])
+        self.shown_bytes = np.frombuffer(b"".join(self.shown), np.uint8)
+        if kind == "bpe":
+            self._split_all()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}  # of the words that are remembered
+        self.flat, self.used, self.begin, self.size = np.zeros(1 << 16, np.int32), 0, np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     # -- BPE --
 
-    def merge(self, word: str) -> list[str]:
-        """BPE by its definition: join the neighbours whose joint piece scores highest, leftmost first, until none is left."""
+    def merge(self, word: str, above: float | None = None) -> list[str]:
+        """BPE by its definition: join the neighbours whose joint piece scores highest, leftmost first, until none is left (or none scores above `above`)."""
         part: list[str | None] = list(word)
         after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
         score = self.score
         heap = [(-s, i, 2) for i in range(len(word) - 1) if (s := score.get(word[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, size = heapq.heappop(heap)
+            worth, i, size = heapq.heappop(heap)
+            if above is not None and -worth <= above:
+                break
             left = part[i]
             j = after[i]
             if left is None or j >= len(word) or len(left) + len(part[j]) != size:  # type: ignore[arg-type]
@@ -94,73 +113,219 @@ class Pieces:
                     heapq.heappush(heap, (-s, a, len(part[a]) + len(part[b])))  # type: ignore[arg-type]
         return [p for p in part if p is not None]
 
-    def _apart(self, left: str, right: str) -> bool:
-        return self.merge(left + right) == [left, right]
-
-    # -- forward states --
-
-    def _step(self, word: str, i: int, last: list, best: list) -> None:
-        """Sets the state after word[:i]: the size of the piece that ends there (and for unigram models the score)."""
-        c = word[i - 1]
-        if self.kind == "bpe":
-            if c in self.id_of or c in self.lengths:
-                for n in self.lengths.get(c, ()):
-                    if n <= i and word[i - n : i] in self.id_of and (n == i or self.apart(word[i - n - last[i - n] : i - n], word[i - n : i])):
-                        last.append(n)
-                        return
-            last.append(1)
-            return
-        top, size = best[i - 1] + self.unknown_score, 1
-        for n in self.lengths.get(c, ()):
-            if n <= i and (s := self.score.get(word[i - n : i])) is not None and best[i - n] + s > top:
-                top, size = best[i - n] + s, n
-        last.append(size)
-        best.append(top)
-
-    def _ids(self, word: str, last: list) -> np.ndarray:
-        out, at = [], len(word)
-        while at:
-            piece = word[at - last[at] : at]
-            k = self.id_of.get(piece)
-            out.append((k,) if k is not None else tuple(self.bytes_of[b] for b in piece.encode("utf-8", "surrogatepass")))
-            at -= last[at]
-        return np.array([x for p in reversed(out) for x in p], np.int32)
-
-    def walk(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Ids of distinct words: sorted, then depth-first over their common prefixes."""
-        out, stack_word = {}, ""
-        last, best = [0], [0.0]
-        for word in sorted(words):
-            if self.kind == "bpe" and word.startswith(MARK + MARK):  # equal scores of runs of marks are decided by place alone
-                out[word] = self._ids_of_pieces(self.merge(word))
+    def _split_all(self) -> None:
+        """For each piece: when it is made (0 for single characters), and the two pieces it is made of; pieces that no merge makes are never found."""
+        by_rank = sorted((n for n in self.id_of if len(n) > 1), key=lambda n: -self.score[n])
+        self.made = [0] * len(self.names)
+        for rank, name in enumerate(by_rank, 1):
+            self.made[self.id_of[name]] = rank
+        self.left, self.right = [NONE] * len(self.names), [NONE] * len(self.names)
+        self.joint: dict[int, int] = {}
+        for name in by_rank:
+            i = self.id_of[name]
+            for k in range(1, len(name)):
+                a, b = self.id_of.get(name[:k], NONE), self.id_of.get(name[k:], NONE)
+                if a != NONE and b != NONE:
+                    self.joint[a << 20 | b] = self.made[i]
+        for name in by_rank:
+            halves = self.merge(name, self.score[name])
+            i = self.id_of[name]
+            if len(halves) == 2 and all(h in self.id_of for h in halves):
+                self.left[i], self.right[i] = (self.id_of[h] for h in halves)
+            else:
+                self._unlist(name)
+        self.apart_known: dict[int, bool] = {}
+
+    def _unlist(self, name: str) -> None:
+        node, at = self.backward, None
+        for c in reversed(name):
+            at = node[c]
+            node = at[1]
+        at[0] = NONE
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether BPE leaves pieces a and b apart where they meet.
+
+        Looks back in time: while a and b stand side by side, a merge across them must not come before the one that ends
+        that state; then the piece made last is taken apart. A merge to the left goes first among equals.
+        """
+        key = a << 20 | b
+        known = self.apart_known.get(key)
+        if known is not None:
+            return known
+        made, joint, end, out = self.made, self.joint, 1 << 30, True
+        while True:
+            across = joint.get(a << 20 | b)
+            if across is not None and across < end:
+                out = False
+                break
+            x, y = made[a], made[b]
+            if x > y:
+                end, a = x, self.right[a]
+            elif y:
+                end, b = y + 1, self.left[b]
+            else:
+                break
+        if len(self.apart_known) > REMEMBERED_WORDS:
+            self.apart_known = {}
+        self.apart_known[key] = out
+        return out
+
+    # -- forward states: the piece that ends at each position (and its score, for unigram models) --
+
+    def _walk_bpe(self, words: list[str]) -> list[list[int]]:
+        root, names, apart, known = self.backward, self.names, self.apart, self.apart_known
+        sizes = [len(n) for n in names] + [1]  # the last entry is that of NONE
+        out, before, last = [], "", [NONE]
+        for word in words:
+            if word.startswith(MARK + MARK):  # equal scores of runs of marks are decided by place alone
+                out.append(self._ids_of_pieces(self.merge(word)))
                 continue
-            n, top = 0, min(len(word), len(stack_word))
-            while n < top and word[n] == stack_word[n]:
+            n, top = 0, min(len(word), len(before))
+            while n < top and word[n] == before[n]:
                 n += 1
             del last[n + 1 :]
-            del best[n + 1 :]
-            for i in range(n + 1, len(word) + 1):
-                self._step(word, i, last, best)
-            out[word] = self._ids(word, last)
-            stack_word = word
+            for i in range(n, len(word)):
+                node, j, found = root.get(word[i]), i, NONE
+                while node is not None:
+                    piece = node[0]
+                    if piece >= 0:
+                        left = last[j] if j else NONE
+                        if left < 0 or ((ok := known.get(left << 20 | piece)) is None and apart(left, piece)) or ok:
+                            found = piece
+                    if not j:
+                        break
+                    j -= 1
+                    node = node[1].get(word[j])
+                last.append(found)
+            ids, at = [], len(word)
+            while at:
+                piece = last[at]
+                if piece < 0:
+                    ids.extend(self.bytes_of[b] for b in reversed(word[at - 1].encode("utf-8", "surrogatepass")))
+                    at -= 1
+                else:
+                    ids.append(piece)
+                    at -= sizes[piece]
+            ids.reverse()
+            out.append(ids)
+            before = word
+            known = self.apart_known
+        return out
+
+    def _walk_unigram(self, words: list[str]) -> list[list[int]]:
+        root, score = self.backward, {i: self.score[n] for n, i in self.id_of.items()}
+        out, before, last, best = [], "", [NONE], [0.0]
+        for word in words:
+            n, top = 0, min(len(word), len(before))
+            while n < top and word[n] == before[n]:
+                n += 1
+            del last[n + 1 :], best[n + 1 :]
+            for i in range(n, len(word)):
+                node, j, found, high = root.get(word[i]), i, NONE, best[i] + self.unknown_score
+                while node is not None:
+                    if node[0] >= 0 and best[j] + score[node[0]] > high:
+                        found, high = node[0], best[j] + score[node[0]]
+                    if not j:
+                        break
+                    j -= 1
+                    node = node[1].get(word[j])
+                last.append(found)
+                best.append(high)
+            ids, at = [], len(word)
+            while at:
+                piece = last[at]
+                ids.append(word[at - 1] if piece < 0 else piece)
+                at -= 1 if piece < 0 else len(self.names[piece])
+            out.append([x for p in reversed(ids) for x in ((p,) if isinstance(p, int) else (self.bytes_of[b] for b in p.encode("utf-8", "surrogatepass")))])
+            before = word
         return out
 
-    def _ids_of_pieces(self, pieces: list[str]) -> np.ndarray:
-        return np.array([x for p in pieces for x in ((self.id_of[p],) if p in self.id_of else (self.bytes_of[b] for b in p.encode("utf-8", "surrogatepass")))], np.int32)
+    def walk(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids of distinct words: sorted, then depth-first over their common prefixes."""
+        words = sorted(words)
+        return dict(zip(words, self._walk_bpe(words) if self.kind == "bpe" else self._walk_unigram(words), strict=True))
+
+    def _ids_of_pieces(self, pieces: list[str]) -> list[int]:
+        return [x for p in pieces for x in ((self.id_of[p],) if p in self.id_of else (self.bytes_of[b] for b in p.encode("utf-8", "surrogatepass")))]
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words; those that are new are encoded first."""
+        fresh = [w for w in words if w not in self.number]
+        if fresh:
+            base = len(self.number)
+            ids = self.walk(fresh)
+            sizes = np.fromiter(map(len, ids.values()), np.int64, len(ids))
+            need, total = base + len(ids), self.used + int(sizes.sum())
+            if need > len(self.begin):
+                self.begin, self.size = np.resize(self.begin, 2 * need), np.resize(self.size, 2 * need)
+            if total > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * total)
+            self.flat[self.used : total] = np.fromiter((x for v in ids.values() for x in v), np.int32, total - self.used)
+            self.size[base:need] = sizes
+            self.begin[base:need] = self.used + np.cumsum(sizes) - sizes
+            self.used = total
+            self.number.update(zip(ids, range(base, need), strict=True))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def encode_column(self, texts):
+        """Flat ids and offsets of an Arrow string column. Only distinct words become Python strings, but for texts with
+        runs of spaces, spaces at an end, or the mark itself."""
+        import pyarrow.compute as pc
+
+        if len(self.number) > REMEMBERED_WORDS:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.or_(pc.ends_with(texts, " "), pc.match_substring(texts, MARK)))).to_numpy(zero_copy_only=False)
+        plain = ~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+        lists = pc.split_pattern(texts.filter(pa_bool(plain)), " ")
+        coded = lists.flatten().dictionary_encode()
+        numbers = self._numbers([MARK + w for w in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        counts = np.zeros(len(texts), np.int64)
+        sizes = np.diff(lists.offsets.to_numpy())
+        counts[plain] = sizes
+        slow = {int(r): _WORD.findall(MARK + texts[int(r)].as_py().replace(" ", MARK)) for r in np.flatnonzero(odd)}
+        for r, words in slow.items():
+            counts[r] = len(words)
+        starts = np.cumsum(counts) - counts
+        every = np.empty(int(counts.sum()), np.int64)
+        every[np.repeat(starts[plain] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(numbers))] = numbers
+        for r, words in slow.items():
+            own = sorted(set(words))
+            look = dict(zip(own, self._numbers(own).tolist(), strict=True))
+            every[starts[r] : starts[r] + len(words)] = [look[w] for w in words]
+        lengths = self.size[every]
+        ends = np.cumsum(lengths)
+        flat = self.flat[np.repeat(self.begin[every] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ends = np.concatenate([[0], ends])
+        return flat, ends[np.append(starts, len(every))]
+
+    def decode_column(self, flat: np.ndarray, offsets: np.ndarray):
+        """Texts of flat ids as an Arrow column."""
+        import pyarrow as pa
+
+        size = self.shown_size[flat]
+        ends = np.cumsum(size)
+        data = self.shown_bytes[np.repeat(self.shown_at[flat] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        at = np.concatenate([[0], ends])[offsets]
+        first = at[:-1][at[:-1] < at[1:]]
+        first = first[data[first] == 32]  # the mark before each text
+        keep = np.ones(len(data), bool)
+        keep[first] = False
+        at = at - np.searchsorted(first, at, "left")
+        out = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data[keep].tobytes()))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # ids that no encoder made
+            return pa.array([self.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
+        return out
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = {w for ws in cut for w in ws} - self.known.keys()
-        if len(self.known) + len(fresh) > REMEMBERED_WORDS:
-            self.known = {}
-            fresh = {w for ws in cut for w in ws}
-        new = self.walk(list(fresh))
-        look = self.known | new if len(self.known) < len(new) else None
-        self.known.update((w, v) for w, v in new.items() if len(w) <= REMEMBERED_CHARS and len(self.known) < REMEMBERED_WORDS)
-        get = (look or {**self.known, **new}).__getitem__ if look is not None or len(self.known) < len(new) else (lambda w: new[w] if w in new else self.known[w])
-        none = np.zeros(0, np.int32)
-        return [np.concatenate(list(map(get, ws))) if ws else none for ws in cut]
+        import pyarrow as pa
+
+        flat, offsets = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(flat, offsets[1:-1]) if texts else []
 
     def decode(self, ids) -> str:
         """The text of ids; the mark that encoding puts before a text is taken off."""
@@ -178,8 +343,8 @@ def pieces_of(model_file: str, kind: str) -> Pieces:
     return _MODELS[model_file, kind]
 
 
-#: Texts encoded together, and their characters, at most (one longer text goes alone).
-BATCH_TEXTS, BATCH_CHARS = 2_000, 4_000_000
+#: Characters (bytes) of texts encoded together, at most (one longer text goes alone).
+BATCH_BYTES = 6_000_000
 
 
 def encoded(docs: DataFrame, model_file: str | None = None, kind: str = "bpe", decode: bool = True) -> DataFrame:
@@ -198,14 +363,13 @@ def encoded(docs: DataFrame, model_file: str | None = None, kind: str = "bpe", d
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
             while start < batch.num_rows:
                 done = sizes[start - 1] if start else 0
-                stop = max(start + 1, min(start + BATCH_TEXTS, int(np.searchsorted(sizes, done + BATCH_CHARS, "right"))))
+                stop = max(start + 1, int(np.searchsorted(sizes, done + BATCH_BYTES, "right")))
                 part = batch.slice(start, stop - start)
                 start = stop
-                ids = pieces.encode_batch(part.column(at).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                columns = [*part.columns, list_array(np.concatenate(ids), offsets)]
+                flat, offsets = pieces.encode_column(part.column(at))
+                columns = [*part.columns, list_array(flat, offsets)]
                 if decode:
-                    columns.append(pa.array([pieces.decode(x.tolist()) for x in ids], pa.string()))
+                    columns.append(pieces.decode_column(flat, offsets))
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "ids", *["decoded"] * decode])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
