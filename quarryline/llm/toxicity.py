@@ -1,10 +1,16 @@
 """Operator 2, toxicity: compression distance to zstandard dictionaries of toxic and of ordinary text.
 
-Labelled training rows are divided by a hash of the id: two thirds give the two dictionaries, one for each label, the
-rest calibrate. A text is cut into windows of WINDOW bytes; each is compressed with either dictionary, and what the
-toxic one saves over the ordinary one is the window's evidence. A document's evidence is the mean of its windows and of
-its strongest ones, and the share of windows above a threshold calibrated on ordinary windows; a logistic curve over
-these, calibrated on the same rows, is the score.
+Labelled training rows are divided by a hash of the id: two thirds give the two dictionaries, the rest calibrate. Toxic
+texts are mostly made of ordinary words, and two dictionaries trained on whole texts differ mostly by chance. So each
+dictionary is a front of what only its label has above what all texts share: zstandard trains the shared part, up to
+BASE_BYTES, on ordinary texts; the toxic front holds the words that toxic texts have more often than ordinary ones would
+let expect (a G-test), the ordinary front is ordinary text of the same length. The shared part is nearer to what is
+compressed, so a window without toxic words is as long with either.
+
+A text, lower-cased and reduced to its words, is cut into windows of about WINDOW bytes; what the toxic dictionary saves
+over the ordinary one is a window's evidence. A document's features are its strongest windows, their sum, and the number
+and share of windows above a threshold calibrated on ordinary windows; a logistic curve over these, calibrated on the
+rows kept back, is the score.
 
 Training takes at most MAX_DOCS rows of either label (those whose id hashes lowest) and DOC_BYTES of each; every text is
 scored whole. Labels, language, source and id are not inputs of a score.
@@ -16,6 +22,7 @@ table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,44 +31,55 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.common import learned_from, read_table, utf8
 
-WINDOW, LEVEL, DICTIONARY_BYTES = 256, 3, 1 << 15
+WINDOW, LEVEL, BASE_BYTES, FRONT_BYTES = 96, 9, 120_000, 1 << 14
 MAX_DOCS, DOC_BYTES = 2_000, 1 << 14
 #: A document is called toxic from this score on.
 THRESHOLD = 0.7
 #: Share of ordinary windows above the window threshold; windows that count as a document's strongest.
-FALSE_WINDOWS, STRONGEST = 0.02, 3
+FALSE_WINDOWS, STRONGEST = 0.001, 3
+#: G value from which a word counts as more frequent in toxic texts.
+G_LEAST = 24.0
+
+
+_WORDS = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 class Compressor:
-    """Compressed lengths of windows with one dictionary."""
+    """Compressed lengths of windows with one dictionary, used as the text before a window."""
 
     def __init__(self, dictionary: bytes):
-        import zstandard
+        import zstandard as z
 
-        d = zstandard.ZstdCompressionDict(dictionary)
-        d.precompute_compress(level=LEVEL)
-        self.compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress
+        p = z.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(dictionary), write_checksum=False, write_content_size=False, write_dict_id=False)
+        d = z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=p)
+        self.compress = z.ZstdCompressor(dict_data=d, compression_params=p).compress
 
     def size(self, window: bytes) -> int:
         return len(self.compress(window))
 
 
+def reduced(data: bytes) -> bytes:
+    """The words of a lower-cased text, with single spaces between and around them."""
+    return b" " + b" ".join(_WORDS.findall(data)) + b" "
+
+
 def windows(data: bytes) -> list[bytes]:
-    """Windows cut at white space where there is some; the last one may be short."""
-    out, at = [], 0
-    while at < len(data):
+    """Windows of a reduced text, cut at spaces (a longer word is cut as it is); the space belongs to both sides."""
+    out, at, last = [], 0, len(data) - 1
+    while at < last:
         end = at + WINDOW
-        if end < len(data):
+        if end <= last:
             space = data.rfind(b" ", at + WINDOW // 2, end)
-            end = space + 1 if space >= 0 else end
+            end = space + 1 if space > 0 else end
         out.append(data[at:end])
-        at = end
+        at = end - 1 if data[end - 1 : end] == b" " else end
     return out
 
 
 def evidence(data: bytes, toxic: Compressor, ordinary: Compressor) -> np.ndarray:
-    """What the toxic dictionary saves on each window, in bytes."""
-    return np.array([ordinary.size(w) - toxic.size(w) for w in windows(data)], np.float64)
+    """What the toxic dictionary saves on each window of a lower-cased text, in bytes."""
+    return np.array([ordinary.size(w) - toxic.size(w) for w in windows(reduced(data))], np.float64)
 
 
 @dataclass
@@ -75,9 +93,9 @@ class ToxicityModel:
 
     def features(self, saved: np.ndarray) -> np.ndarray:
         if not len(saved):
-            return np.zeros(4)
-        strongest = np.sort(saved)[-STRONGEST:]
-        return np.array([saved.mean(), strongest.mean(), strongest[-1], (saved >= self.window_threshold).mean()])
+            return np.zeros(5)
+        strongest, above = np.sort(saved)[-STRONGEST:], saved > self.window_threshold
+        return np.array([strongest.mean(), strongest[-1], np.log1p(above.sum()), np.sqrt(above.mean()), saved.sum() / np.sqrt(len(saved))])
 
     def score(self, saved: np.ndarray) -> float:
         x = (self.features(saved) - self.centre) / self.scale
@@ -110,23 +128,57 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS,
     return [(r.toxic, r.part, bytes(r.data)) for r in sorted(rows.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.toxic))]
 
 
-def fit(rows: list[tuple[int, int, bytes]], dictionary_bytes: int = DICTIONARY_BYTES) -> ToxicityModel | None:
-    """Dictionaries and calibration; None if one of the labels is missing."""
+def telling_words(rows: list[tuple[int, int, bytes]], least: float = G_LEAST) -> set[bytes]:
+    """Words that stand in more toxic texts than ordinary ones would let expect.
+
+    A text counts for a word only if it has it between a pair of neighbours that no text before had, so copies and
+    repeated passages don't count again, and long texts count once.
+    """
+    seen: tuple[set, set] = (set(), set())
+    counts: dict[bytes, list[int]] = {}
+    totals = [0, 0]
+    for label, _, data in rows:
+        words = [b"", *_WORDS.findall(data), b""]
+        own = set(zip(words, words[1:], words[2:], strict=False)) - seen[label]
+        seen[label].update(own)
+        totals[label] += bool(own)
+        for w in {x[1] for x in own}:
+            counts.setdefault(w, [0, 0])[label] += 1
+    out, share = set(), totals[1] / max(sum(totals), 1)
+    for w, (ordinary, toxic) in counts.items():
+        n = ordinary + toxic
+        if toxic > n * share:
+            g = 2 * (toxic * np.log(toxic / (n * share)) + (ordinary * np.log(ordinary / (n * (1 - share))) if ordinary else 0))
+            if g >= least:
+                out.add(w)
+    return out
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary; where there is too little text to train on, the text itself."""
     import zstandard
 
-    made = {}
-    for label in (0, 1):
-        samples = [w for y, part, data in rows if y == label and part != 2 for w in windows(data)]
-        if not samples:
-            return None
-        try:
-            made[label] = zstandard.train_dictionary(dictionary_bytes, samples).as_bytes()
-        except zstandard.ZstdError:  # too little to train on: the samples themselves
-            made[label] = b"".join(samples)[-dictionary_bytes:]
-    toxic, ordinary = Compressor(made[1]), Compressor(made[0])
-    held = [(y, evidence(data, toxic, ordinary)) for y, part, data in rows if part == 2] or [(y, evidence(data, toxic, ordinary)) for y, _, data in rows]
-    plain = np.concatenate([np.zeros(1), *(s for y, s in held if y == 0)])
-    model = ToxicityModel(made[1], made[0], float(np.quantile(plain, 1 - FALSE_WINDOWS)), np.zeros(5), np.zeros(4), np.ones(4))
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(samples)[-size:]
+
+
+def fit(rows: list[tuple[int, int, bytes]], base_bytes: int = BASE_BYTES, front_bytes: int = FRONT_BYTES) -> ToxicityModel | None:
+    """Dictionaries and calibration; None if one of the labels is missing."""
+    taught, held_rows = [r for r in rows if r[1] != 2], [r for r in rows if r[1] == 2]
+    if len({y for y, _, data in taught if data}) < 2 or len({y for y, _, _ in held_rows}) < 2:
+        taught = held_rows = rows
+    if len({y for y, _, data in rows if data}) < 2:
+        return None
+    toxic_front = b"".join(b" " + w + b" " for w in sorted(telling_words(taught)))[:front_bytes] or b"".join(reduced(d) for y, _, d in taught if y == 1)[:front_bytes]
+    plain = [reduced(d) for y, _, d in taught if y == 0]
+    ordinary_front = (b"".join(plain) or b" ")[: len(toxic_front)].ljust(len(toxic_front))
+    base = trained(plain, base_bytes)
+    model = ToxicityModel(toxic_front + base, ordinary_front + base, 0.0, np.zeros(6), np.zeros(5), np.ones(5))
+    toxic, ordinary = Compressor(model.toxic), Compressor(model.ordinary)
+    held = [(y, evidence(data, toxic, ordinary)) for y, _, data in held_rows]
+    model.window_threshold = float(np.quantile(np.concatenate([np.zeros(1), *(s for y, s in held if y == 0)]), 1 - FALSE_WINDOWS))
     x, y = np.array([model.features(s) for _, s in held]), np.array([y for y, _ in held])
     model.centre, model.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     model.weights = logistic((x - model.centre) / model.scale, y)
