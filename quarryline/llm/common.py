@@ -5,6 +5,7 @@ Word hashing works on the UTF-8 bytes of a whole Arrow column at once, so no Pyt
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes hashed at a time; a longer text is cut at separators, so memory stays bounded for texts of any length.
-SEGMENT_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 19
+#: Bytes of texts that are worked on together (one longer text goes alone).
+SLICE_BYTES = 1 << 21
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +45,19 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to a Python worker, at most; Spark's own bound is 64 MB, for either direction and each task.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, with the session's batches to Python workers bounded; a smaller bound is left as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.match(r"\d+", str(df.sparkSession.conf.get(key)))
+    if not held or not 0 < int(held[0]) <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def text_of(df: DataFrame, column: str = "text"):
     """The text column, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -187,6 +203,20 @@ def utf8(column):
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
+def slices(batch, column: int, most: int | None = None):
+    """A record batch in pieces of at most `most` bytes of text, or of one row."""
+    import pyarrow.compute as pc
+
+    most = SLICE_BYTES if most is None else most
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, done + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def list_array(values: np.ndarray, offsets: np.ndarray):
     """An Arrow list column from flat values."""
     import pyarrow as pa

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import ByteWords, not_alphanumeric, read_table, shingle_hashes, utf8
+from quarryline.llm.common import ByteWords, bounded_batches, not_alphanumeric, read_table, shingle_hashes, slices, utf8
 
 MIN_MATCH = 5
 #: Share of an item's words that must be covered.
@@ -142,13 +142,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, l
             import pyarrow as pa
 
             words = ByteWords(not_alphanumeric())
-            for batch in batches:
+            for batch in (part for b in batches for part in slices(b, 1)):
                 rows = [(i, k, n, c) for i, pairs in block.found(batch.column(1), words) for k, n, c in pairs if c >= coverage * block.sizes[k]]
                 text, item, n, c = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else ([], [], [], [])))
                 size = block.sizes[item] if len(item) else item
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array([block.ids[k] for k in item], pa.int64()), pa.array(n.astype(np.int32)), pa.array(c), pa.array(size), pa.array(c / np.maximum(size, 1))], ["doc_id", "item_id", "n_tiles", "words_covered", "item_words", "coverage"])
 
-        out = out.unionAll(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, schema))
+        out = out.unionAll(bounded_batches(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(scan, schema))
     return out
 
 
@@ -161,13 +161,13 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float
             import pyarrow as pa
 
             words = ByteWords(not_alphanumeric())
-            for batch in batches:
+            for batch in (part for b in batches for part in slices(b, at)):
                 clean = np.ones(batch.num_rows, bool)
                 for i, pairs in block.found(batch.column(at), words):
                     clean[i] = not any(c >= coverage * block.sizes[k] for k, _, c in pairs)
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(keep, docs.schema)
     return docs
 
 

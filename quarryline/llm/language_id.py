@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import learned_from, list_array, read_table
+from quarryline.llm.common import bounded_batches, learned_from, list_array, read_table
 
 #: Hash buckets of n-grams, longest n-gram, code points handled at a time.
 BUCKETS, LONGEST, PIECE = 1 << 13, 3, 1 << 18
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS, smoothing: float = 0
         for lang, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), list_array(v, np.array([0, BUCKETS + 1]))], ["lang", "n"])
 
-    taken = docs.where(rank <= cut).select("lang", "text")
+    taken = bounded_batches(docs).where(rank <= cut).select("lang", "text")
     sums = taken.mapInArrow(gather, "lang string, n array<bigint>").select("lang", F.posexplode("n").alias("bucket", "n")).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = sums.where("n > 0").collect()  # at most languages x (BUCKETS + 1) rows
     langs = tuple(sorted({r.lang for r in rows}))
@@ -129,7 +129,7 @@ def guess(model: LanguageModel):
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
-    said = docs.select("doc_id", guess(model)("text").alias("guess"))
+    said = bounded_batches(docs).select("doc_id", guess(model)("text").alias("guess"))
     return said.select("doc_id", "guess.lang_pred", "guess.score")
 
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import ByteWords, not_alphanumeric, read_table, shingle_hashes
+from quarryline.llm.common import ByteWords, bounded_batches, not_alphanumeric, read_table, shingle_hashes, slices
 from quarryline.llm.decontamination import lowered_words
 
 SHINGLE, BANDS, CONTAINMENT = 3, 48, 0.8
@@ -117,7 +117,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         import pyarrow as pa
 
         words = ByteWords(not_alphanumeric())
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             h, first = lowered_words(batch.column(1), words)
             rows, at = [], 0
             while at < batch.num_rows:
@@ -132,7 +132,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             text, k, n, share = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text, pa.int64())), pa.array([ready.names[x] for x in k], pa.string()), pa.array(n, pa.int32()), pa.array(share, pa.float64())], ["doc_id", "license", "n_matches", "containment"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(search, f"doc_id {id_type}, license string, n_matches int, containment double")
+    return bounded_batches(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(search, f"doc_id {id_type}, license string, n_matches int, containment double")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

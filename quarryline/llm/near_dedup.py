@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import ByteWords, list_array, mix, read_table, shingle_hashes, utf8, white_space, written
+from quarryline.llm.common import ByteWords, bounded_batches, list_array, mix, read_table, shingle_hashes, slices, utf8, white_space, written
 from quarryline.llm.components import connected
 
 WIDTH, K = 5, 64
@@ -60,7 +60,7 @@ def sketches(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     def sketch(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             n, s1, s2, kept = [], [], [], []
             for s in text_sets(batch.column(1), width):
                 u = s.view(np.uint64)
@@ -72,7 +72,7 @@ def sketches(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
             flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), list_array(flat, offsets)], ["doc_id", "n", "s1", "s2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sketch, "doc_id long, n long, s1 long, s2 long, sketch array<bigint>")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(sketch, "doc_id long, n long, s1 long, s2 long, sketch array<bigint>")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -81,17 +81,15 @@ def whole_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame
     def sets(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = list(text_sets(part.column(1), width))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-                yield pa.RecordBatch.from_arrays([part.column(0), list_array(np.concatenate(found), offsets)], ["id", "items"])
+        for part in (part for b in batches for part in slices(b, 1)):
+            found = list(text_sets(part.column(1), width))
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+            yield pa.RecordBatch.from_arrays([part.column(0), list_array(np.concatenate(found), offsets)], ["id", "items"])
 
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-    return texts.mapInArrow(sets, "id long, items array<bigint>")
+    return bounded_batches(texts).mapInArrow(sets, "id long, items array<bigint>")
 
 
 def _sizes_fit(n1, n2, threshold: int):

@@ -26,11 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import list_array, read_table
+from quarryline.llm.common import bounded_batches, list_array, read_table, slices
 
 MARK = "▁"
 #: Words remembered by a worker between batches, at most; longer words than REMEMBERED_CHARS never are.
-REMEMBERED_WORDS, REMEMBERED_CHARS = 400_000, 64
+REMEMBERED_WORDS, REMEMBERED_CHARS = 150_000, 64
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: No piece ends here (a character outside the vocabulary stands alone).
 NONE = -1
@@ -42,6 +42,13 @@ def pa_bool(mask: np.ndarray):
     return pa.array(mask)
 
 
+def gathered(begin: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of the runs that begin at `begin`, one after the other; 32 bits are enough for the tables at hand."""
+    out = np.repeat((begin - (ends - lengths)).astype(np.int32), lengths)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 def default_model() -> str:
     """Path of the public BPE model: QUARRYLINE_SPM_MODEL if set, else the installed tokenizer files."""
     path = os.environ.get("QUARRYLINE_SPM_MODEL")
@@ -296,7 +303,7 @@ class Pieces:
             every[starts[r] : starts[r] + len(words)] = [look[w] for w in words]
         lengths = self.size[every]
         ends = np.cumsum(lengths)
-        flat = self.flat[np.repeat(self.begin[every] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        flat = self.flat[gathered(self.begin[every], lengths, ends)]
         ends = np.concatenate([[0], ends])
         return flat, ends[np.append(starts, len(every))]
 
@@ -306,7 +313,7 @@ class Pieces:
 
         size = self.shown_size[flat]
         ends = np.cumsum(size)
-        data = self.shown_bytes[np.repeat(self.shown_at[flat] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        data = self.shown_bytes[gathered(self.shown_at[flat], size, ends)]
         at = np.concatenate([[0], ends])[offsets]
         first = at[:-1][at[:-1] < at[1:]]
         first = first[data[first] == 32]  # the mark before each text
@@ -344,33 +351,25 @@ def pieces_of(model_file: str, kind: str) -> Pieces:
 
 
 #: Characters (bytes) of texts encoded together, at most (one longer text goes alone).
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 800_000
 
 
 def encoded(docs: DataFrame, model_file: str | None = None, kind: str = "bpe", decode: bool = True) -> DataFrame:
     """`docs` with ids (array of int) and, with `decode`, decoded (the text of the ids)."""
     model_file = model_file or default_model()
-    docs = docs.drop("ids", "decoded")
+    docs = bounded_batches(docs.drop("ids", "decoded"))
     at = docs.columns.index("text")
 
     def encode(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         pieces = pieces_of(model_file, kind)
-        for batch in batches:
-            start = 0
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
-            while start < batch.num_rows:
-                done = sizes[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(sizes, done + BATCH_BYTES, "right")))
-                part = batch.slice(start, stop - start)
-                start = stop
-                flat, offsets = pieces.encode_column(part.column(at))
-                columns = [*part.columns, list_array(flat, offsets)]
-                if decode:
-                    columns.append(pieces.decode_column(flat, offsets))
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "ids", *["decoded"] * decode])
+        for part in (part for b in batches for part in slices(b, at, BATCH_BYTES)):
+            flat, offsets = pieces.encode_column(part.column(at))
+            columns = [*part.columns, list_array(flat, offsets)]
+            if decode:
+                columns.append(pieces.decode_column(flat, offsets))
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "ids", *["decoded"] * decode])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(encode, f"{schema}, ids array<int>" + ", decoded string" * decode)

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import learned_from, read_table, utf8
+from quarryline.llm.common import bounded_batches, learned_from, read_table, slices, utf8
 
 WINDOW, LEVEL, BASE_BYTES, FRONT_BYTES = 96, 9, 120_000, 1 << 14
 MAX_DOCS, DOC_BYTES = 2_000, 1 << 14
@@ -193,13 +193,13 @@ def scored(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
         import pyarrow.compute as pc
 
         toxic, ordinary = (Compressor(model.toxic), Compressor(model.ordinary)) if model else (None, None)
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             data, offsets = utf8(pc.utf8_lower(pc.fill_null(batch.column(1), "")))
             raw = data.tobytes() if len(offsets) > 1 else b""
             out = [model.score(evidence(raw[a:b], toxic, ordinary)) if model else 0.0 for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    return bounded_batches(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
