@@ -51,8 +51,7 @@ PATTERN = "|".join((
     r"(?<!\d)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
     r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
     r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    rf"(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? {_WORD}(?: {_WORD})?(?!\p{{L}})",
-    rf"(?<!\p{{L}})(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {_WORD}(?!\p{{L}})",
+    rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.? {_WORD}(?: {_WORD})?|(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {_WORD})(?!\p{{L}})",
 ))
 
 
@@ -82,7 +81,7 @@ def _words(hit: Column) -> Column:
 
 def _is_plain(word: Column) -> Column:
     """True for the words of a name that are neither titles nor known given names."""
-    return ~F.rtrim(F.lit("."), word).isin(list(TITLES)) & ~_is_given(word)
+    return ~F.rtrim(word, F.lit(".")).isin(list(TITLES)) & ~_is_given(word)
 
 
 def entities(hits: Column) -> Column:
