@@ -30,7 +30,7 @@ from quarryline.llm.common import bounded_batches, list_array, read_table, slice
 
 MARK = "▁"
 #: Words remembered by a worker between batches, at most; longer words than REMEMBERED_CHARS never are.
-REMEMBERED_WORDS, REMEMBERED_CHARS = 150_000, 64
+REMEMBERED_WORDS, REMEMBERED_CHARS = 220_000, 64
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: No piece ends here (a character outside the vocabulary stands alone).
 NONE = -1
@@ -351,7 +351,7 @@ def pieces_of(model_file: str, kind: str) -> Pieces:
 
 
 #: Characters (bytes) of texts encoded together, at most (one longer text goes alone).
-BATCH_BYTES = 800_000
+BATCH_BYTES = 1_200_000
 
 
 def encoded(docs: DataFrame, model_file: str | None = None, kind: str = "bpe", decode: bool = True) -> DataFrame:
