@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import ids
-from quarryline.functions.confidence import mean_of, signal
 from quarryline.plans.shared import written
 
 #: The kinds that an edge may join.
@@ -31,19 +30,23 @@ def object_nodes(objects: DataFrame) -> DataFrame:
 
 def merge_nodes(objects: DataFrame) -> DataFrame:
     """A-13: one node per id; papers and evidence united and sorted; the first object's confidence, and a signal of agreement
-    for each further one: distinct papers so far, three agree fully."""
+    for each further one: distinct papers so far, three agree fully.
+
+    The running number of papers only matters up to three, so it follows from where the second and the third paper of a
+    node first appear; no list of a node's objects is gathered.
+    """
     keyed = objects.withColumn("node_id", ids.node_id(F.col("kind"), F.col("name"), F.col("paper_id")))
-    entries = F.array_sort(F.collect_list(F.struct("ord", "id", "name", "kind", "paper_id", "confidence", "evidence_ids")))
-    grouped = keyed.groupBy("node_id").agg(entries.alias("e"))
-    first = F.element_at("e", 1)
-    zero = F.struct(F.array().cast("array<string>").alias("papers"), F.array().cast("array<struct<name:string,value:double,weight:double>>").alias("signals"))
-    step = lambda s, x: F.struct(
-        F.array_union(s.papers, F.array(x.paper_id)).alias("papers"),
-        F.concat(s.signals, F.array(F.when(F.size(s.papers) == 0, signal("object", x.confidence)).otherwise(signal("cross_paper_agreement", F.least(F.size(F.array_union(s.papers, F.array(x.paper_id))) / 3, F.lit(1.0)))))).alias("signals"),
-    )
-    out = grouped.withColumn("f", F.aggregate("e", zero, step))
-    evidence = F.array_sort(F.array_distinct(F.flatten(F.transform("e", lambda x: x.evidence_ids))))
-    return out.select(F.col("node_id").alias("id"), first.kind.alias("kind"), F.substring(first["name"], 1, 200).alias("name"), F.array_sort("f.papers").alias("paper_ids"), evidence.alias("evidence_ids"), mean_of(F.col("f.signals")).alias("confidence"))
+    firsts = keyed.groupBy("node_id", "paper_id").agg(F.min("ord").alias("seen"))
+    nth = firsts.withColumn("nth", F.row_number().over(Window.partitionBy("node_id").orderBy("seen", "paper_id"))).where("nth <= 3")
+    marks = nth.groupBy("node_id").agg(F.max(F.when(F.col("nth") == 2, F.col("seen"))).alias("second"), F.max(F.when(F.col("nth") == 3, F.col("seen"))).alias("third"))
+    agreed = F.when(F.col("second").isNull() | (F.col("ord") < F.col("second")), 1 / 3).when(F.col("third").isNull() | (F.col("ord") < F.col("third")), 2 / 3).otherwise(1.0)
+    first = F.min_by(F.struct("kind", "name", "confidence"), F.struct("ord", "id"))
+    nodes = keyed.join(marks, "node_id").groupBy("node_id").agg(first.alias("f"), F.sum(agreed).alias("agreed"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("paper_id")).alias("paper_ids"))
+    linked = keyed.select("node_id", F.explode("evidence_ids").alias("e")).groupBy("node_id").agg(F.array_sort(F.collect_set("e")).alias("evidence_ids"))
+    none = F.array().cast("array<string>")
+    # the first object counts with its own confidence instead of a signal of agreement
+    confidence = F.round((F.col("f.confidence") + F.col("agreed") - 1 / 3) / F.col("n"), 6)
+    return nodes.join(linked, "node_id", "left").select(F.col("node_id").alias("id"), "f.kind", F.substring("f.name", 1, 200).alias("name"), "paper_ids", F.coalesce("evidence_ids", none).alias("evidence_ids"), confidence.alias("confidence"))
 
 
 def paper_nodes(papers: DataFrame) -> DataFrame:
@@ -201,9 +204,3 @@ def write_generation(nodes: DataFrame, edges: DataFrame, version: str, path: str
     """K-05: replaces one generation, leaves the others; rebuilding it again changes nothing."""
     for name, df in (("nodes", nodes), ("edges", edges)):
         df.withColumn("graph_version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_version").parquet(f"{path}/{name}")
-
-
-def running_agreement(objects: DataFrame) -> DataFrame:
-    """Distinct papers so far for each object of a node, in input order (the fold behind A-13, as a window)."""
-    w = Window.partitionBy("node_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return objects.withColumn("papers_so_far", F.size(F.collect_set("paper_id").over(w)))

@@ -66,10 +66,11 @@ def exact_quotes(quotes: DataFrame, texts: DataFrame, seed_words: int = 6) -> Da
     q = q.withColumn("seed", F.array_join(F.slice(words(F.col("q")), 2, F.greatest(F.col("k") - 1, F.lit(1))), " "))
     sizes = [r.n for r in q.select(F.greatest(F.col("k") - 1, F.lit(1)).alias("n")).distinct().collect()]  # at most seed_words values
     t = texts.select("doc_id", normalise(F.col("text")).alias("t"))
+    cut = t.select("doc_id", words(F.col("t")).alias("w"))  # a column of its own, so that it is split once and not for each run
     every = None
     for n in sizes:
         own = q.where(F.greatest(F.col("k") - 1, F.lit(1)) == n).select("item_id", "seed")
-        part = t.select("doc_id", F.explode(F.array_distinct(_runs(words(F.col("t")), n))).alias("seed")).join(own, "seed").select("doc_id", "item_id").distinct()
+        part = cut.select("doc_id", F.explode(F.array_distinct(_runs(F.col("w"), n))).alias("seed")).join(own, "seed").select("doc_id", "item_id").distinct()
         every = part if every is None else every.unionAll(part)
     if every is None:
         return texts.select("doc_id", F.lit(None).cast("long").alias("item_id")).limit(0)
