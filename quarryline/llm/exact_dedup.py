@@ -48,7 +48,7 @@ class DigestIndex:
         """A new, empty index at `path` (by default a new folder in the shared one)."""
         path = path or f"{shared_dir(spark)}-digests"
         out = cls(spark, f"digest_index_{uuid.uuid4().hex}", path, buckets)
-        out._write(spark.createDataFrame([], "digest binary, keep_id bigint, n_points bigint"), "overwrite")
+        out._write(spark.range(0).select(F.lit(b"").alias("digest"), F.col("id").alias("keep_id"), F.col("id").alias("n_points")), "overwrite")
         return out
 
     @classmethod
