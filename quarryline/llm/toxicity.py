@@ -12,8 +12,10 @@ over the ordinary one is a window's evidence. A document's features are its stro
 and share of windows above a threshold calibrated on ordinary windows; a logistic curve over these, calibrated on the
 rows kept back, is the score.
 
-Training takes at most MAX_DOCS rows of either label (those whose id hashes lowest) and DOC_BYTES of each; every text is
-scored whole. Labels, language, source and id are not inputs of a score.
+Training takes at most MAX_DOCS rows of either label (those whose id hashes lowest); every text is learned from and
+scored whole. Words are counted and windows measured on the executors; of the rows kept back only how often each
+saving occurs comes to the driver, of the others the telling words and the ordinary texts that zstandard trains on.
+Labels, language, source and id are not inputs of a score.
 
 Cases: null and empty texts get the score that the calibration gives to no evidence at all; documents with several
 labels count with each; with no labelled row of one kind, every score is 0; repeated rows are scored alike; an empty
@@ -24,21 +26,24 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import bounded_batches, learned_from, read_table, slices, utf8
+from quarryline.llm.common import bounded_batches, learned_from, read_table, slices, utf8, written
 
 WINDOW, LEVEL, BASE_BYTES, FRONT_BYTES = 96, 9, 120_000, 1 << 14
-MAX_DOCS, DOC_BYTES = 2_000, 1 << 14
+MAX_DOCS = 2_000
 #: A document is called toxic from this score on.
 THRESHOLD = 0.7
 #: Share of ordinary windows above the window threshold; windows that count as a document's strongest.
 FALSE_WINDOWS, STRONGEST = 0.001, 3
 #: G value from which a word counts as more frequent in toxic texts.
 G_LEAST = 24.0
+#: Triples of words, of one or more texts, that a worker holds at a time.
+TRIPLES = 1 << 15
 
 
 _WORDS = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -115,43 +120,71 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, doc_bytes: int = DOC_BYTES) -> list[tuple[int, int, bytes]]:
-    """(label, part, bytes) of the labelled rows that are learned from; part 2 calibrates. At most 2 * max_docs * doc_bytes come to the driver."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """toxic, part, data and doc_id of the labelled rows that are learned from, whole, as a written table; part 2 calibrates."""
     own = labels.where(learned_from() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     rank = F.xxhash64("doc_id", F.lit("toxicity"))
     taken = None
     for label in (0, 1):
         part = own.where(F.col("toxic") == label).orderBy(rank, "doc_id").limit(max_docs)
         taken = part if taken is None else taken.unionAll(part)
-    texts = docs.select("doc_id", F.substring(F.encode(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "utf-8"), 1, doc_bytes).alias("data"))
-    rows = texts.join(F.broadcast(taken), "doc_id").select("toxic", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)).alias("part"), "data", "doc_id")
-    return [(r.toxic, r.part, bytes(r.data)) for r in sorted(rows.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.toxic))]
+    texts = docs.select("doc_id", F.encode(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "utf-8").alias("data"))
+    rows = texts.join(F.broadcast(taken), "doc_id").select("toxic", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)).cast("int").alias("part"), "data", "doc_id")
+    return written(rows, "labelled")
 
 
-def telling_words(rows: list[tuple[int, int, bytes]], least: float = G_LEAST) -> set[bytes]:
-    """Words that stand in more toxic texts than ordinary ones would let expect.
+def triples(rows: DataFrame) -> DataFrame:
+    """toxic, key of the text, word, and the word between its neighbours, of every word of the texts."""
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def split(batches):
+        import pyarrow as pa
+
+        def batch_of(toxic, doc_id, digest, held):
+            word, triple = zip(*held, strict=True)
+            n = len(word)
+            return pa.RecordBatch.from_arrays([pa.array([toxic] * n, pa.int32()), pa.repeat(doc_id, n), pa.array([digest] * n, pa.int64()), pa.array(word, pa.binary()), pa.array(triple, pa.binary())], ["toxic", "doc_id", "digest", "word", "triple"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                toxic, doc_id, digest, data = b.column(0)[i].as_py(), b.column(1)[i], b.column(2)[i].as_py(), b.column(3)[i].as_py()
+                held, before, word = set(), b"", None
+                for after in chain((m[0] for m in _WORDS.finditer(data)), (b"",)):
+                    if word is not None:
+                        held.add((word, before + b" " + word + b" " + after))
+                        before = word
+                        if len(held) >= TRIPLES:
+                            yield batch_of(toxic, doc_id, digest, held)
+                            held = set()
+                    word = after
+                if held:
+                    yield batch_of(toxic, doc_id, digest, held)
+
+    texts = bounded_batches(rows.select("toxic", "doc_id", F.xxhash64("data").alias("digest"), "data"))
+    return texts.mapInArrow(split, f"toxic int, doc_id {kind}, digest long, word binary, triple binary").select("toxic", F.struct("doc_id", "digest").alias("key"), "word", "triple")
+
+
+def telling_words(rows: DataFrame, least: float = G_LEAST, most_bytes: int = FRONT_BYTES) -> list[bytes]:
+    """Words that stand in more toxic texts than ordinary ones would let expect; if they need more than `most_bytes`, those of the highest G.
 
     A text counts for a word only if it has it between a pair of neighbours that no text before had, so copies and
     repeated passages don't count again, and long texts count once.
     """
-    seen: tuple[set, set] = (set(), set())
-    counts: dict[bytes, list[int]] = {}
-    totals = [0, 0]
-    for label, _, data in rows:
-        words = [b"", *_WORDS.findall(data), b""]
-        own = set(zip(words, words[1:], words[2:], strict=False)) - seen[label]
-        seen[label].update(own)
-        totals[label] += bool(own)
-        for w in {x[1] for x in own}:
-            counts.setdefault(w, [0, 0])[label] += 1
-    out, share = set(), totals[1] / max(sum(totals), 1)
-    for w, (ordinary, toxic) in counts.items():
-        n = ordinary + toxic
-        if toxic > n * share:
-            g = 2 * (toxic * np.log(toxic / (n * share)) + (ordinary * np.log(ordinary / (n * (1 - share))) if ordinary else 0))
-            if g >= least:
-                out.add(w)
-    return out
+    first = triples(rows).groupBy("toxic", "word", "triple").agg(F.min("key").alias("key"))
+    own = written(first.select("toxic", "word", "key").distinct(), "words")
+    totals = dict.fromkeys((0, 1), 0) | {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count_distinct("key").alias("n")).collect()}
+    share = totals[1] / max(sum(totals.values()), 1)
+    if not 0 < share < 1:
+        return []
+    counts = own.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("ordinary"))
+    n, term = F.col("toxic") + F.col("ordinary"), lambda c, s: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * s))).otherwise(0.0)
+    g = counts.where(F.col("toxic") > n * share).select("word", (2 * (term("toxic", F.lit(share)) + term("ordinary", F.lit(1 - share)))).alias("g"))
+    out, left = [], most_bytes
+    for r in g.where(F.col("g") >= least).orderBy(F.desc("g"), "word").limit(most_bytes // 3).collect():
+        if len(r.word) + 2 <= left:
+            out.append(bytes(r.word))
+            left -= len(r.word) + 2
+    return sorted(out)
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
@@ -164,20 +197,40 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-def fit(rows: list[tuple[int, int, bytes]], base_bytes: int = BASE_BYTES, front_bytes: int = FRONT_BYTES) -> ToxicityModel | None:
-    """Dictionaries and calibration; None if one of the labels is missing."""
-    taught, held_rows = [r for r in rows if r[1] != 2], [r for r in rows if r[1] == 2]
-    if len({y for y, _, data in taught if data}) < 2 or len({y for y, _, _ in held_rows}) < 2:
+def savings(rows: DataFrame, toxic: bytes, ordinary: bytes) -> list[tuple[int, np.ndarray]]:
+    """(label, evidence of all windows, in order of size) of each text: executors count how often each saving occurs."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        by = Compressor(toxic), Compressor(ordinary)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                values, counts = np.unique(evidence(batch.column(1)[i].as_py(), *by).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([values]), pa.array([counts])], ["toxic", "saved", "n"])
+
+    found = bounded_batches(rows.select("toxic", "data")).mapInArrow(count, "toxic int, saved array<int>, n array<long>").collect()
+    return sorted(((r.toxic, np.repeat(np.array(r.saved, np.float64), np.array(r.n, np.int64))) for r in found), key=lambda x: (x[0], x[1].tolist()))
+
+
+def fit(rows: DataFrame, base_bytes: int = BASE_BYTES, front_bytes: int = FRONT_BYTES) -> ToxicityModel | None:
+    """Dictionaries and calibration from `training_rows`; None if one of the labels is missing."""
+    seen = rows.groupBy("toxic", (F.col("part") == 2).alias("held"), (F.length("data") > 0).alias("said")).count().collect()
+    taught, held_rows = rows.where("part != 2"), rows.where("part = 2")
+    if len({r.toxic for r in seen if not r.held and r.said}) < 2 or len({r.toxic for r in seen if r.held}) < 2:
         taught = held_rows = rows
-    if len({y for y, _, data in rows if data}) < 2:
+    if len({r.toxic for r in seen if r.said}) < 2:
         return None
-    toxic_front = b"".join(b" " + w + b" " for w in sorted(telling_words(taught)))[:front_bytes] or b"".join(reduced(d) for y, _, d in taught if y == 1)[:front_bytes]
-    plain = [reduced(d) for y, _, d in taught if y == 0]
+    # whole texts, so that zstandard has all of them to train on
+    plain = [reduced(bytes(r.data)) for r in taught.where("toxic = 0").select("doc_id", "data").orderBy("doc_id", "data").toLocalIterator()]
+    toxic_front = b"".join(b" " + w + b" " for w in telling_words(taught, most_bytes=front_bytes))
+    if not toxic_front:
+        for r in taught.where("toxic = 1").select("doc_id", "data").orderBy("doc_id", "data").toLocalIterator():
+            toxic_front = (toxic_front + reduced(bytes(r.data)))[:front_bytes]
     ordinary_front = (b"".join(plain) or b" ")[: len(toxic_front)].ljust(len(toxic_front))
     base = trained(plain, base_bytes)
     model = ToxicityModel(toxic_front + base, ordinary_front + base, 0.0, np.zeros(6), np.zeros(5), np.ones(5))
-    toxic, ordinary = Compressor(model.toxic), Compressor(model.ordinary)
-    held = [(y, evidence(data, toxic, ordinary)) for y, _, data in held_rows]
+    held = savings(held_rows, model.toxic, model.ordinary)
     model.window_threshold = float(np.quantile(np.concatenate([np.zeros(1), *(s for y, s in held if y == 0)]), 1 - FALSE_WINDOWS))
     x, y = np.array([model.features(s) for _, s in held]), np.array([y for y, _ in held])
     model.centre, model.scale = x.mean(0), np.maximum(x.std(0), 1e-9)

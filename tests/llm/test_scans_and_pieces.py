@@ -221,6 +221,21 @@ def test_toxicity_cases(spark):
     assert toxicity.scored(d.limit(0), model).count() == 0
 
 
+def test_toxic_passages_are_learned_wherever_they_stand(spark):
+    rng = random.Random(5)
+    some = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    plain = ["".join(rng.choice("aeiounrst") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    bad = ["awful", "idiot", "moron"] * 130 + plain  # among others, so that they have new neighbours in every text
+    rows = [(k, some(plain, 3500) + " " + some(bad if k % 2 else plain, 60)) for k in range(120)]
+    assert min(len(t) for _, t in rows) > (1 << 14) + 400
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, toxic int")
+    taught = toxicity.training_rows(d, labels)
+    assert {b"idiot", b"moron"} <= set(toxicity.telling_words(taught))
+    got = {r.doc_id: r.score for r in toxicity.scored(d, toxicity.fit(taught)).collect()}
+    assert all((got[k] > 0.7) == (k % 2 == 1) for k in range(120))
+
+
 # --- pipeline ---
 
 
