@@ -6,7 +6,7 @@ more than c/2 shingles that is there whole then has Jaccard similarity above 1/4
 most 2c, the template at least c/2); with BANDS bands of one row each, the chance that no band agrees is below
 0.75 ** BANDS, which is one in a million for 48. A template of which 80 % is there is still found with a chance above
 0.9999. Windows that agree in a band retrieve the template; the exact share of the template's shingles that the window
-and its neighbours hold decides.
+and its neighbours hold, c more on either side, decides, so a notice that words were put into isn't split.
 
 Shingles are of SHINGLE words (license notices may be as short as five words, so the five words of the near-duplicate
 operators would leave one shingle); words are runs of letters, digits and non-ASCII characters, lower-cased.
@@ -96,16 +96,26 @@ class Templates:
         return found
 
     def matches(self, shingles: np.ndarray, real: np.ndarray, first: np.ndarray):
-        """(text, template, windows that hold it, best containment); overlapping windows count once."""
-        out: dict[tuple[int, int], list] = {}
+        """(text, template, windows that hold it, best containment); overlapping windows count once.
+
+        A window that holds it only with its neighbours counts if it is beside none that is counted.
+        """
+        held: dict[tuple[int, int], list] = {}
         for size, text, start, k in sorted(self.candidates(shingles, real, first)):
             own = shingles[first[text] : first[text + 1]]
-            share = float(np.isin(self.sets[k], own[start : start + 2 * size]).mean())
+            share = float(np.isin(self.sets[k], own[max(0, start - size) : start + 3 * size]).mean())
             if share >= CONTAINMENT:
-                best = out.setdefault((text, k), [0, 0.0, -2 * size])
-                best[0] += start > best[2] + size
-                best[1:] = [max(best[1], share), start]
-        return [(text, k, n, share) for (text, k), (n, share, _) in sorted(out.items())]
+                alone = float(np.isin(self.sets[k], own[start : start + 2 * size]).mean()) >= CONTAINMENT
+                held.setdefault((text, k), []).append((start, alone, share, size))
+        out = []
+        for (text, k), found in sorted(held.items()):
+            size, n = found[0][3], 0
+            whole = np.array([start for start, alone, _, _ in found if alone], np.int64)
+            split = np.array([start for start, alone, _, _ in found if not alone and not (np.abs(whole - start) <= 2 * size).any()], np.int64)
+            for starts, apart in ((whole, size), (split, 2 * size)):
+                n += bool(len(starts)) + int((np.diff(starts) > apart).sum())
+            out.append((text, k, n, max(x[2] for x in found)))
+        return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

@@ -205,6 +205,19 @@ def test_licenses_that_stand_whole_are_found(spark):
     assert license_scan.scan(d.limit(0)).count() == 0
 
 
+def test_licenses_with_words_put_in_are_found_at_every_place(spark):
+    rows, expected = [], {}
+    for name, inserted in (("ISC/text", 16), ("ISC/text", 30), ("BSD-2-Clause/text", 30)):
+        t = license_scan.TEMPLATES[name].split()
+        for before in range(64):
+            words = [f"a{i}" for i in range(before)] + t[: len(t) // 2] + [f"b{i}" for i in range(inserted)] + t[len(t) // 2 :] + [f"c{i}" for i in range(150)]
+            expected[len(rows)] = name
+            rows.append((len(rows), " ".join(words)))
+    got = {(r.doc_id, r.license): r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not [i for i, name in expected.items() if (i, name) not in got]
+    assert all(got[i, name].containment > 0.9 and got[i, name].n_matches == 1 for i, name in expected.items())
+
+
 def test_two_copies_count_twice(spark):
     t = license_scan.TEMPLATES["MIT/notice"]
     d = spark.createDataFrame([(1, t + " filler" * 50 + " " + t)], "doc_id long, text string")
