@@ -77,6 +77,24 @@ def exact_quotes(quotes: DataFrame, texts: DataFrame, seed_words: int = 6) -> Da
     return every.join(q.select("item_id", "q"), "item_id").join(t, "doc_id").where("instr(t, q) > 0").select("doc_id", "item_id")
 
 
+def seeded_paragraphs(quotes: DataFrame, paragraphs: DataFrame, seed_words: int = 3) -> DataFrame:
+    """Quotes (item_id, text) with the paragraphs that share a run of `seed_words` words with them anywhere, after normalisation: item_id and the paragraph's columns.
+
+    A quote that is altered in places is found by what stands between them: only one without any such run left is missed.
+    Quotes of fewer words seed with single words.
+    """
+    words = lambda c: F.split(normalise(F.col(c)), " ")
+    seeds = lambda n: F.explode(F.array_distinct(_runs(F.col("w"), n))).alias("seed")
+    q = quotes.select("item_id", words("text").alias("w")).withColumn("n", F.when(F.size("w") >= seed_words, seed_words).otherwise(1))
+    cut = paragraphs.select("paper_id", "section_id", "paragraph_index", words("text").alias("w"))
+    key, every = ["paper_id", "section_id", "paragraph_index"], None
+    for n in (seed_words, 1):
+        own = q.where(F.col("n") == n).select("item_id", seeds(n))
+        part = cut.select(*key, seeds(n)).join(own, "seed").select("item_id", *key)
+        every = part if every is None else every.unionAll(part)
+    return every.distinct().join(paragraphs, key)
+
+
 def _runs(words: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
 

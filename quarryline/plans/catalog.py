@@ -427,15 +427,19 @@ def quote_exact_grounding(spark, sf):
     return grounding.exact_quotes(roles.table(spark, sf, "benchmark"), roles.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
+def fuzzy_quotes(quotes, docs):
+    """draft_id (document and item), paragraph_index and ratio of the quotes (item_id, text) that ground in docs (doc_id, text)."""
+    paras = docs.select("doc_id", F.lit("s").alias("section_id"), F.posexplode(F.split("text", "\n")).alias("paragraph_index", "text")).withColumnRenamed("doc_id", "paper_id").withColumn("ord", F.col("paragraph_index"))
+    near = grounding.seeded_paragraphs(quotes, paras).withColumn("draft_id", F.concat_ws("-", "paper_id", "item_id"))
+    drafts = near.select("draft_id", "item_id").distinct().join(quotes.select("item_id", F.col("text").alias("quote")), "item_id").select("draft_id", F.col("draft_id").alias("paper_id"), "quote")
+    return grounding.ground(drafts, near.withColumn("paper_id", F.col("draft_id"))).where("ratio IS NOT NULL").select("draft_id", "paragraph_index", "ratio")
+
+
 @query()
 def quote_fuzzy_grounding(spark, sf):
-    """Passages with their first words cut off, against the paragraphs of the documents that hold them."""
-    held = grounding.exact_quotes(roles.table(spark, sf, "benchmark"), roles.table(spark, sf, "documents"))
-    b = roles.table(spark, sf, "benchmark").withColumnRenamed("text", "passage")
-    drafts = held.join(b, "item_id").select(F.concat_ws("-", "doc_id", "item_id").alias("draft_id"), F.col("doc_id").cast("string").alias("paper_id"), F.concat(F.substring("passage", 8, 60), F.lit(" x")).alias("quote"))
-    d = roles.table(spark, sf, "documents").join(held.select("doc_id").distinct(), "doc_id", "left_semi")
-    paras = d.select(F.col("doc_id").cast("string").alias("paper_id"), F.lit("s").alias("section_id"), F.posexplode(F.split("text", "\n")).alias("paragraph_index", "text")).withColumn("ord", F.col("paragraph_index"))
-    return grounding.ground(drafts, paras).select("draft_id", "paragraph_index", "ratio")
+    """Whole passages against the paragraphs of all documents: the best place in each document that holds one, altered or not."""
+    b, d = roles.table(spark, sf, "benchmark"), roles.table(spark, sf, "documents")
+    return fuzzy_quotes(b, d)
 
 
 @query("""SELECT 'g' AS g, round((sum(CASE WHEN l_linenumber <> 3 THEN l_quantity END) / sum(CASE WHEN l_linenumber <> 3 THEN l_quantity + 10 END)), 6) AS grounding_rate, count(*) FILTER (l_linenumber = 3) AS unmeasured FROM lineitem""")

@@ -404,3 +404,38 @@ def test_engine_verbs(spark, tmp_path):
     for name in schemas.TABLES:
         assert schemas.empty(spark, name).count() == 0
     assert schemas.conform(library, "papers").columns[0] == "id" and schemas.outside(nodes, "kind", "node_kind").count() == 0
+
+
+def test_altered_passages_are_found_in_documents_without_a_verbatim_one(spark):
+    import random
+
+    from quarryline.functions.text import normalise
+    from quarryline.operators.grounding import LEAST_RATIO, best_window
+    from quarryline.plans.catalog import fuzzy_quotes
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, some(24)) for k in range(6)]  # under 200 characters, from which difflib leaves out frequent ones
+
+    def altered(text):
+        w = text.split(" ")
+        return " ".join("x" if i % 13 == 4 else x for i, x in enumerate(w))
+
+    docs = []
+    for k, text in items:
+        docs += [(10 * k, f"{some(30)}\n{altered(text)}\n{some(20)}"), (10 * k + 1, f"{some(25)} {text} {some(9)}"), (10 * k + 2, some(90)), (10 * k + 3, " ".join(text.split(" ")[:12]) + " " + some(20))]
+    docs.append((99, None))
+    q, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    lines = [(i, p, line) for i, t in docs for p, line in enumerate((t or "").split("\n"))]
+    norm = {r.text: r.n for r in spark.createDataFrame([(t,) for t in {x for *_, x in lines} | {t for _, t in items}], "text string").withColumn("n", normalise(F.col("text"))).collect()}
+    expected = {}
+    for k, text in items:
+        for i in {i for i, _ in docs}:
+            own = [(1.0 if norm[text] in norm[x] else best_window(norm[text], norm[x]), -p) for j, p, x in lines if j == i]
+            ratio, place = max(own)
+            if ratio >= LEAST_RATIO:
+                expected[f"{i}-{k}"] = (-place, round(ratio, 6))
+    got = {r.draft_id: (r.paragraph_index, r.ratio) for r in fuzzy_quotes(q, d).collect()}
+    assert got == expected
+    assert {f"{10 * k + j}-{k}" for k in range(6) for j in (0, 1)} <= set(got) and 1 > got["0-0"][1]
