@@ -1,7 +1,7 @@
 """Operator 1, secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 One model describes random strings, the other ordinary identifiers; both are first-order chains over letters, digits
-and `+_=-`, trained from labelled samples. A long run of such characters that no pattern covers is a secret if its mean
+and `+_=-/`, trained from labelled samples. A long run of such characters that no pattern covers is a secret if its mean
 log-likelihood ratio reaches the threshold. Everything that runs over the documents is DataFrame code; the table of
 ratios is a literal of fixed size.
 
@@ -10,7 +10,8 @@ Patterns, leftmost and without overlap within a kind; spans are of the whole mat
 - access: `AKIA` and capitals or digits, 20 characters or more;
 - hex: 24 or more of 0-9 and a-f;
 - markov: what the models add, runs of 20 characters or more of at least two of the classes lower, upper and digit,
-  not overlapping any of the above.
+  not overlapping any of the above. Keys in standard base 64 have slashes, and so have paths with a key in them: a run
+  with its slashes comes first, and where it isn't a secret as a whole, the runs between its slashes.
 
 Cases: null and empty texts have no spans (the hash is of the empty string); a value that is too short is dropped after
 it has been matched, so it still uses up its place; repeated rows get equal results; an empty table gives an empty
@@ -35,30 +36,32 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 #: A run that is too short has no longer run inside, so for these two the least length can be part of the pattern.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+_=-"
-RUN = r"(?<![A-Za-z0-9+_=-])[A-Za-z0-9+_=-]{20,}+"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+_=-/"
+RUN = r"(?<![A-Za-z0-9+_=/-])[A-Za-z0-9+_=/-]{20,}+"
+PIECE = r"(?<![A-Za-z0-9+_=-])[A-Za-z0-9+_=-]{20,}+"
 #: Mean log-likelihood ratio per character pair, in hundredths, from which a run counts as random.
 THRESHOLD = 40
 
 
 def random_samples(n: int = 3000) -> list[str]:
-    """Labelled 1: strings as key generators make them, from hashes of a counter: base 64, base 62, lower case and digits."""
+    """Labelled 1: strings as key generators make them, from hashes of a counter: base 64 of either form, base 62, lower case and digits."""
     out = []
     for i in range(n):
         raw = hashlib.sha512(f"sample {i}".encode()).digest()
-        letters = (ALPHABET[:62], ALPHABET[26:62], ALPHABET)[i % 3]
+        letters = (ALPHABET[:62], ALPHABET[26:62], ALPHABET[:66], ALPHABET[:62] + "+/")[i % 4]
         out.append("".join(letters[b % len(letters)] for b in raw[: 20 + i % 44]))
     return out
 
 
 def ordinary_samples() -> list[str]:
-    """Labelled 0: names that programmers chose (of the standard library), alone and joined as identifiers are, and long words."""
+    """Labelled 0: names that programmers chose (of the standard library), alone and joined as identifiers and paths are, and long words."""
     names = sorted({*keyword.kwlist, *dir(builtins), *dir(str), *dir(dict), *dir(int), *sys.stdlib_module_names, *vars(math)})
     words = [p for n in names for p in n.strip("_").split("_") if p]
     joined = []
     for i in range(len(words) - 2):
         a, b, c = words[i], words[(i * 7 + 3) % len(words)], words[(i * 13 + 5) % len(words)]
         joined += [f"{a}_{b}_{c}", f"{a}-{b}-{c}", a + b.capitalize() + c.capitalize(), f"{a}_{b}_{i % 100}", a + b + c, f"{a}_{b}_{c}".upper(), (a + b + c).capitalize()]
+        joined += [f"{a}/{b}/{c}", f"/{a}/{b}_{c}/{i % 100}", f"{a}/{b.capitalize()}{c.capitalize()}/{a.capitalize()}", f"/{2000 + i % 30}/{1 + i % 12:02}/{a}-{b}-{c}"]
     return names + joined
 
 
@@ -84,7 +87,7 @@ def _code(c: Column) -> Column:
         F.when(a.between(65, 90), a - 65)
         .when(a.between(97, 122), a - 71)
         .when(a.between(48, 57), a + 4)
-        .otherwise(F.when(c == "+", 62).when(c == "_", 63).when(c == "=", 64).otherwise(65))
+        .otherwise(F.when(c == "+", 62).when(c == "_", 63).when(c == "=", 64).when(c == "-", 65).otherwise(66))
     )
 
 
@@ -129,17 +132,19 @@ def spans_of(docs: DataFrame, table: list[int] | None = None, id_col: str = "doc
         F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(0)).alias("m_assign"),
         F.regexp_extract_all(t, F.lit(ACCESS), F.lit(0)).alias("m_access"),
         F.regexp_extract_all(t, F.lit(HEX), F.lit(0)).alias("m_hex"),
-        F.regexp_extract_all(t, F.lit(RUN), F.lit(0)).alias("m_markov"),
+        F.regexp_extract_all(t, F.lit(RUN), F.lit(0)).alias("m_runs"),
+        F.regexp_extract_all(t, F.lit(PIECE), F.lit(0)).alias("m_pieces"),
     )
     mixed = lambda r: (F.when(r.rlike("[a-z]"), 1).otherwise(0) + F.when(r.rlike("[A-Z]"), 1).otherwise(0) + F.when(r.rlike("[0-9]"), 1).otherwise(0)) >= 2
     random = lambda x: F.when(mixed(x.hit), ratio(x.hit, table) >= threshold).otherwise(F.lit(False))
-    places = found.select("doc_id", *(placed(t, p, F.col(m)).alias(m[2:]) for m, p in (("m_assign", ASSIGN), ("m_access", ACCESS), ("m_hex", HEX), ("m_markov", RUN))))
+    places = found.select("doc_id", *(placed(t, p, F.col(m)).alias(m[2:]) for m, p in (("m_assign", ASSIGN), ("m_access", ACCESS), ("m_hex", HEX), ("m_runs", RUN), ("m_pieces", PIECE))))
     value = F.regexp_extract
     long_enough = lambda x: F.length(value(x.hit, ASSIGN, 1)) >= 6
-    kept = places.select("doc_id", F.filter("assign", long_enough).alias("assign"), "access", "hex", F.filter("markov", random).alias("runs"))
-    base = F.concat("assign", "access", "hex")
-    free = lambda x: ~F.exists(base, lambda y: (x.start < y.end) & (y.start < x.end))
-    return kept.select("doc_id", "assign", "access", "hex", F.filter("runs", free).alias("markov"))
+    kept = places.select("doc_id", F.filter("assign", long_enough).alias("assign"), "access", "hex", F.filter("runs", random).alias("runs"), F.filter("pieces", random).alias("pieces"))
+    apart = lambda c: lambda x: ~F.exists(c, lambda y: (x.start < y.end) & (y.start < x.end))
+    free = apart(F.concat("assign", "access", "hex"))
+    found = kept.select("doc_id", "assign", "access", "hex", F.filter("runs", free).alias("runs"), F.filter("pieces", free).alias("pieces"))
+    return found.select("doc_id", "assign", "access", "hex", F.array_sort(F.concat("runs", F.filter("pieces", apart(F.col("runs"))))).alias("markov"))
 
 
 def joined(*kinds: tuple[str, str]) -> Column:

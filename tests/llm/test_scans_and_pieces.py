@@ -78,6 +78,25 @@ def test_markov_models_tell_random_from_ordinary():
     assert all(mean(s) < secret_scan.THRESHOLD for s in plain)
 
 
+def test_standard_base64_is_found_whole_and_paths_are_not(spark):
+    import base64
+
+    rng = random.Random(17)
+    keys = [base64.b64encode(rng.randbytes(n)).decode() for n in (18, 24, 30) for _ in range(100)]
+    slashed = [k for k in keys if "/" in k]
+    paths = ["/usr/local/lib/python3/dist-packages/numpy", "src/main/java/com/Example/UserAccountService2", "/2024/03/15/the-quick-brown-fox-jumps", "docs/Reference/Configuration/Settings", "assets/images/HeaderBackground_2"]
+    inside = "services/configuration/production/Zq8Xw3Lk9Pv2Rt7Yb4Nm6Jd1"
+    texts = [f"key {k} here" for k in slashed] + paths + [inside, "AKIA" + "A1" * 8 + "/Zq8Xw3Lk9Pv2Rt7Yb4Nm6Jd1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.start, x.end) for x in r.markov] for r in secret_scan.spans_of(rows).collect()}
+    n = len(slashed)
+    assert n > 100 and sum(got[i] == [(4, 4 + len(k))] for i, k in enumerate(slashed)) >= 0.97 * n
+    assert not any(got[n + i] for i in range(len(paths)))
+    at, end = (got[n + len(paths)] or [(0, 0)])[0]
+    assert at <= inside.index("Zq8") < end == len(inside)
+    assert got[n + len(paths) + 1] == [(21, 21 + 24)]
+
+
 def test_secret_query_over_the_small_table(spark, sf_dir):
     rows = {r.doc_id: r for r in secret_scan.op1_secret_scan(spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
