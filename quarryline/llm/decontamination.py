@@ -10,7 +10,8 @@ passage. The benchmark goes to the executors in blocks of at most about BLOCK_BY
 documents for each block; no two tables are multiplied.
 
 Cases: null and empty texts match nothing; items of fewer than MIN_MATCH words can't be told from chance and match
-nothing; ties between equally long runs fall to the first place in the text, then in the item; repeated rows are
+nothing; an item without an id is searched like any other and reported
+with a null id; ties between equally long runs fall to the first place in the text, then in the item; repeated rows are
 reported as often as they occur; an empty documents or benchmark table gives an empty result; extra columns pass
 through `without_contaminated` untouched and are not read by `matches`.
 """
@@ -121,12 +122,13 @@ class Benchmark:
 
 
 def blocks(benchmark: DataFrame, least: int = MIN_MATCH, block_bytes: int = BLOCK_BYTES):
-    """The benchmark in blocks of about `block_bytes` of text, dealt by a hash of the item's id."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.col("text").cast("string").alias("text"))
+    """The benchmark in blocks of about `block_bytes` of text, dealt by a hash of the item's id, or of its text where it has none."""
+    items = benchmark.where("text IS NOT NULL").select("item_id", F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
+    dealt = F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id"))
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()  # one block
+        rows = items.where(F.pmod(dealt, F.lit(n)) == b).collect()  # one block
         if rows:
             yield Benchmark([(r.item_id, r.text) for r in rows], least)
 

@@ -167,6 +167,15 @@ def test_blocks_of_the_benchmark_give_the_same_result(spark, sf_dir):
     assert len(parts) > 1 and sum(len(p.ids) for p in parts) == b.count() and whole
 
 
+def test_items_without_an_id_are_searched(spark):
+    passage = "seven grey herons stood along the river bank and watched the slow barges go by"
+    docs = spark.createDataFrame([(1, f"before it {passage} after it"), (2, "nothing of the kind is in this text at all")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (None, None), (7, "an item that none of the documents has any words of")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.coverage) for r in decontamination.matches(docs, items).collect()] == [(1, None, 1.0)]
+    assert [r.doc_id for r in decontamination.without_contaminated(docs, items).collect()] == [2]
+    assert sum(len(b.ids) for b in decontamination.blocks(items, block_bytes=20)) == 2
+
+
 # --- licenses ---
 
 
