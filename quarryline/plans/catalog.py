@@ -403,15 +403,15 @@ def clean_list(spark, sf):
     return p.select("p_partkey", F.array_join(T.clean_list(items, 5), ",").alias("cleaned"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(substr(text, 1, 400), '\\s+', ' ', 'g')) AS rebuilt FROM (SELECT doc_id, array_to_string(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' ')[1:30], ' ') AS text FROM documents)""")
+@query("""SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS rebuilt FROM documents""")
 def inverted_index_rebuild(spark, sf):
+    """All words of all texts, indexed by word and put together again."""
     from quarryline.sources.providers import rebuild_abstract
 
     d = roles.table(spark, sf, "documents")
-    words = F.slice(F.split(T.collapse(F.coalesce("text", F.lit(""))), " "), 1, 30)
+    words = F.split(T.collapse(F.coalesce("text", F.lit(""))), " ")
     rows = d.select("doc_id", F.posexplode(words).alias("pos", "word")).groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("pos")).alias("positions")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("index"))
-    text = rebuild_abstract(F.col("index"))
-    return rows.select("doc_id", T.collapse(F.substring(text, 1, 400)).alias("rebuilt"))
+    return rows.select("doc_id", T.collapse(rebuild_abstract(F.col("index"))).alias("rebuilt"))
 
 
 @query()

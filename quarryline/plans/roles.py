@@ -16,11 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document as an object: its first line is the name, its second the description, the next two its quotes; toxic ones aren't trusted."""
+    """A document as an object: its first line is the name, its second the description, all others its quotes; toxic ones aren't trusted."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     o = d.join(labels, "doc_id", "left").select("*", lines.alias("lines"))
-    quotes = F.slice("lines", 3, 2)
+    quotes = F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0)))
     return o.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("ord"), F.get(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 6).cast("int")).alias("kind"),
         F.col("source").alias("paper_id"), F.get("lines", F.lit(0)).alias("name"), F.coalesce(F.get("lines", F.lit(1)), F.lit("")).alias("description"), quotes.alias("quotes"),
@@ -29,10 +29,11 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    """A document as a paper: its first line is the title, all others the abstract."""
+    d = table(spark, sf_dir, "documents").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    abstract = F.array_join(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))), "\n")
     return d.select(
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.get(lines, F.lit(0)).alias("title"), F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("abstract"),
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.get("lines", F.lit(0)).alias("title"), abstract.alias("abstract"),
         F.when(F.col("doc_id") % 9 != 0, (2000 + F.col("doc_id") % 26).cast("int")).alias("year"), F.when(F.col("doc_id") % 7 != 0, F.col("n_chars") % 700).alias("citation_count"), F.array("lang", "source").alias("keywords"), F.col("source").alias("provider"),
     )
 
@@ -89,11 +90,11 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OBJECTS = """objects AS (
   SELECT 'd' || d.doc_id AS id, d.doc_id AS ord, ['method','dataset','metric','result','limitation','future_work'][CAST(d.doc_id % 6 + 1 AS INT)] AS kind, d.source AS paper_id,
-    l[1] AS name, coalesce(l[2], '') AS description, l[3:4] AS quotes, 0.3::DOUBLE + (d.doc_id % 7)::DOUBLE / 10 AS confidence, CAST(len(l[3:4]) AS BIGINT) AS n_evidence, coalesce(t.toxic, 0) = 0 AS trusted, text
+    l[1] AS name, coalesce(l[2], '') AS description, l[3:] AS quotes, 0.3::DOUBLE + (d.doc_id % 7)::DOUBLE / 10 AS confidence, CAST(len(l[3:]) AS BIGINT) AS n_evidence, coalesce(t.toxic, 0) = 0 AS trusted, text
   FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) d LEFT JOIN labels t USING (doc_id))"""
 
 PAPERS = """papers AS (
-  SELECT 'd' || doc_id AS id, l[1] AS title, coalesce(l[2], '') AS abstract, CASE WHEN doc_id % 9 <> 0 THEN CAST(2000 + doc_id % 26 AS INT) END AS year,
+  SELECT 'd' || doc_id AS id, l[1] AS title, array_to_string(l[2:], chr(10)) AS abstract, CASE WHEN doc_id % 9 <> 0 THEN CAST(2000 + doc_id % 26 AS INT) END AS year,
     CASE WHEN doc_id % 7 <> 0 THEN n_chars % 700 END AS citation_count, [lang, source] AS keywords, source AS provider
   FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"""
 
