@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over `documents`, each of which works on all that its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the documents are written as Parquet and
-read again. All stages but the last return the columns of `documents`.
+read again. All stages but the last return the columns of `documents`, and extra columns pass through whatever their
+names. Stages decide about rows, told apart by doc_id and text: a row without an id, or one that shares its id with
+another text, is kept or dropped for its own text only.
 """
 
 from __future__ import annotations
@@ -10,40 +12,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import decontamination, exact_dedup, language_id, near_dedup, sentencepiece
-from quarryline.llm.common import read_table, without_ids, written
+from quarryline.llm.common import bounded_batches, read_table, written
 
 #: A prediction below this probability counts as no language.
 LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: no text, no letter, or no language with half of the probability."""
+    """Drops documents without a recognisable language: no text, no letter, or no language with LEAST_SCORE of the probability.
+
+    Null and empty texts go. Very long texts are read whole; repeated rows, rows without an id and ties fare alike, as
+    only the text counts. An empty table stays empty; with no labelled row at all no language is known, and all rows go.
+    """
     guess = language_id.guess(language_id.fit(language_id.labelled(docs)))
-    said = docs.withColumn("_guess", guess("text"))
-    return said.where((F.col("_guess.lang_pred") != "und") & (F.col("_guess.score") >= LEAST_SCORE)).drop("_guess")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    said = bounded_batches(docs).select(F.struct(*columns).alias("row"), guess("text").alias("guess"))
+    known = said.where((F.col("guess.lang_pred") != "und") & (F.col("guess.score") >= LEAST_SCORE))
+    return known.select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    decided = exact_dedup.ingest(docs, exact_dedup.DigestIndex.create(spark))
-    return without_ids(docs, decided.where("NOT kept").select("doc_id"))
+    """Keeps exactly one row of each group of equal texts: the longest as given, then the smallest id.
+
+    Null, empty and white-space texts are one group. A row without an id stays only where its group has no row with one.
+    Rows that repeat id and text are one row afterwards. An empty table stays empty.
+    """
+    return exact_dedup.without_copies(docs, exact_dedup.DigestIndex.create(spark))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near-duplicates."""
-    return without_ids(docs, near_dedup.near_components(docs).where("NOT kept").select("doc_id"))
+    """Keeps exactly one row of each component of near-duplicates: that with the smallest id.
+
+    Null, empty and white-space texts are linked with nothing and stay. A row without an id stays only where its
+    component has no row with one. Rows that repeat id and text are one row afterwards. An empty table stays empty.
+    """
+    return near_dedup.without_copies(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that cover a benchmark item."""
+    """Drops documents that cover a benchmark item; items without an id count too.
+
+    Null and empty texts stay, and so does everything if the benchmark is empty; each row is judged by its own text,
+    however long and however often it stands there. An empty table stays empty.
+    """
     return decontamination.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their ids, and whether the ids decode to the text."""
-    out = sentencepiece.encoded(docs)
+    """The documents with ids, n_tokens and round_trip (whether the ids decode to the text), which replace columns of these names.
+
+    Null and empty texts have no ids and round_trip true. Every row is encoded whole, also repeated ones and those
+    without an id. An empty table stays empty.
+    """
+    columns = [c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")]
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+    out = sentencepiece.encoded(docs.select(row, F.col("text").cast("string").alias("text")))
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    return out.select(*(F.col(f"row.`{c}`") for c in columns), "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES = [

@@ -6,7 +6,6 @@ Word hashing works on the UTF-8 bytes of a whole Arrow column at once, so no Pyt
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -24,16 +23,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the driver and all executors see.
+    """A new path in the folder that the driver and all executors see, which the cluster names in spark.checkpoint.dir.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests) a local folder is set.
+    Where that is unset, a session on one machine gets a folder below its warehouse; on a cluster it is an error, since a
+    local folder would be another one on each machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="quarryline-")
         if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(root)
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = held.get()
     return f"{root.rstrip('/')}/quarryline-{uuid.uuid4().hex}"
 
 
@@ -68,16 +71,48 @@ def learned_from(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3, F.lit(0)) != 1
 
 
-#: Ids that are taken out are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Keys of rows that are taken out are broadcast up to this number (16 bytes each); beyond it they are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """`docs` without the rows whose doc_id is in `gone`; the texts aren't shuffled if the ids are few enough to broadcast."""
-    gone = written(gone.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+def row_key(text: str = "text"):
+    """What tells rows with the same doc_id apart: a hash of the text as it is (null as empty)."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """`docs` without the rows of `gone`, and with one row for each key of `repeated`; both have doc_id and h (`row_key`).
+
+    Rows are told apart by id and text, so neither a missing nor a shared id takes out another text. Of rows that are
+    equal in both, the one whose columns come first as JSON stays. Texts aren't shuffled, but for those of `repeated`.
+    """
+    columns = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    apart = lambda keys: keys.select(F.struct(F.col("doc_id").alias("i"), F.col("h").alias("h")).alias("key")).distinct()
+    on = F.col("row.doc_id").eqNullSafe(F.col("key.i")) & (row_key("row.text") == F.col("key.h"))
+    small = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    gone, repeated = written(apart(gone), "gone"), written(apart(repeated), "repeated")
+    out = rows.join(small(gone), on, "left_anti")
+    if not repeated.isEmpty():
+        held = out.join(small(repeated), on, "left_semi").groupBy(F.col("row.doc_id").alias("i"), row_key("row.text").alias("h")).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+        out = out.join(small(repeated), on, "left_anti").unionByName(held)
+    return out.select(*(F.col(f"row.`{c}`") for c in columns))
+
+
+#: A key is hot if more than one in HOT of all rows have it, so there are fewer than HOT of them, whatever the data.
+HOT = 1000
+
+
+def split_join(rows: DataFrame, per_key: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with one row per key, which says in `held` how many of at most `total` rows have the key.
+
+    Rows with a hot key meet a broadcast of fewer than HOT rows where they are, so no task gathers them; the others are
+    joined by shuffle. `held` is dropped.
+    """
+    hot = F.col("held") * HOT > total
+    many, few = per_key.where(hot).drop("held"), per_key.where(~hot).drop("held")
+    rest = rows.join(F.broadcast(many.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(many), key, how).unionByName(rest.join(few, key, how))
 
 
 # --- byte-level words ---------------------------------------------------------------------------------------------

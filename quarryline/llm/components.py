@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import written
+from quarryline.llm.common import split_join, written
 
 
 def _digest(edges: DataFrame):
@@ -16,18 +16,18 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """`node`, `component` (smallest node reachable) for every node that has a link to another.
 
     Each step keeps the components and moves every node closer to its smallest one; the fixed point is a set of stars.
-    A node with very many links is only ever joined with its minimum, so no task gathers its links.
+    A node is only ever joined with its minimum, by broadcast if it has very many links, so no task gathers its links.
     """
     found = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     now = written(found, "edges")
     before = _digest(now)
     while before[0]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("held")).select("u", F.least("u", "m").alias("m"), "held"), "least")
+        large = split_join(both.where("v > u"), least, "u", 2 * before[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = written(large, "large")
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(least.select("hi", F.col("m").alias("lo"))).distinct()
+        least = written(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("held")), "least")
+        small = split_join(large, least, "hi", 2 * before[0]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(least.select("hi", F.col("m").alias("lo"))).distinct()
         now = written(small, "small")
         after = _digest(now)
         if after == before:

@@ -4,8 +4,14 @@ Texts are equal when their SHA-256 after deleting white space (0x20, 0x09-0x0D)
 sort-merge anti-join of its digests with the index, and its new digests are appended. Everything is DataFrame code.
 
 Cases: a null text counts as empty; all empty and white-space texts are one group; equal lengths fall to the smallest
-doc_id; a null doc_id sorts last and never stands for a group that has another; repeated rows are members of the group like any other; an empty batch gives
-an empty result. Extra columns are not read, so their names can't clash.
+doc_id; a null doc_id sorts last and never stands for a group that has another; very long texts are hashed whole;
+repeated rows are members of the group like any other, and all rows that have the id and the text of the one that stays
+are `kept` in `ingest`, which can't tell them apart, while `without_copies` leaves exactly one of them; an empty batch
+gives an empty result. Extra columns are not read, so their names can't clash.
+
+The number of buckets follows from the first batch (BUCKET_ROWS digests each, FEWEST at least) and is kept with the
+index; `compact` rewrites the index so that each bucket is one sorted file again. Appending the same batch twice adds
+nothing the second time, as its digests are known by then.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import read_table, shared_dir, text_of, written
+from quarryline.llm.common import read_table, row_key, shared_dir, split_join, text_of, without_rows, written
 
 #: The white space that is deleted before texts are compared.
 WHITE_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -29,46 +35,72 @@ def normalised(text):
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_points (code points of the text as given), digest (32 bytes)."""
+    """A row per document: doc_id, h (hash of the text as given), n_points (its code points), digest (32 bytes)."""
     text = text_of(docs, text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("n_points"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(text_col).alias("h"), F.length(text).cast("long").alias("n_points"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"))
+
+
+#: Digests of the first batch for each bucket, and the least number of buckets.
+BUCKET_ROWS, FEWEST = 2_000_000, 64
 
 
 @dataclass
 class DigestIndex:
-    """Digests already taken in: a table of (digest, keep_id, n_points), bucketed and sorted by digest."""
+    """Digests already taken in: a table of (digest, keep_id, n_points), bucketed and sorted by digest.
+
+    `buckets` is chosen when the first batch comes in, from its size, unless it is given.
+    """
 
     spark: SparkSession
     table: str
     path: str
-    buckets: int = 64
+    buckets: int | None = None
+    made: bool = False
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str | None = None, buckets: int = 64) -> DigestIndex:
+    def create(cls, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> DigestIndex:
         """A new, empty index at `path` (by default a new folder in the shared one)."""
-        path = path or f"{shared_dir(spark)}-digests"
-        out = cls(spark, f"digest_index_{uuid.uuid4().hex}", path, buckets)
-        out._write(spark.range(0).select(F.lit(b"").alias("digest"), F.col("id").alias("keep_id"), F.col("id").alias("n_points")), "overwrite")
-        return out
+        return cls(spark, f"digest_index_{uuid.uuid4().hex}", path or f"{shared_dir(spark)}-digests", buckets)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, buckets: int = 64) -> DigestIndex:
+    def open(cls, spark: SparkSession, path: str, buckets: int) -> DigestIndex:
         """An index that an earlier session left at `path`; `buckets` must be the number it was made with."""
-        out = cls(spark, f"digest_index_{uuid.uuid4().hex}", path, buckets)
-        spark.sql(f"CREATE TABLE {out.table} (digest BINARY, keep_id BIGINT, n_points BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+        out = cls(spark, f"digest_index_{uuid.uuid4().hex}", path, buckets, True)
+        out._table()
         return out
 
+    def _table(self) -> None:
+        self.spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, n_points BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {int(self.buckets or FEWEST)} BUCKETS LOCATION '{self.path}'")
+
     def _write(self, rows: DataFrame, mode: str) -> None:
-        rows.write.format("parquet").mode(mode).bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
+        dealt = rows.select("digest", "keep_id", "n_points").repartition(self.buckets, "digest")
+        dealt.write.format("parquet").mode(mode).bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
+        self.made = True
 
     def read(self) -> DataFrame:
+        if not self.made:
+            return self.spark.createDataFrame([], "digest binary, keep_id long, n_points long")
         return self.spark.table(self.table)
 
-    def append(self, groups: DataFrame) -> None:
-        """Adds one row per digest; the rows are dealt by digest first, so that each bucket is one sorted file."""
-        self._write(groups.select("digest", "keep_id", "n_points").repartition(self.buckets, "digest"), "append")
+    def append(self, groups: DataFrame, rows: int) -> None:
+        """Adds one row per digest, `rows` of them; the rows are dealt by digest first, so that each bucket gets one sorted file."""
+        if self.buckets is None:
+            self.buckets = max(FEWEST, -(-rows // BUCKET_ROWS))
+        self._write(groups, "append" if self.made else "overwrite")
         self.spark.catalog.refreshTable(self.table)
 
+    def compact(self, path: str | None = None) -> DigestIndex:
+        """The same index in a new place, with one sorted file per bucket and as many buckets as its size asks for; the old one stays until it is dropped."""
+        rows = self.read()
+        n = rows.count()
+        out = DigestIndex.create(self.spark, path)
+        out.append(rows, n)
+        return out
+
+    def drop(self) -> None:
+        """Takes the table out of the catalogue; the files stay at `path`."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def ingest(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deduplicates a batch against the index and itself, appends what is new, and returns a row per document.
@@ -76,22 +108,41 @@ def ingest(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
     Columns: doc_id, keep_id (of the row that stays: one taken in before, or else the longest of the batch), group_size
     (rows of the batch with this text), kept, text_sha256.
     """
+    return _decided(docs, index, id_col, text_col).select("doc_id", "keep_id", "group_size", (F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def without_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """`docs` with exactly one row of each group of equal texts that the index doesn't know; what is new is appended."""
+    rows = _decided(docs, index, "doc_id", "text")
+    stays = F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
+    keys = written(rows.groupBy("doc_id", "h", "digest", stays.alias("stays")).agg(F.count(F.lit(1)).alias("times")), "keys")
+    return without_rows(docs, keys.where("NOT stays"), keys.where("stays AND times > 1"))
+
+
+def _decided(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h, digest, keep_id, keep_h, group_size and is_new of every row; appends what is new."""
     rows = written(digests(docs, id_col, text_col), "digests")
-    best = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")))
-    groups = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.shorter")).alias("n_points"), "group_size")
+    best = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "h"))
+    groups = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("best.id").alias("keep_id"), F.col("best.h").alias("keep_h"), (-F.col("best.shorter")).alias("n_points"), "group_size")
     groups = written(groups, "groups")
     known = index.read().select("digest", F.col("keep_id").alias("known_id"))
     new = written(groups.join(known.hint("merge"), "digest", "left_anti").withColumn("is_new", F.lit(True)), "new")
-    old = groups.join(known.hint("merge"), "digest").select("digest", F.col("known_id").alias("keep_id"), "n_points", "group_size", F.lit(False).alias("is_new"))
-    decided = written(new.unionByName(old), "decided")
-    index.append(new)
-    out = rows.select("doc_id", "digest").join(decided, "digest")
-    return out.select("doc_id", "keep_id", "group_size", (F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    decided = new
+    if index.made:
+        old = groups.join(known.hint("merge"), "digest").select("digest", F.col("known_id").alias("keep_id"), "keep_h", "n_points", "group_size", F.lit(False).alias("is_new"))
+        decided = written(new.unionByName(old), "decided")
+    index.append(new, new.count())
+    # a text that very many rows have is joined where they are
+    per_digest = decided.select("digest", "keep_id", "keep_h", "group_size", "is_new", F.col("group_size").alias("held"))
+    return split_join(rows.select("doc_id", "h", "digest"), per_digest, "digest", rows.count())
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against a new index: doc_id, keep_id, group_size, kept, text_sha256."""
-    return ingest(read_table(spark, sf_dir, "documents"), DigestIndex.create(spark))
+    index = DigestIndex.create(spark)
+    out = ingest(read_table(spark, sf_dir, "documents"), index)
+    index.drop()  # the query's index is its own; its files go with the shared folder
+    return out
 
 
 SQL = r"""

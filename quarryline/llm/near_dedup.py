@@ -1,7 +1,8 @@
 """Operator 6, MinHash near-dedup: bottom-k sketches from one hash function.
 
 1. Each text becomes the set of its distinct 5-word shingles, 64-bit hashes; the K smallest are its sketch.
-2. Equal sets are collapsed to one document each, so copies never meet as pairs.
+2. Equal sets are collapsed to one representative each, so copies never meet as pairs; its id is its smallest doc_id,
+   or a hash of the set where that is missing or another set has it too.
 3. Inverted lists: a document is listed under its rarest retained values only, as many as two linked documents can't
    all miss. Linked documents (Jaccard 0.75 or more) share about three quarters of their retained values, and at least
    half of them but for a chance of about one in a million; so half of the values and one more, in one order common to
@@ -16,8 +17,13 @@
 6. The exact Jaccard value of the whole sets decides.
 
 Cases: null, empty and white-space texts have no shingles, are linked with nothing and keep themselves; fewer than
-five words make one shingle; repeated rows and equal texts are one component under the smallest doc_id; a row without
-doc_id is its own (null) component unless its set has a row with an id; an empty table gives an empty result; extra columns are not read.
+five words make one shingle; repeated rows, ties and equal texts are one component under the smallest doc_id; very long
+texts are hashed in segments and their sets are whole; rows without doc_id are linked like others, and a component of
+such rows only is null; an empty table gives an empty result; extra columns are not read. `without_copies` keeps one row
+of each component, also where rows repeat an id or have none, and every row without words.
+
+Hot values: a list value or a node with more than a thousandth of all rows is joined by broadcast (fewer than a thousand
+such rows exist), so no task gathers the documents that hold a common passage.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import ByteWords, bounded_batches, list_array, mix, read_table, shingle_hashes, slices, utf8, white_space, written
+from quarryline.llm.common import ByteWords, bounded_batches, list_array, mix, read_table, row_key, shingle_hashes, slices, split_join, utf8, white_space, without_rows, written
 from quarryline.llm.components import connected
 
 WIDTH, K = 5, 64
@@ -55,7 +61,7 @@ def text_sets(batch_column, width: int):
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
-    """doc_id, n (size of the set), s1 and s2 (a signature of the whole set), sketch (its k smallest hashes)."""
+    """doc_id, h (hash of the text), n (size of the set), s1 and s2 (a signature of the whole set), sketch (its k smallest hashes)."""
 
     def sketch(batches):
         import pyarrow as pa
@@ -70,13 +76,17 @@ def sketches(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
                 kept.append(s[:k])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])])
             flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), list_array(flat, offsets)], ["doc_id", "n", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), list_array(flat, offsets)], ["doc_id", "h", "n", "s1", "s2", "sketch"])
+
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("h"))).mapInArrow(sketch, "doc_id long, h long, n long, s1 long, s2 long, sketch array<bigint>")
+
 
-    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(sketch, "doc_id long, n long, s1 long, s2 long, sketch array<bigint>")
+#: What tells sets apart: their size and two sums of their hashes.
+SET = ["n", "s1", "s2"]
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and the whole set, for the documents in `ids` (one column, `id`)."""
+def whole_sets(docs: DataFrame, rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """id and the whole set, for one document of each set in `rows` (id, doc_id, h)."""
 
     def sets(batches):
         import pyarrow as pa
@@ -86,9 +96,12 @@ def whole_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
             yield pa.RecordBatch.from_arrays([part.column(0), list_array(np.concatenate(found), offsets)], ["id", "items"])
 
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+    rows = rows.select(F.col("id").alias("of_set"), F.col("doc_id").alias("of_doc"), F.col("h").alias("of_text"))
+    if rows.count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    own = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text"))
+    texts = own.join(rows, F.col("d").eqNullSafe(F.col("of_doc")) & (row_key() == F.col("of_text"))).select(F.col("of_set").alias("id"), "text")
+    # a row that stands twice gives its set twice
     return bounded_batches(texts).mapInArrow(sets, "id long, items array<bigint>")
 
 
@@ -102,8 +115,9 @@ def prefixes(values: DataFrame, share_floor) -> DataFrame:
     `share_floor` maps s to the least number of values that a linked document shares; a document is listed under its
     s - share_floor + 1 rarest values. Values that one document has alone come first and are never listed.
     """
-    often = values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    listed = values.join(often, "v")
+    often = written(values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "often")
+    total = often.agg(F.sum("freq")).first()[0] or 0
+    listed = split_join(values, often.withColumn("held", F.col("freq")), "v", total)
     mine = Window.partitionBy("id")
     place = F.col("s") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("freq", "v"))
     return listed.select("v", "id", "n", "s", place.alias("place")).where(F.col("place") <= F.col("s") - share_floor(F.col("s")) + 1).select("v", "id", "n", "place")
@@ -143,25 +157,34 @@ class _Linker:
         comps = connected(self.links).withColumnRenamed("node", "id")
         now = written(lists.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "placed")
         sizes = now.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
-        major = sizes.groupBy("v").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("v", F.col("top.comp").alias("major"))
-        return written(now.join(major, "v"), "open")
+        major = sizes.groupBy("v").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("held")).where("comps > 1").select("v", F.col("top.comp").alias("major"), "held")
+        return written(split_join(now, written(major, "major"), "v", now.count()), "open")
+
+
+def led(rows: DataFrame, order, total: int) -> DataFrame:
+    """The rows of lists with `lead`, the least of `order` in their list."""
+    leaders = written(rows.groupBy("v").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("held")), "leaders")
+    return split_join(rows, leaders, "v", total)
 
 
 def links_of(docs: DataFrame, reps: DataFrame, width: int, k: int, threshold: int) -> DataFrame:
     """Links (a, b) that give the components of `reps` (id, n, sketch)."""
     values = reps.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     lists = written(prefixes(values, lambda s: F.ceil(s / 2)), "lists")
-    sets = written(whole_sets(docs, lists.select("id").distinct(), width), "sets")
+    total = lists.count()
+    listed = lists.select("id").distinct()
+    sets = written(whole_sets(docs, reps.join(listed, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
     linker = _Linker(reps, sets, k, threshold)
-    leaders = lists.groupBy("v").agg(F.min(F.struct("id", "n")).alias("lead"))
-    linker.test(lists.join(leaders, "v").where(_sizes_fit(F.col("n"), F.col("lead.n"), threshold)).select(F.col("lead.id").alias("a"), F.col("id").alias("b")))
+    with_lead = led(lists, F.struct("id", "n"), total)
+    linker.test(with_lead.where(_sizes_fit(F.col("n"), F.col("lead.n"), threshold)).select(F.col("lead.id").alias("a"), F.col("id").alias("b")))
     open_lists = linker.placed(lists)
     for round_ in range(2):  # other leaders, of the largest component of each list
         order = F.struct(F.xxhash64("v", "id", F.lit(round_)).alias("h"), "id", "n")
-        leaders = open_lists.where("comp = major").groupBy("v").agg(F.min(order).alias("lead"))
-        rest = open_lists.where("comp <> major").join(leaders, "v").where(_sizes_fit(F.col("n"), F.col("lead.n"), threshold))
+        leaders = written(open_lists.groupBy("v").agg(F.min(F.when(F.col("comp") == F.col("major"), order)).alias("lead"), F.count(F.lit(1)).alias("held")), "leaders")
+        rest = split_join(open_lists.where("comp <> major"), leaders, "v", total).where(_sizes_fit(F.col("n"), F.col("lead.n"), threshold))
         linker.test(rest.select(F.col("lead.id").alias("a"), F.col("id").alias("b")))
-        open_lists = linker.placed(lists.join(open_lists.select("v").distinct(), "v", "left_semi"))
+        still = written(open_lists.groupBy("v").agg(F.count(F.lit(1)).alias("held")), "still")
+        open_lists = linker.placed(split_join(lists, still, "v", total, "left_semi"))
     again = open_lists.select("id", "n").distinct()
     from_sets = again.join(sets, "id").select("id", "n", F.col("n").alias("s"), F.explode("items").alias("v"))
     finer = linker.placed(written(prefixes(from_sets, lambda s: F.ceil(s * threshold / 100)), "finer"))
@@ -175,16 +198,46 @@ def links_of(docs: DataFrame, reps: DataFrame, width: int, k: int, threshold: in
     return linker.links
 
 
+def representatives(sketched: DataFrame) -> DataFrame:
+    """One row per set: id (unique), doc_id and h of one of its rows, held (how many it has), sketch, and what tells it apart."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h"))
+    reps = sketched.where("n > 0").groupBy(*SET).agg(first.alias("row"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("held"))
+    reps = written(reps.select(*SET, "sketch", "held", "row.doc_id", "row.h"), "reps")
+    shared = written(reps.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.struct("doc_id").alias("shared")), "shared")
+    if shared.isEmpty():
+        return reps.withColumn("id", F.col("doc_id"))
+    found = reps.join(shared, F.col("doc_id").eqNullSafe(F.col("shared.doc_id")), "left")
+    return written(found.withColumn("id", F.when(F.col("shared").isNotNull(), F.xxhash64(*SET)).otherwise(F.col("doc_id"))).drop("shared"), "reps")
+
+
+def members(docs: DataFrame, width: int = WIDTH, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, h, n and comp of every row: `comp` stands for the row's component, null without words."""
+    sketched = written(sketches(docs, width, k), "sketches")
+    reps = representatives(sketched)
+    found = connected(links_of(docs, reps, width, k, threshold)).withColumnRenamed("node", "id")
+    placed = written(reps.select("id", "held", *SET).join(found, "id", "left").select(*SET, "held", F.coalesce("component", "id").alias("comp")), "placed")
+    own = sketched.select("doc_id", "h", *SET)
+    linked = split_join(own.where("n > 0"), placed, SET, sketched.count()).select("doc_id", "h", "n", "comp")
+    return linked.unionByName(own.where("n = 0").select("doc_id", "h", "n", F.lit(None).cast("long").alias("comp")))
+
+
 def near_components(docs: DataFrame, width: int = WIDTH, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    sketched = written(sketches(docs, width, k), "sketches")
-    key = ["n", "s1", "s2"]
-    reps = written(sketched.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "reps")
-    links = links_of(docs, reps.where("id IS NOT NULL").select("id", "n", "sketch"), width, k, threshold)
-    members = sketched.select("doc_id", *key).join(reps.select("id", *key), key, "left")
-    out = members.join(connected(links).withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    rows = written(members(docs, width, k, threshold), "members")
+    least = written(rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")), "least")
+    linked = split_join(rows.where("comp IS NOT NULL"), least, "comp", rows.count()).select("doc_id", "n", F.col("least").alias("component"))
+    out = linked.unionByName(rows.where("comp IS NULL").select("doc_id", "n", F.col("doc_id").alias("component")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def without_copies(docs: DataFrame, width: int = WIDTH, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
+    """`docs` with one row of each component: that with the smallest id, of several such rows that with the smallest text hash."""
+    rows = written(members(docs, width, k, threshold).where("comp IS NOT NULL"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    keys = written(rows.groupBy("comp", "doc_id", "h").agg(F.count(F.lit(1)).alias("times")), "keys")
+    best = written(keys.groupBy("comp").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("held")), "best")
+    judged = split_join(keys, best, "comp", keys.count()).withColumn("stays", F.col("best").eqNullSafe(order))
+    return without_rows(docs, judged.where("NOT stays"), judged.where("stays AND times > 1"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

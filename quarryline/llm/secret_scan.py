@@ -20,11 +20,8 @@ result; extra columns are not read; the number of spans in a text has no limit.
 
 from __future__ import annotations
 
-import builtins
 import hashlib
-import keyword
 import math
-import sys
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,10 +50,25 @@ def random_samples(n: int = 3000) -> list[str]:
     return out
 
 
+#: Words that programmers put names together from.
+WORDS = (
+    "abstract", "accept", "access", "account", "action", "add", "address", "after", "all", "append", "application", "apply", "argument", "array", "assert", "async", "attribute", "await", "base", "batch",
+    "before", "begin", "body", "bool", "break", "buffer", "builder", "button", "byte", "cache", "call", "cancel", "card", "case", "catch", "channel", "char", "check", "child", "class",
+    "client", "close", "code", "collection", "column", "command", "commit", "common", "compare", "compile", "component", "config", "connection", "constant", "container", "content", "context", "continue", "controller", "copy",
+    "count", "create", "current", "customer", "data", "date", "debug", "decode", "default", "delete", "description", "dictionary", "directory", "disable", "document", "double", "download", "element", "enable", "encode",
+    "endpoint", "entity", "enumerate", "error", "event", "exception", "execute", "export", "factory", "field", "file", "filter", "finally", "float", "folder", "format", "frame", "function", "generate", "get",
+    "global", "group", "handler", "hash", "header", "height", "identifier", "image", "import", "index", "init", "input", "instance", "integer", "interface", "internal", "item", "iterator", "join", "json",
+    "kernel", "language", "length", "level", "library", "limit", "list", "load", "local", "lock", "logger", "lookup", "main", "manager", "map", "maximum", "memory", "message", "method", "minimum",
+    "model", "module", "name", "network", "next", "node", "number", "object", "offset", "open", "option", "order", "output", "package", "page", "parameter", "parent", "parse", "path", "pattern",
+    "payment", "port", "position", "previous", "print", "process", "product", "property", "provider", "public", "query", "queue", "quick", "random", "range", "read", "record", "request", "response", "result",
+    "return", "root", "row", "schedule", "schema", "search", "select", "service", "session", "size", "source", "status", "string", "system", "thread", "update", "user", "value", "version", "window",
+)
+
+
 def ordinary_samples() -> list[str]:
-    """Labelled 0: names that programmers chose (of the standard library), alone and joined as identifiers and paths are, and long words."""
-    names = sorted({*keyword.kwlist, *dir(builtins), *dir(str), *dir(dict), *dir(int), *sys.stdlib_module_names, *vars(math)})
-    words = [p for n in names for p in n.strip("_").split("_") if p]
+    """Labelled 0: names as programmers make them from common words, alone and joined as identifiers and paths are."""
+    names = list(WORDS)
+    words = names + names[::-1] + names[::3] + names[1::3] + names[2::3]
     joined = []
     for i in range(len(words) - 2):
         a, b, c = words[i], words[(i * 7 + 3) % len(words)], words[(i * 13 + 5) % len(words)]
@@ -122,6 +134,26 @@ def placed(text: Column, pattern: str, found: Column) -> Column:
     return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(kind))
 
 
+def apart(spans: Column, others: Column) -> Column:
+    """The spans, sorted and without overlap among themselves, that overlap none of the others.
+
+    As many others overlap a span as begin before its end less those that end by its start. Both counts are read off a
+    sorted list of places, so the work grows with the number of spans and not with its square.
+    """
+
+    def before(place, other, tie: int) -> Column:
+        """For each span, how many of the others' places come before its own; `tie`: whether equal ones do."""
+        own = F.transform(spans, lambda x: F.struct(place(x).alias("at"), F.lit(tie).alias("tag")))
+        events = F.array_sort(F.concat(own, F.transform(others, lambda y: F.struct(other(y).alias("at"), F.lit(1 - tie).alias("tag")))))
+        held = F.filter(F.transform(events, lambda e, i: F.struct(e["tag"].alias("tag"), i.alias("i"))), lambda e: e["tag"] == tie)
+        return F.transform(held, lambda e, j: e["i"] - j)
+
+    begun, over = before(lambda x: x.end, lambda y: y.start, 0), before(lambda x: x.start, lambda y: y.end, 1)
+    judged = F.arrays_zip(spans.alias("span"), begun.alias("begun"), over.alias("over"))
+    free = F.transform(F.filter(judged, lambda z: z["begun"] == z["over"]), lambda z: z["span"])
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), free).otherwise(spans)
+
+
 def spans_of(docs: DataFrame, table: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc_id and the spans of each kind: assign, access, hex and markov, arrays of (start, end, hit)."""
     table = table or train(random_samples(), ordinary_samples())
@@ -141,10 +173,9 @@ def spans_of(docs: DataFrame, table: list[int] | None = None, id_col: str = "doc
     value = F.regexp_extract
     long_enough = lambda x: F.length(value(x.hit, ASSIGN, 1)) >= 6
     kept = places.select("doc_id", F.filter("assign", long_enough).alias("assign"), "access", "hex", F.filter("runs", random).alias("runs"), F.filter("pieces", random).alias("pieces"))
-    apart = lambda c: lambda x: ~F.exists(c, lambda y: (x.start < y.end) & (y.start < x.end))
-    free = apart(F.concat("assign", "access", "hex"))
-    found = kept.select("doc_id", "assign", "access", "hex", F.filter("runs", free).alias("runs"), F.filter("pieces", free).alias("pieces"))
-    return found.select("doc_id", "assign", "access", "hex", F.array_sort(F.concat("runs", F.filter("pieces", apart(F.col("runs"))))).alias("markov"))
+    base = F.concat("assign", "access", "hex")
+    found = kept.select("doc_id", "assign", "access", "hex", apart(F.col("runs"), base).alias("runs"), apart(F.col("pieces"), base).alias("pieces"))
+    return found.select("doc_id", "assign", "access", "hex", F.array_sort(F.concat("runs", apart(F.col("pieces"), F.col("runs")))).alias("markov"))
 
 
 def joined(*kinds: tuple[str, str]) -> Column:

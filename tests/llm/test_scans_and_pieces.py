@@ -288,3 +288,71 @@ def test_pipeline_is_its_stages_by_brute_force(spark, sf_dir):
             assert (i not in got) == leaks(docs[i].text), i
     assert all(r.round_trip and r.text == docs[i].text for i, r in got.items())
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+ODD = [(3, "dup  text of five words", "a"), (5, "dup text of five words", "b"), (5, "only copy of this other text", "c"), (1, "same same same same same", "d"), (1, "same same same same same", "e"), (None, "no id stands here at all", "f"), (None, "no id stands here at all", "g"), (None, None, "h"), (9, "", None)]
+
+
+def odd_docs(spark, rows=ODD):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS gone_id", "2 AS ids", "3 AS n_tokens", "4 AS row", "5 AS h", "6 AS key", "7 AS guess", "8 AS decoded")
+
+
+def test_stages_keep_one_row_of_each_group_whatever_the_ids(spark, sf_dir):
+    import corpus_pipeline
+
+    d = odd_docs(spark)
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        out = stage(spark, d, sf_dir)
+        assert out.columns == d.columns
+        got = sorted((str(r.doc_id), r.text or "") for r in out.collect())
+        want = [("1", ODD[3][1]), ("5", ODD[2][1]), ("None", ODD[5][1])]
+        # exact: the longer of the copies, and one empty text; near: the smaller id, and all texts without words
+        want += [("3", ODD[0][1]), ("9", "")] + ([("None", "")] if stage is corpus_pipeline.near else [])
+        assert got == sorted(want), stage
+        assert stage(spark, d.limit(0), sf_dir).count() == 0
+
+
+def test_stages_that_judge_rows_alone(spark, sf_dir):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    d = odd_docs(spark, [*ODD, (None, f"before {item} after", "x")])
+    clean = corpus_pipeline.decontaminated(spark, d, sf_dir)
+    assert clean.columns == d.columns and sorted(map(str, clean.collect())) == sorted(map(str, odd_docs(spark).collect()))
+    out = corpus_pipeline.encoded(spark, d, sf_dir).collect()
+    assert len(out) == len(ODD) + 1 and all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
+    spoken = corpus_pipeline.language(spark, d, sf_dir)
+    assert spoken.columns == d.columns and spoken.where("text IS NULL OR text = ''").count() == 0
+    assert corpus_pipeline.language(spark, d.limit(0), sf_dir).count() == corpus_pipeline.encoded(spark, d.limit(0), sf_dir).count() == 0
+
+
+# --- robustness of scans and surrogates ---
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    text = " ".join(f"token=abcdefgh{k} Zq8Xw3Lk9Pv2Rt7Yb4Nm6Jd{k % 10}" for k in range(50_000))
+    began = time.time()
+    r = secret_scan.spans_of(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(r["assign"]) == 50_000 and len(r.markov) > 45_000 and time.time() - began < 60
+
+
+def test_surrogates_of_hard_texts(spark):
+    long_host = "x@" + "a." * 500_000 + "com"
+    rows = [
+        (1, "Dr Priya Raman and Wei Zhang met Smith. Mr Smith spoke. SMITH said so to Zhang; my name is Bob Marley"),
+        (2, long_host),
+        (None, "mail someone@corp.com, Mr Jones\x01\x02 Jones \x02\x04"),
+        (4, "Under the Apache License and in New York nobody is named."),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'kept' AS hits", "1 AS attempts", "2 AS of_doc", "3 AS row", "4 AS new")
+    out = pii_surrogates.pseudonymised(d)
+    assert out.columns == [*d.columns, "n_entities"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert not re.search(r"(?i)Priya|Raman|Wei|Zhang|Smith|Bob|Marley", got[1].text) and got[1].hits == "kept"
+    again = re.match(r"Dr (\w+) (\w+) and (\w+) (\w+) met (\w+)\. Mr (\w+) spoke\. (\w+) said so to (\w+); my name is", got[1].text)
+    assert again and again[5] == again[6] and again[7] == again[5].upper() and again[8] == again[4]
+    assert len(got[2].text) == len(long_host) and got[2].text.endswith(".com") and got[2].text[:100] != long_host[:100]
+    assert re.fullmatch(r"mail \w+@\w+\.com, Mr (\w+)\x01\x02 \1 \x02\x04", got[None].text) and "Jones" not in got[None].text
+    assert got[4].text == rows[3][1] and got[4].n_entities == 0
