@@ -80,7 +80,7 @@ def row_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """`docs` without the rows of `gone`, and with one row for each key of `repeated`; both have doc_id and h (`row_key`).
 
     Rows are told apart by id and text, so neither a missing nor a shared id takes out another text. Of rows that are
@@ -91,9 +91,9 @@ def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataF
     apart = lambda keys: keys.select(F.struct(F.col("doc_id").alias("i"), F.col("h").alias("h")).alias("key")).distinct()
     on = F.col("row.doc_id").eqNullSafe(F.col("key.i")) & (row_key("row.text") == F.col("key.h"))
     small = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    gone, repeated = written(apart(gone), "gone"), written(apart(repeated), "repeated")
-    out = rows.join(small(gone), on, "left_anti")
-    if not repeated.isEmpty():
+    out = rows.join(small(written(apart(gone), "gone")), on, "left_anti")
+    repeated = None if repeated is None else written(apart(repeated), "repeated")
+    if repeated is not None and not repeated.isEmpty():
         held = out.join(small(repeated), on, "left_semi").groupBy(F.col("row.doc_id").alias("i"), row_key("row.text").alias("h")).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
         out = out.join(small(repeated), on, "left_anti").unionByName(held)
     return out.select(*(F.col(f"row.`{c}`") for c in columns))
@@ -223,6 +223,14 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def rolled(words: np.ndarray):
+    """A function that gives the hashes of all runs of n words (Karp-Rabin), for any n, in time that doesn't depend on n."""
+    up, down = _powers(_P, len(words)), _powers(_P_INV, len(words))
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words) * up[:-1], out=sums[1:])
+    return lambda n: mix((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
+
+
 def utf8(column):
     """Bytes and offsets of an Arrow string column; nulls are empty."""
     import pyarrow as pa

@@ -101,3 +101,42 @@ def test_grams_don_t_depend_on_where_a_text_is_cut(monkeypatch):
     whole = language_id.counts(text)
     monkeypatch.setattr(language_id, "PIECE", 37)
     assert (language_id.counts(text) == whole).all()
+
+
+def test_scores_are_those_of_naive_bayes_written_out(spark):
+    import math
+
+    def grams(text):
+        padded, out = "  " + "".join(c if c.isalpha() else " " for c in text.lower()), []
+        for i in range(2, len(padded)):
+            h = 0
+            for n in range(3 if padded[i] != " " else 0):
+                h = ((h ^ ord(padded[i - n])) * 0x85EBCA6B + n + 1) % 2**32
+                out.append(((h ^ (h >> 15)) * 0xC2B2AE35 % 2**32) >> (32 - 13))
+        return out
+
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("Der Hund läuft", "de"), ("the dog runs", "en"), ("the cat, the dog", "en"), ("el perro y la casa", "es"), ("Σ οδός", "el")] * 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = ["der dog", "la casa the", "Hund Σ", "the the the", "x", None, "12", ""]
+    langs = sorted({r[2] for r in rows})
+    tables = {x: [0.5] * language_id.BUCKETS for x in langs}
+    for _, t, x in rows:
+        for g in grams(t):
+            tables[x][g] += 1
+    n_rows = {x: sum(r[2] == x for r in rows) + 0.5 for x in langs}
+    model = language_id.fit(d)
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(list(enumerate(asked)) + [(0, asked[0])], "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(asked):
+        g = grams(text or "")
+        if not g:
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+            continue
+        score = {x: math.log(n_rows[x] / sum(n_rows.values())) + sum(math.log(tables[x][i] / sum(tables[x])) for i in g) for x in langs}
+        best = max(langs, key=score.get)
+        assert got[k].lang_pred == best and got[k].score == pytest.approx(1 / sum(math.exp(s - score[best]) for s in score.values()))
+    assert language_id.fit(d, max_languages=2).languages == ("de", "en")
+
+
+@pytest.mark.parametrize(("url", "verdict"), [("https://royal-blackjack.io/table", "block"), ("https://news.site.io/betting/odds", "block"), ("https://news.site.io/odds", "allow"), ("https://essex.ac.uk/sussex", "allow"), ("https://cheap.io/cheap", "allow"), ("https://a.io/" + "x/" * 100_000 + "porn", "block")])
+def test_urls_that_the_vocabulary_was_not_made_from(spark, url, verdict):
+    assert url_filter.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).first().verdict == verdict
