@@ -36,9 +36,9 @@ def level(score: Column) -> Column:
     return F.when(score <= 0, "none").when(score < 0.5, "low").when(score < 0.8, "medium").otherwise("high")
 
 
-def issues(*cases: tuple[Column, str, str]) -> Column:
-    """An array of (code, severity) of the cases that hold; a null condition doesn't."""
-    made = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for c, code, severity in cases]
+def issues(*cases: tuple[Column, str | Column, str]) -> Column:
+    """An array of (code, severity) of the cases that hold; a null condition doesn't. A code may be a column."""
+    made = [F.when(F.coalesce(c, F.lit(False)), F.struct((code if isinstance(code, Column) else F.lit(code)).alias("code"), F.lit(severity).alias("severity"))) for c, code, severity in cases]
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 

@@ -102,10 +102,10 @@ def bundle_verdict(papers: Column, kinds: Column, n_evidence: Column, without: C
     from quarryline.functions.confidence import issues
 
     return issues(
-        (n_evidence == 0, "bundle_no_evidence", "error"),
-        ((without > 0) & (n_evidence > 0), "bundle_objects_without_evidence", "warning"),
-        (F.size(papers) == 0, "bundle_no_papers", "error"),
-        (F.size(papers) == 1, "bundle_single_source", "warning"),
+        (n_evidence == 0, "bundle_without_evidence", "error"),
+        ((without > 0) & (n_evidence > 0), "objects_without_evidence", "warning"),
+        (F.size(papers) == 0, "no_supporting_papers", "error"),
+        (F.size(papers) == 1, "single_source_coverage", "warning"),
     )
 
 

@@ -67,7 +67,8 @@ def build_edges(objects: DataFrame, relations: DataFrame, contradictions: DataFr
 
     related = edge(ends(relations, "subject_id", "object_id").select("source_id", "target_id", "grounded", "confidence", "ord", F.upper("predicate").alias("k")), F.col("k")).drop("k")
     against = edge(ends(contradictions, "left_id", "right_id").select("source_id", "target_id", "grounded", "confidence", "ord"), F.lit("CONTRADICTS"))
-    rank = F.when(F.col("kind") == "MENTIONS", F.struct(-F.col("ord").cast("double"), -F.col("ord"))).when(F.col("kind") == "CONTRADICTS", F.struct(F.col("ord").cast("double"), F.col("ord"))).otherwise(F.struct(F.col("confidence"), -F.col("ord")))
+    worth = lambda value, place: F.struct(value.cast("double").alias("value"), place.cast("long").alias("place"))
+    rank = F.when(F.col("kind") == "MENTIONS", worth(-F.col("ord"), -F.col("ord"))).when(F.col("kind") == "CONTRADICTS", worth(F.col("ord"), F.col("ord"))).otherwise(worth(F.col("confidence"), -F.col("ord")))
     every = mentions.unionByName(related).unionByName(against)
     return every.groupBy("id").agg(F.max_by(F.struct("kind", "source_id", "target_id", "grounded", "confidence"), rank).alias("e")).select("id", "e.*")
 

@@ -177,10 +177,14 @@ def citations(texts: DataFrame) -> DataFrame:
     return texts.select("document_id", "section_id", "paragraph_index", F.posexplode(found).alias("pos", "marker"))
 
 
+def last_references(references: DataFrame) -> DataFrame:
+    """J-10: of a document's references with one marker the last counts."""
+    return references.where("marker IS NOT NULL").groupBy("document_id", "marker").agg(F.max_by("ref_id", "ord").alias("ref_id"))
+
+
 def resolve_citations(found: DataFrame, references: DataFrame) -> DataFrame:
-    """J-10: markers to references; of references with one marker the last counts."""
-    last = references.where("marker IS NOT NULL").groupBy("document_id", "marker").agg(F.max_by("ref_id", "ord").alias("ref_id"))
-    return found.join(last, ["document_id", "marker"], "left")
+    """J-10: markers to references."""
+    return found.join(last_references(references), ["document_id", "marker"], "left")
 
 
 def self_metadata(blocks: DataFrame) -> DataFrame:

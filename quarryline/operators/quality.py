@@ -9,7 +9,7 @@ from quarryline.functions.confidence import issues, mean_of, signal, succeeds
 from quarryline.functions.text import all_numbers_in, normalise, symmetric_overlap, tokens
 
 #: Names that name nothing.
-GENERIC_NAMES = ("dataset", "datasets", "method", "methods", "metric", "metrics", "model", "models", "result", "results", "data", "approach", "technique", "none", "unknown")
+GENERIC_NAMES = ("dataset", "datasets", "method", "methods", "metric", "metrics", "model", "result", "results", "data", "approach", "technique", "n/a", "none", "unknown")
 CANONICAL = ("abstract", "introduction", "related_work", "methodology", "results", "conclusion", "references")
 
 
@@ -37,7 +37,7 @@ def pdf(docs: DataFrame, least_per_page: int = 200, most_empty: float = 0.5) ->
 def sections(docs: DataFrame, least_sections: int = 1, least_words: int = 500) -> DataFrame:
     """Q-02: (n_sections, kinds, mean_detection, body_words)."""
     known = F.size(F.array_intersect("kinds", F.array(*map(F.lit, CANONICAL))))
-    found = issues((F.col("n_sections") < least_sections, "sections_missing", "error"), ((F.col("n_sections") >= least_sections) & (known == 0), "sections_unrecognised", "error"), (F.col("body_words") < least_words, "sections_body_short", "warning"))
+    found = issues((F.col("n_sections") < least_sections, "sections_missing", "error"), ((F.col("n_sections") >= least_sections) & (known == 0), "sections_unrecognised", "error"), (F.col("body_words") < least_words, "body_text_short", "warning"))
     return verdict(docs, found, [signal("canonical_coverage", known / len(CANONICAL)), signal("heading_confidence", F.coalesce("mean_detection", F.lit(0.0))), signal("body_volume", capped(F.col("body_words"), least_words * 4))])
 
 
@@ -60,7 +60,7 @@ def metadata(docs: DataFrame, least: float = 0.75) -> DataFrame:
     likeness = symmetric_overlap(tokens(F.col("title")), tokens(F.col("known_title")))
     missing = F.col("title").isNull()
     both = F.col("doi").isNotNull() & F.col("known_doi").isNotNull()
-    found = issues((missing, "title_missing", "warning"), (~missing & (likeness < least), "title_mismatch", "warning"), (both & (F.col("doi") != F.col("known_doi")), "doi_mismatch", "error"))
+    found = issues((missing, "document_title_missing", "warning"), (~missing & (likeness < least), "metadata_title_mismatch", "warning"), (both & (F.col("doi") != F.col("known_doi")), "metadata_doi_mismatch", "error"))
     doi = F.when(~both, 0.5).otherwise((F.col("doi") == F.col("known_doi")).cast("double"))
     return verdict(docs, found, [signal("self_metadata_completeness", F.col("n_known") / 5), signal("title_agreement", F.when(missing, 0.0).otherwise(likeness)), signal("doi_agreement", doi)])
 
@@ -78,7 +78,7 @@ def result(results: DataFrame) -> DataFrame:
     """Q-07: (metric, value_text, quote, dataset, unit)."""
     supported = all_numbers_in(F.coalesce("value_text", F.lit("")), F.coalesce("quote", F.lit(""))) & (F.coalesce("value_text", F.lit("")) != "")
     context = (F.col("dataset").isNotNull().cast("int") + F.col("unit").isNotNull().cast("int")) / 2
-    found = issues((F.coalesce("metric", F.lit("")) == "", "result_no_metric", "error"), (~supported, "result_value_unsupported", "error"))
+    found = issues((F.coalesce("metric", F.lit("")) == "", "result_without_metric", "error"), (~supported, "result_value_unsupported", "error"))
     return verdict(results, found, [signal("value_in_quote", supported.cast("double")), signal("result_context", context)])
 
 
@@ -86,7 +86,7 @@ def completeness(objects: DataFrame, least_name: int = 2, least_claim: int = 20)
     """Q-08: (kind, name, description)."""
     name, description = F.trim("name"), F.coalesce("description", F.lit(""))
     claim = F.col("kind").isin("result", "limitation", "future_work")
-    found = issues((F.lower(name).isin(*GENERIC_NAMES), "generic_name", "error"), (F.length(name) < least_name, "name_too_short", "error"), (claim & (F.length(description) < least_claim), "claim_too_thin", "warning"))
+    found = issues((normalise(name).isin(*GENERIC_NAMES), "name_too_generic", "error"), (F.length(name) < least_name, "name_too_short", "error"), (claim & (F.length(description) < least_claim), "claim_underspecified", "warning"))
     return verdict(objects, found, [signal("specificity", capped(F.length(name), 24)), signal("description_present", (F.trim(description) != "").cast("double"))])
 
 
@@ -95,19 +95,19 @@ def relationships(relations: DataFrame) -> DataFrame:
     from quarryline.operators.graph import edge_problem
 
     problem = edge_problem(F.upper("predicate"), F.col("subject_kind"), F.col("object_kind"))
-    found = issues((problem == "dangling_endpoint", "relation_dangling", "error"), (problem == "source_kind_mismatch", "relation_domain", "error"), (problem == "target_kind_mismatch", "relation_range", "error"))
+    found = issues((problem == "dangling_endpoint", "relation_dangling", "error"), (problem == "source_kind_mismatch", "relation_domain_mismatch", "error"), (problem == "target_kind_mismatch", "relation_range_mismatch", "error"))
     return verdict(relations, found, [signal("integrity", problem.isNull().cast("double"))])
 
 
 def knowledge_coverage(papers: DataFrame) -> DataFrame:
     """Q-10: (n_objects, n_kinds, n_evidence)."""
-    return verdict(papers, issues((F.col("n_objects") == 0, "nothing_extracted", "error")), [signal("kind_coverage", F.col("n_kinds") / 6), signal("evidence_density", F.least(ratio(F.col("n_evidence"), F.col("n_objects")), F.lit(1.0)))])
+    return verdict(papers, issues((F.col("n_objects") == 0, "no_knowledge_extracted", "error")), [signal("kind_coverage", F.col("n_kinds") / 6), signal("evidence_density", F.least(ratio(F.col("n_evidence"), F.col("n_objects")), F.lit(1.0)))])
 
 
 def bundle(bundles: DataFrame) -> DataFrame:
     """Q-11, Q-12: (n_objects, with_evidence, n_evidence, n_imprecise, n_papers, n_kinds)."""
     n = F.col("n_evidence")
-    found = issues((n == 0, "bundle_no_evidence", "error"), ((n > 0) & (F.col("with_evidence") < F.col("n_objects")), "bundle_objects_without_evidence", "warning"), (F.col("n_imprecise") > 0, "bundle_imprecise_evidence", "warning"), (F.col("n_papers") == 0, "bundle_no_papers", "error"), (F.col("n_papers") == 1, "bundle_single_source", "warning"))
+    found = issues((n == 0, "bundle_without_evidence", "error"), ((n > 0) & (F.col("with_evidence") < F.col("n_objects")), "objects_without_evidence", "warning"), (F.col("n_imprecise") > 0, "imprecise_provenance", "warning"), (F.col("n_papers") == 0, "no_supporting_papers", "error"), (F.col("n_papers") == 1, "single_source_coverage", "warning"))
     return verdict(bundles, found, [signal("traceability", ratio(F.col("with_evidence"), F.col("n_objects"))), signal("paper_diversity", capped(F.col("n_papers"), 3)), signal("kind_diversity", capped(F.col("n_kinds"), 3))])
 
 
@@ -121,13 +121,13 @@ def finding(findings: DataFrame) -> DataFrame:
     """Q-14 to Q-17: (n_citations, n_unresolved, n_papers, verdict, overclaims, n_contradicting)."""
     v = F.col("verdict")
     found = issues(
-        (F.col("n_citations") == 0, "finding_no_citations", "error"),
-        (F.col("n_unresolved") > 0, "finding_unresolved_citations", "error"),
-        (F.col("n_papers") == 1, "finding_single_source", "warning"),
-        (v.isNull(), "finding_not_verified", "error"),
-        (v.isNotNull() & (v != "verified"), "finding_verdict", "error"),
-        (F.col("overclaims"), "finding_overclaiming", "error"),
-        (F.col("n_contradicting") > 0, "finding_contradicted", "error"),
+        (F.col("n_citations") == 0, "no_citations", "error"),
+        (F.col("n_unresolved") > 0, "unresolved_citations", "error"),
+        (F.col("n_papers") == 1, "single_source", "warning"),
+        (v.isNull(), "not_verified", "error"),
+        (v.isNotNull() & (v != "verified"), F.concat(F.lit("verdict_"), v), "error"),
+        (F.col("overclaims"), "overclaiming", "error"),
+        (F.col("n_contradicting") > 0, "contradicted", "error"),
     )
     total = F.col("n_citations") + F.col("n_unresolved")
     return verdict(findings, found, [signal("citation_completeness", ratio(F.col("n_citations"), total)), signal("source_diversity", capped(F.col("n_papers"), 2)), signal("verification", (v == "verified").cast("double")), signal("uncontradicted", (F.col("n_contradicting") == 0).cast("double"))])

@@ -381,8 +381,9 @@ def citation_resolution(spark, sf):
     p = roles.table(spark, sf, "part").select(F.col("p_partkey").alias("document_id"), F.lit("s").alias("section_id"), F.lit(0).alias("paragraph_index"), F.expr("'as shown [' || p_size || ', ' || (p_size + 1) || ']'").alias("text"))
     found = layout.citations(p)
     refs = roles.table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("marker"), F.col("n_name").alias("ref_id"), F.col("n_nationkey").alias("ord"))
-    every = found.select("document_id").distinct().withColumn("one", F.lit(1)).join(refs.withColumn("one", F.lit(1)), "one")
-    return layout.resolve_citations(found, every).select("document_id", "marker", "ref_id")
+    # one list of references for all documents: the marker alone is the key
+    last = layout.last_references(refs.withColumn("document_id", F.lit(0))).drop("document_id")
+    return found.join(last, "marker", "left").select("document_id", "marker", "ref_id")
 
 
 # --- text and identities ---
@@ -506,14 +507,14 @@ def validator_pdf(spark, sf):
     return quality.pdf(d).select("doc_id", codes(F.col("issues")).alias("codes"), "confidence", "success")
 
 
-@query(f"""WITH {roles.OBJECTS} SELECT id, concat_ws(',', CASE WHEN lower(trim(name)) IN ({", ".join(f"'{g}'" for g in quality.GENERIC_NAMES)}) THEN 'generic_name' END, CASE WHEN length(trim(name)) < 2 THEN 'name_too_short' END, CASE WHEN kind IN ('result', 'limitation', 'future_work') AND length(description) < 20 THEN 'claim_too_thin' END) AS codes,
+@query(f"""WITH {roles.OBJECTS} SELECT id, concat_ws(',', CASE WHEN {norm("trim(name)")} IN ({", ".join(f"'{g}'" for g in quality.GENERIC_NAMES)}) THEN 'name_too_generic' END, CASE WHEN length(trim(name)) < 2 THEN 'name_too_short' END, CASE WHEN kind IN ('result', 'limitation', 'future_work') AND length(description) < 20 THEN 'claim_underspecified' END) AS codes,
   round((least(length(trim(name))::DOUBLE / 24, 1) + CASE WHEN trim(description) <> '' THEN 1.0::DOUBLE ELSE 0 END) / 2, 6) AS confidence FROM objects""")
 def validator_completeness(spark, sf):
     return quality.completeness(roles.objects(spark, sf)).select("id", codes(F.col("issues")).alias("codes"), "confidence")
 
 
 @query("""WITH d AS (SELECT doc_id, CAST(doc_id % 4 AS BIGINT) AS n, list_filter(['abstract', 'results', 'conclusion'], lambda x, i: i <= doc_id % 4) AS kinds, n_chars / 6 AS words FROM documents)
-SELECT doc_id, concat_ws(',', CASE WHEN n < 1 THEN 'sections_missing' END, CASE WHEN n >= 1 AND len(kinds) = 0 THEN 'sections_unrecognised' END, CASE WHEN words < 500 THEN 'sections_body_short' END) AS codes, round((len(kinds)::DOUBLE / 7 + 0.5 + least(words::DOUBLE / 2000, 1)) / 3, 6) AS confidence FROM d""")
+SELECT doc_id, concat_ws(',', CASE WHEN n < 1 THEN 'sections_missing' END, CASE WHEN n >= 1 AND len(kinds) = 0 THEN 'sections_unrecognised' END, CASE WHEN words < 500 THEN 'body_text_short' END) AS codes, round((len(kinds)::DOUBLE / 7 + 0.5 + least(words::DOUBLE / 2000, 1)) / 3, 6) AS confidence FROM d""")
 def validator_sections(spark, sf):
     d = roles.table(spark, sf, "documents")
     kinds = F.slice(F.array(F.lit("abstract"), F.lit("results"), F.lit("conclusion")), F.lit(1), (F.col("doc_id") % 4).cast("int"))
@@ -647,5 +648,13 @@ def _relational_queries() -> None:
             ORACLE_SQL[name] = sql
 
 
+def _further_queries() -> None:
+    from quarryline.plans import further
+
+    QUERIES.update(further.QUERIES)
+    ORACLE_SQL.update(further.ORACLE_SQL)
+
+
 _stream_queries()
 _relational_queries()
+_further_queries()
