@@ -5,13 +5,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators import evidence, graph, loop
 from quarryline.operators import retrieval as R
+from quarryline.operators.errors import PrerequisiteNotMet
+
+
+#: O-09: ids that one call may ask for.
+MOST_IDS = 50
 
 
 class Registry[T]:
@@ -36,7 +41,29 @@ class Registry[T]:
 
 
 ARMS: Registry[Callable] = Registry("retriever")
-for _name, _arm in (("deterministic", R.lexical), ("cross_paper", R.cross_paper)):
+
+
+def _bm25(objects: DataFrame, query: R.Query) -> DataFrame:
+    return R.bm25(objects, query, F.col("text"))
+
+
+def _semantic(objects: DataFrame, query: R.Query) -> DataFrame:
+    """Objects with a `vector`, by the `vector` among the options of a query; without one the arm gives nothing and says so."""
+    if not query.options.get("vector"):
+        raise PrerequisiteNotMet("the semantic arm needs a query vector")
+    return R.semantic(R.candidates(objects, query), list(query.options["vector"]), query.limit).select("id", "score")
+
+
+def _hybrid(objects: DataFrame, query: R.Query) -> DataFrame:
+    """Rank fusion of the lexical, BM25 and, where there are vectors, semantic arms."""
+    wide = replace(query, limit=query.limit * 3)
+    arms = {"lexical": (1.0, R.lexical(objects, wide).select("id", "score")), "bm25": (1.0, _bm25(objects, wide).select("id", "score"))}
+    if query.options.get("vector"):
+        arms["semantic"] = (1.0, _semantic(objects, wide))
+    return R.hybrid(arms, limit=query.limit)[0]
+
+
+for _name, _arm in (("deterministic", R.lexical), ("cross_paper", R.cross_paper), ("bm25", _bm25), ("semantic", _semantic), ("hybrid", _hybrid)):
     ARMS.add(_name, _arm)
 
 
@@ -78,7 +105,9 @@ class Engine:
 
     def retrieve_evidence(self, object_ids: list[str]) -> DataFrame:
         self.budget.reserve("retrieve_evidence", n=len(object_ids))
-        wanted = self._table("objects").where(F.col("id").isin(*object_ids[:50])).select(F.col("id").alias("object_id"))
+        if len(object_ids) > MOST_IDS:
+            raise ValueError(f"at most {MOST_IDS} ids a call, got {len(object_ids)}")
+        wanted = self._table("objects").where(F.col("id").isin(*object_ids)).select(F.col("id").alias("object_id"))
         return evidence.evidence_of(wanted, self._table("links"), self._table("evidence"))
 
     def build_bundle(self, text: str, limit: int = 10, question_id: str | None = None) -> dict[str, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import clean_list, collapse
+from quarryline.operators.errors import BudgetExhausted, PrerequisiteNotMet, Retryable
 
 TOOLS = ("search_knowledge", "retrieve_evidence", "build_bundle", "search_graph", "get_provenance", "find_contradictions", "get_paper_context")
 
@@ -120,24 +121,6 @@ class Budget:
         self.calls.append((tool, arguments))
 
 
-class EngineError(Exception):
-    """Errors carry a code and say whether trying again may help."""
-
-    code, recoverability = "engine_error", "fatal"
-
-
-class BudgetExhausted(EngineError):
-    code = "budget_exhausted"
-
-
-class Retryable(EngineError):
-    code, recoverability = "provider_unavailable", "retryable"
-
-    def __init__(self, message: str, floor: float = 0.0):
-        super().__init__(message)
-        self.floor = floor
-
-
 def retry(call: Callable, attempts: int = 3, base: float = 0.5, sleep: Callable[[float], None] = time.sleep):
     """L-14: again after retryable errors, waiting twice as long each time, and at least as long as the provider asks."""
     for n in range(attempts):
@@ -152,11 +135,12 @@ def retry(call: Callable, attempts: int = 3, base: float = 0.5, sleep: Callable[
 
 @dataclass
 class Stage:
-    """L-09: one stage of a run; `needs` names what must be there before it."""
+    """L-09: one stage of a run; `needs` names what must be there before it, `guards` what is asked of the state."""
 
     name: str
     run: Callable[[dict], dict]
     needs: tuple[str, ...] = ()
+    guards: tuple[str, ...] = ()
 
 
 def run_stages(stages: list[Stage], state: dict) -> tuple[dict, list[tuple[str, str, str | None]]]:
@@ -168,8 +152,15 @@ def run_stages(stages: list[Stage], state: dict) -> tuple[dict, list[tuple[str,
             history.append((s.name, "blocked", f"prerequisite_not_met: {', '.join(absent)}"))
             break
         try:
+            if s.guards:
+                from quarryline.operators.assembly import guard
+
+                guard(state, *s.guards)
             state = state | s.run(state)
             history.append((s.name, "completed", None))
+        except PrerequisiteNotMet as e:
+            history.append((s.name, "blocked", f"{e.code}: {e}"))
+            break
         except Exception as e:
             history.append((s.name, "failed", str(e)[:200]))
             break

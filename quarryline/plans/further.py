@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
 from quarryline.functions.confidence import codes
-from quarryline.operators import dedup, evidence, graph, layout, loop, quality
+from quarryline.operators import assembly, dedup, evidence, graph, layout, loop, quality
+from quarryline.operators import retrieval as R
 from quarryline.plans import roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,3 +310,117 @@ def text_assembly(spark, sf):
 def represent_objects(spark, sf):
     """T-09: what an object is indexed by; two quotes of at most 400 characters are the feature."""
     return roles.objects(spark, sf).select("id", T.represent(F.col("name"), F.col("kind"), F.col("description"), F.col("quotes")).alias("text"))
+
+
+# --- chains ---
+
+
+_HEADS = """b AS (SELECT o_custkey AS d, o_orderkey AS ord, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS level, o_orderpriority <> '5-LOW' AS h, o_orderpriority AS title FROM orders),
+n AS (SELECT *, CAST(sum(CAST(h AS INT)) OVER (PARTITION BY d ORDER BY ord ROWS UNBOUNDED PRECEDING) - 1 AS INT) AS n FROM b), hd AS (SELECT * FROM n WHERE h)"""
+
+
+def _found(spark, sf) -> DataFrame:
+    o = roles.table(spark, sf, "orders")
+    level = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "references").otherwise("other")
+    return o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("ord"), F.lit(1).alias("page"), F.col("o_orderpriority").alias("text"), (F.col("o_orderpriority") != "5-LOW").alias("is_heading"), F.col("o_orderpriority").alias("title"), kind.alias("kind"), level.alias("level"), F.lit(1.0).alias("confidence"))
+
+
+@query(f"""WITH {_HEADS} SELECT d AS document_id, 's' || lpad(CAST(n AS VARCHAR), 3, '0') AS section_id, (SELECT 's' || lpad(CAST(max(p.n) AS VARCHAR), 3, '0') FROM hd p WHERE p.d = hd.d AND p.n < hd.n AND p.level < hd.level) AS parent_id, level FROM hd
+UNION ALL SELECT d, 's000', NULL, 1 FROM n GROUP BY d HAVING max(n) < 0""")
+def section_parent(spark, sf):
+    """W-04, W-05, X-04: orders as headings and paragraphs of their customer's document."""
+    return layout.sections(_found(spark, sf)).select("document_id", "section_id", "parent_id", "level")
+
+
+@query(f"""WITH {_HEADS}, p AS (SELECT d, n, string_agg(title, chr(10) || chr(10) ORDER BY ord) AS body FROM n WHERE NOT h AND n >= 0 GROUP BY d, n),
+k AS (SELECT hd.d, hd.n, '## ' || hd.title || chr(10) || p.body AS block FROM hd JOIN p USING (d, n) WHERE hd.title <> '1-URGENT'), u AS (SELECT *, sum(length(block)) OVER (PARTITION BY d ORDER BY n) AS upto FROM k),
+c AS (SELECT *, CASE WHEN 60 - (upto - length(block)) > 0 THEN substr(block, 1, CAST(least(60 - (upto - length(block)), length(block)) AS INT)) END AS kept FROM u)
+SELECT d AS document_id, string_agg(kept, chr(10) || chr(10) ORDER BY n) AS text, count(kept) AS n_blocks FROM c GROUP BY d""")
+def source_texts(spark, sf):
+    """T-19, W-13: headed blocks of all sections but references, up to 60 characters in all, which is the feature."""
+    found = _found(spark, sf).where("NOT is_heading OR level > 0")
+    sections = layout.sections(found)
+    documents = found.where("is_heading").select("document_id").distinct()
+    paras = layout.paragraphs(found.join(documents, "document_id", "left_semi"))
+    return assembly.source_text(paras, sections, most_chars=60).select("document_id", "text", "n_blocks")
+
+
+@query("""WITH p AS (SELECT doc_id, n_chars, lang, text, CASE WHEN source = 'src1' THEN 'v1' ELSE 'v2' END AS done FROM documents)
+SELECT doc_id AS document_id, CASE WHEN done = 'v2' THEN 'reused' WHEN lang = 'es' THEN 'not_retrievable' WHEN coalesce(length(trim(regexp_replace(text, '[ ]+', ' ', 'g'))), 0) = 0 THEN 'failed' ELSE 'processed' END AS outcome FROM p""")
+def document_outcomes(spark, sf):
+    """X-10, F-09: what is there in the current form is reused, what can't be had or has no text is said to be so."""
+    d = roles.table(spark, sf, "documents")
+    papers = d.select(F.col("doc_id").alias("document_id"), F.lit("v2").alias("parser_version"), F.col("n_chars").alias("source_bytes"), (F.coalesce("lang", F.lit("")) != "es").alias("retrievable"))
+    done = d.select(F.col("doc_id").alias("document_id"), F.when(F.col("source") == "src1", "v1").otherwise("v2").alias("parser_version"), F.col("n_chars").alias("source_bytes"))
+    blocks = d.select(F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return assembly.document_outcomes(papers, blocks, done)
+
+
+@query(f"""WITH {roles.OBJECTS}, k AS (SELECT paper_id, count(*) AS proposed, count(*) FILTER (length(trim(name)) >= 2 AND len(quotes) > 0 AND lower(trim(name)) NOT IN ({", ".join(f"'{g}'" for g in quality.GENERIC_NAMES)})) AS accepted FROM objects GROUP BY 1)
+SELECT paper_id, proposed, accepted, CASE WHEN accepted = 0 THEN 'no_knowledge_extracted' ELSE '' END AS codes, accepted > 0 AS success FROM k""")
+def knowledge_vetting(spark, sf):
+    """G-06: the verdict on each paper after its objects were checked."""
+    o = roles.objects(spark, sf).withColumn("n_located", F.col("n_evidence")).withColumn("evidence_ids", F.array("id"))
+    return assembly.vetted_objects(o)[1].select("paper_id", "proposed", "accepted", codes(F.col("issues")).alias("codes"), "success")
+
+
+@query("""WITH k AS (SELECT DISTINCT s_nationkey AS p, s_nationkey % 3 <> 0 AS t FROM supplier), w AS (SELECT n_nationkey + 3 AS p FROM nation)
+SELECT CAST(w.p AS VARCHAR) AS paper_id, CASE WHEN t IS NULL THEN 'no_knowledge' ELSE 'untrusted' END AS reason, 0 AS n FROM w LEFT JOIN k USING (p) WHERE NOT coalesce(t, false)
+UNION ALL SELECT CAST(p AS VARCHAR), 'indexed', CAST(count(DISTINCT CASE WHEN s_acctbal < 5000 THEN 'low' ELSE 'high' END) AS INT) FROM w JOIN k USING (p) JOIN supplier ON s_nationkey = p WHERE t GROUP BY 1""")
+def trusted_evidence_index(spark, sf):
+    """E-05: evidence of trusted papers, and those that were skipped."""
+    s = roles.table(spark, sf, "supplier")
+    key = F.col("s_nationkey").cast("string").alias("paper_id")
+    quotes = s.select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("ord"), key, F.lit("s000").alias("section_id"), F.lit(None).cast("int").alias("paragraph_index"), F.when(F.col("s_acctbal") < 5000, F.concat_ws(" ", F.lit("low"), "s_nationkey")).otherwise(F.concat_ws(" ", F.lit("high"), "s_nationkey")).alias("quote"), F.col("s_suppkey").cast("string").alias("object_id"))
+    known = s.select(key, (F.col("s_nationkey") % 3 != 0).alias("trusted")).distinct()
+    wanted = roles.table(spark, sf, "nation").select((F.col("n_nationkey") + 3).cast("string").alias("paper_id"))
+    made, skipped = assembly.trusted_evidence(quotes, wanted, known)
+    indexed = made.select(F.element_at(F.split("quote", " "), 2).alias("paper_id")).groupBy("paper_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return skipped.select("paper_id", "reason", F.lit(0).alias("n")).unionAll(indexed.select("paper_id", F.lit("indexed"), "n"))
+
+
+@query(f"""WITH {roles.RESULTS}, s AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey AS ord, lower(p_name) AS k, p_brand AS paper_id, p_size % 2 = 0 AS pub FROM part)
+SELECT 'value_conflict' AS kind, count(*) AS n FROM results l JOIN results r ON l.metric = r.metric AND l.dataset = r.dataset AND l.ord < r.ord WHERE abs(l.value - r.value) / greatest(abs(l.value), abs(r.value), 1e-9) >= 0.05
+UNION ALL SELECT 'attribute_conflict', count(*) FROM s l JOIN s r ON l.k = r.k AND l.ord < r.ord AND l.pub <> r.pub AND l.paper_id <> r.paper_id""")
+def all_conflicts(spark, sf):
+    """U-02: conflicts of both sorts, counted by sort."""
+    p = roles.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("ord"), F.lit("dataset").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("paper_id"), (F.col("p_size") % 2 == 0).alias("is_public"))
+    return assembly.conflicts(roles.results(spark, sf), p, (("dataset", "is_public"),)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_brand = p_type THEN p_brand ELSE p_brand || ',' || p_type END || CASE WHEN p_name IN (p_brand, p_type) THEN '' ELSE ',' || p_name END AS ids FROM part""")
+def ordered_ids(spark, sf):
+    """U-06."""
+    return roles.table(spark, sf, "part").select("p_partkey", F.array_join(assembly.ordered_union(F.array("p_brand", "p_type"), F.lit(None).cast("array<string>"), F.array("p_type", "p_name", "p_brand")), ",").alias("ids"))
+
+
+@query(f"""WITH {roles.OBJECTS}, h AS (SELECT 'd' || vec_id AS id, round((list_cosine_similarity(embedding::DOUBLE[], {[1.0] * 32 + [-1.0] * 32}::DOUBLE[]) + 1) / 2, 6) AS score FROM embeddings)
+SELECT h.id, o.kind, o.paper_id, h.score FROM h JOIN objects o ON h.id = o.id WHERE trusted ORDER BY score DESC, id LIMIT 15""")
+def resolved_vector_hits(spark, sf):
+    """J-01: the nearest vectors whose documents are there and trusted."""
+    v = roles.table(spark, sf, "embeddings").select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vector"))
+    hits = R.semantic(v, [1.0] * 32 + [-1.0] * 32, v.count()).select("id", "score")
+    return assembly.resolved_hits(hits, roles.objects(spark, sf), 15)
+
+
+@query("""WITH o AS (SELECT p_partkey AS ord, 'n' || (p_partkey % 25) AS paper_id, lower(p_name) AS k FROM part), m AS (SELECT DISTINCT paper_id, k FROM o), x AS (SELECT DISTINCT l.k AS a, r.k AS b FROM o l JOIN o r ON r.ord = l.ord + 1 WHERE l.k <> r.k)
+SELECT (SELECT count(DISTINCT paper_id) FROM o) + (SELECT count(DISTINCT k) FROM o) AS n_nodes, (SELECT count(*) FROM m) + (SELECT count(*) FROM x) AS n_edges, CAST(0 AS BIGINT) AS rejected""")
+def corpus_graph(spark, sf):
+    """N-01: the nodes and edges of the corpus."""
+    o = roles.graph_objects(spark, sf)
+    papers = o.select("paper_id", F.lit(None).cast("string").alias("title")).distinct()
+    none = spark.createDataFrame([], "subject_id string, object_id string, predicate string, grounded boolean, confidence double, ord long")
+    against = o.select(F.col("id").alias("left_id"), F.concat(F.lit("p"), (F.col("ord") + 1).cast("string")).alias("right_id"), F.lit(True).alias("grounded"), F.lit(1.0).alias("confidence"), "ord")
+    nodes, edges, report = assembly.corpus_graph(papers, o, none, against)
+    n, e = nodes.agg(F.count(F.lit(1)).alias("n_nodes")), edges.agg(F.count(F.lit(1)).alias("n_edges"))
+    return n.crossJoin(e).crossJoin(report.select("rejected"))  # one row each
+
+
+@query("""SELECT source, count(*) AS n, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars > 1000) AS long FROM documents GROUP BY 1""")
+def bundle_lookups(spark, sf):
+    """E-06: documents as the evidence of bundles, by bundle, by object and by stance."""
+    d = roles.table(spark, sf, "documents").select(F.col("source").alias("bundle_id"), F.array("lang").alias("object_ids"), F.when(F.col("n_chars") > 1000, "supporting").otherwise("unknown").alias("stance"))
+    n = lambda df, name: df.groupBy(F.col("bundle_id").alias("source")).agg(F.count(F.lit(1)).alias(name))
+    every = n(d, "n").join(n(assembly.bundle_evidence(d, object_id="en"), "english"), "source", "left").join(n(assembly.bundle_evidence(d, stance="supporting"), "long"), "source", "left")
+    return every.na.fill(0)
