@@ -58,7 +58,7 @@ def value_contradictions(results: DataFrame, tolerance: float = 0.05, keys: tupl
     """J-08, E-03: pairs with the same keys whose values differ by `tolerance` of the larger or more; left comes first by ord.
 
     Rows (id, ord, paper_id, value) with the key columns. Each pair is a row of the result itself, so the join makes no
-    more than it returns, save pairs within the tolerance.
+    more than it returns, save pairs within the tolerance; `value_conflict_groups` tells the same by one row a key.
     """
     known = results.where("value IS NOT NULL").dropna(subset=[keys[0]])
     side = lambda p: known.select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in ("id", "ord", "paper_id", "value")))
@@ -71,6 +71,28 @@ def value_contradictions(results: DataFrame, tolerance: float = 0.05, keys: tupl
     return found.select(F.concat_ws("--", "left_id", F.lit("vs"), "right_id").alias("id"), F.lit("value_conflict").alias("kind"), *keys, "left_id", "right_id", F.round("difference", 6).alias("difference"), mean_of(signals).alias("confidence"))
 
 
+def value_conflict_groups(results: DataFrame, tolerance: float = 0.05, keys: tuple[str, ...] = ("metric", "dataset")) -> DataFrame:
+    """J-08 without pairs: the keys under which some two values differ by `tolerance` or more, with how many results they have and the pair that differs most.
+
+    Of all pairs, the lowest and the highest value differ most relative to the larger, so one aggregate per key tells; a
+    key with very many results costs a row, where `value_contradictions` makes as many as there are pairs.
+    """
+    known = results.where("value IS NOT NULL").dropna(subset=[keys[0]])
+    of = lambda pick: pick(F.struct("value", "id"))
+    groups = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("paper_id").alias("n_papers"), of(F.min).alias("low"), of(F.max).alias("high"))
+    largest = F.greatest(F.abs("low.value"), F.abs("high.value"), F.lit(1e-9))
+    return groups.withColumn("difference", F.round((F.col("high.value") - F.col("low.value")) / largest, 6)).where((F.col("high.value") - F.col("low.value")) / largest >= tolerance).select(*keys, "n", "n_papers", F.col("low.id").alias("low_id"), F.col("high.id").alias("high_id"), "difference")
+
+
+def attribute_conflict_groups(objects: DataFrame, kind: str, attribute: str) -> DataFrame:
+    """J-09 without pairs: names of which two papers state the opposite, with how many objects say either, and the first of each."""
+    stated = objects.where((F.col("kind") == kind) & F.col(attribute).isNotNull()).withColumn("name_key", T.normalise(F.col("name")))
+    yes, no = F.col(attribute), ~F.col(attribute)
+    groups = stated.groupBy("name_key").agg(F.count_if(yes).alias("n_yes"), F.count_if(no).alias("n_no"), F.countDistinct("paper_id").alias("n_papers"), F.min_by("id", F.when(yes, F.col("ord"))).alias("first_yes"), F.min_by("id", F.when(no, F.col("ord"))).alias("first_no"))
+    # where both are said and there are two papers or more, some paper contradicts another
+    return groups.where("n_yes > 0 AND n_no > 0 AND n_papers > 1")
+
+
 def attribute_contradictions(objects: DataFrame, kind: str, attribute: str) -> DataFrame:
     """J-09: the same name, opposite statements, different papers; unknown is no statement."""
     stated = objects.where((F.col("kind") == kind) & F.col(attribute).isNotNull()).withColumn("name_key", T.normalise(F.col("name")))

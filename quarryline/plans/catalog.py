@@ -13,11 +13,11 @@ from quarryline.functions.confidence import codes, level
 from quarryline.operators import dedup, evaluation, evidence, graph, grounding, layout, loop, quality
 from quarryline.operators import retrieval as R
 from quarryline.plans import roles
+from quarryline.plans.sqltext import STOP, norm, over, toks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 QUESTION = "the onion er thtion and reing that"
-STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 
 def query(sql: str | None = None):
@@ -30,18 +30,6 @@ def query(sql: str | None = None):
     return add
 
 
-def norm(c: str) -> str:
-    return rf"""lower(trim(regexp_replace(regexp_replace(translate({c}, '“”‘’­‐‑', '""''''---'), '([\p{{L}}\p{{N}}_])-\s+([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '\s+', ' ', 'g')))"""
-
-
-def toks(c: str) -> str:
-    return f"list_distinct(list_filter(string_split({norm(c)}, ' '), lambda w: length(w) > 2 AND w NOT IN ({STOP})))"
-
-
-def over(a: str, b: str) -> str:
-    return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len({b}) ELSE 0.0::DOUBLE END"
-
-
 LEXICAL = f"""q AS (SELECT {toks(f"'{QUESTION}'")} AS terms),
 scored AS (SELECT o.*, round(least((1.0::DOUBLE * ({over(toks("name"), "terms")}) + 0.8::DOUBLE * ({over(toks("description || ' ' || array_to_string(quotes, ' ')"), "terms")}) + 0.6::DOUBLE * confidence + 0.4::DOUBLE * least(n_evidence::DOUBLE / 3, 1.0::DOUBLE)) / 2.8::DOUBLE, 1.0::DOUBLE), 6) AS score FROM objects o, q WHERE trusted)"""
 

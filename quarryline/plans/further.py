@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
 from quarryline.functions.confidence import codes
-from quarryline.operators import assembly, dedup, evidence, graph, layout, loop, quality
+from quarryline.operators import assembly, dedup, evaluation, evidence, graph, layout, loop, quality
 from quarryline.operators import retrieval as R
 from quarryline.plans import roles
+from quarryline.plans.sqltext import over, toks
+from quarryline.sources import providers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -424,3 +426,85 @@ def bundle_lookups(spark, sf):
     n = lambda df, name: df.groupBy(F.col("bundle_id").alias("source")).agg(F.count(F.lit(1)).alias(name))
     every = n(d, "n").join(n(assembly.bundle_evidence(d, object_id="en"), "english"), "source", "left").join(n(assembly.bundle_evidence(d, stance="supporting"), "long"), "source", "left")
     return every.na.fill(0)
+
+
+@query(f"""WITH {roles.RESULTS}, g AS (SELECT metric, dataset, count(*) AS n, count(DISTINCT paper_id) AS n_papers, min(value) AS lo, max(value) AS hi FROM results GROUP BY ALL)
+SELECT metric, dataset, n, n_papers, round((hi - lo) / greatest(abs(lo), abs(hi), 1e-9), 6) AS difference FROM g WHERE (hi - lo) / greatest(abs(lo), abs(hi), 1e-9) >= 0.05""")
+def value_conflict_groups(spark, sf):
+    """J-08 by key."""
+    return evidence.value_conflict_groups(roles.results(spark, sf)).select("metric", "dataset", "n", "n_papers", "difference")
+
+
+@query("""SELECT lower(p_name) AS name_key, count(*) FILTER (p_size % 2 = 0) AS n_yes, count(*) FILTER (p_size % 2 = 1) AS n_no, count(DISTINCT p_brand) AS n_papers, CAST(min(p_partkey) FILTER (p_size % 2 = 0) AS VARCHAR) AS first_yes, CAST(min(p_partkey) FILTER (p_size % 2 = 1) AS VARCHAR) AS first_no FROM part
+GROUP BY 1 HAVING count(*) FILTER (p_size % 2 = 0) > 0 AND count(*) FILTER (p_size % 2 = 1) > 0 AND count(DISTINCT p_brand) > 1""")
+def attribute_conflict_groups(spark, sf):
+    """J-09 by name."""
+    p = roles.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("ord"), F.lit("dataset").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("paper_id"), (F.col("p_size") % 2 == 0).alias("is_public"))
+    return evidence.attribute_conflict_groups(p, "dataset", "is_public")
+
+
+
+# --- retrieval layers ---
+
+ASKED = "the onion er thtion and reing that"
+_TERMS = toks(f"'{ASKED}'")
+
+
+@query(f"""WITH q AS (SELECT {_TERMS} AS terms), e AS (SELECT doc_id AS id, {toks("coalesce(text, '')")} AS w, doc_id % 5 AS precision FROM documents), m AS (SELECT *, len(list_intersect(w, terms)) AS matched FROM e, q), top AS (SELECT * FROM m WHERE matched > 0 ORDER BY matched DESC, id LIMIT 40)
+SELECT id, matched, round(least((0.8::DOUBLE * ({over("w", "terms")}) + 0.5::DOUBLE * least(precision / 4.0::DOUBLE, 1)) / 1.3::DOUBLE, 1), 6) AS score FROM top ORDER BY score DESC, id LIMIT 10""")
+def evidence_retrieval(spark, sf):
+    """R-07, O-05: texts as evidence."""
+    e = roles.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("quote"), (F.col("doc_id") % 5).alias("precision"))
+    return R.evidence_search(e, R.Query(ASKED)).select("id", F.col("matched").cast("long").alias("matched"), "score")
+
+
+@query(f"""WITH q AS (SELECT {_TERMS} AS terms), b AS (SELECT doc_id AS id, {toks("coalesce(text, '')")} AS w, 0.3::DOUBLE + (doc_id % 7)::DOUBLE / 10 AS confidence FROM documents WHERE source = 'src1')
+SELECT id, round((({over("w", "terms")}) + confidence) / 2, 6) AS score FROM b, q ORDER BY score DESC, id LIMIT 10""")
+def bundle_retrieval(spark, sf):
+    """R-11: texts as the queries of stored bundles, of one question."""
+    b = roles.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("query_text"), F.col("source").alias("question_id"), (F.lit(0.3) + (F.col("doc_id") % 7) / 10).alias("confidence"))
+    return R.stored_bundles(b, R.Query(ASKED, question_id="src1")).select("id", "score")
+
+
+@query("""SELECT o_custkey AS query_id, o_orderkey AS id, round(o_totalprice / max(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS score FROM orders""")
+def normalised_by_best(spark, sf):
+    """W-03."""
+    o = roles.table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("score"))
+    return R.normalised_by_best(o).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH e AS (SELECT DISTINCT o_custkey AS q, o_orderkey AS e FROM orders), f AS (SELECT DISTINCT o_custkey AS q, o_orderkey AS e FROM orders WHERE o_orderstatus = 'F')
+SELECT e.q AS query_id, round(count(f.e)::DOUBLE / count(*), 4) AS coverage FROM e LEFT JOIN f ON e.q = f.q AND e.e = f.e GROUP BY 1""")
+def evidence_coverage(spark, sf):
+    """M-05: customers as queries; their orders are expected, the finished ones found."""
+    o = roles.table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("evidence_id"), "o_orderstatus")
+    return evaluation.evidence_coverage(o.select("query_id", "evidence_id"), o.where("o_orderstatus = 'F'"))
+
+
+@query("""SELECT DISTINCT l_suppkey AS object_id FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 20)""")
+def missing_gold(spark, sf):
+    """M-10, U-05."""
+    gold = roles.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("object_id"))
+    return evaluation.missing_gold(gold, roles.table(spark, sf, "supplier").where("s_nationkey < 20").select(F.col("s_suppkey").alias("object_id")))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'already_local' WHEN page_id % 2 = 0 THEN 'already_downloaded' WHEN url LIKE 'http%' THEN 'download' ELSE 'cannot_download' END AS action FROM pages""")
+def download_actions(spark, sf):
+    """K-08, F-07: what to do about each page's file."""
+    p = roles.table(spark, sf, "pages")
+    papers = p.select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 3 == 0, "x.pdf").alias("local_path"), F.col("url").alias("pdf_url"))
+    return providers.download_plan(papers, p.where("page_id % 2 = 0").select(F.col("page_id").alias("paper_id"))).select(F.col("id").alias("page_id"), "action")
+
+
+@query("""SELECT o_orderkey AS finding_id, arg_max(l_returnflag, (l_shipdate, l_linenumber, l_partkey, l_suppkey)) AS verdict FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_returnflag, l_shipdate, l_linenumber, l_partkey, l_suppkey FROM lineitem) GROUP BY 1""")
+def last_verdicts(spark, sf):
+    """J-20: lines as the verdicts on their order, the last one counts."""
+    li = roles.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("finding_id"), F.col("l_returnflag").alias("verdict"), F.col("l_shipdate").alias("iteration"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq")).distinct()
+    return loop.latest_verdicts(li).select("finding_id", "verdict")
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) SELECT o_custkey AS bundle_id, o_orderpriority AS kind, o_orderkey AS object_id FROM r WHERE rn <= 2""")
+def first_of_each_group(spark, sf):
+    """W-09."""
+    o = roles.table(spark, sf, "orders").select(F.col("o_custkey").alias("bundle_id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("object_id"), "o_totalprice")
+    return evidence.first_per_group(o, ["bundle_id", "kind"], [F.desc("o_totalprice"), "object_id"], 2).select("bundle_id", "kind", "object_id")
