@@ -508,3 +508,47 @@ def first_of_each_group(spark, sf):
     """W-09."""
     o = roles.table(spark, sf, "orders").select(F.col("o_custkey").alias("bundle_id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("object_id"), "o_totalprice")
     return evidence.first_per_group(o, ["bundle_id", "kind"], [F.desc("o_totalprice"), "object_id"], 2).select("bundle_id", "kind", "object_id")
+
+
+# --- rules of text ---
+
+_TITLES = ("1 Introduction", "2.1 Related Work", "Abstract", "3.1.2. Methodology", "IV. Results", "5 Conclusions", "References", "Appendix", "A Walk in the Park", "6 Discussion:", "Experiments and Results", "Limitations", "Future Work")
+
+
+#: DuckDB's patterns can't look ahead; no title ends in a number and white space.
+_NUMBERING = layout.NUMBERING.replace(r"(?=\S)", "")
+
+
+def _kind_sql(name: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches({name}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in layout.SECTION_PATTERNS)
+    return f"CASE WHEN {name} = '' THEN 'other' {cases} ELSE 'other' END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {list(_TITLES)}[p_partkey % {len(_TITLES)} + 1] || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' ' || p_name END AS title FROM part),
+n AS (SELECT *, regexp_extract(title, '{_NUMBERING}', 1) AS number, regexp_replace(lower(trim(regexp_replace(title, '{_NUMBERING}', ''))), '{layout.TRAILING}', '') AS name FROM t)
+SELECT p_partkey, {_kind_sql("name")} AS kind, CASE WHEN coalesce(number, '') = '' THEN 1 ELSE least(6, length(number) - length(replace(number, '.', '')) + 1) END AS level FROM n""")
+def section_kinds(spark, sf):
+    """X-02, X-03: titles as documents have them, alone and with a part's name."""
+    p = roles.table(spark, sf, "part")
+    listed = F.get(F.array(*map(F.lit, _TITLES)), (F.col("p_partkey") % len(_TITLES)).cast("int"))
+    title = F.concat(listed, F.when(F.col("p_size") % 2 == 0, "").otherwise(F.concat(F.lit(" "), "p_name")))
+    return p.select("p_partkey", layout.classify(title).alias("kind"), layout.level(title).cast("long").alias("level"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, lang, source FROM documents), w AS (SELECT *, trim(regexp_replace(t, '\s+', ' ', 'g')) AS c FROM t)
+SELECT doc_id, nullif(substr(c, 1, 500), '') AS query, list_filter([lang, source, lang], lambda x, i: i < 3 AND x IN ('en', 'de', 'src1'))::VARCHAR[] IS NOT NULL AS parsed, coalesce(lang, 'none') AS filled, CAST(CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END + 2 AS BIGINT) AS n_terms FROM w""")
+def text_rules(spark, sf):
+    """T-11, T-15, T-16, T-22: a query cut at 500 characters is the feature."""
+    t = F.coalesce("text", F.lit(""))
+    mine, other = F.struct(F.col("lang").alias("lang")), F.struct(F.lit("none").alias("lang"))
+    return roles.table(spark, sf, "documents").select("doc_id", T.clean_query(t).alias("query"), T.parse_kinds(F.array("lang", "source"), ("en", "de", "src1")).isNotNull().alias("parsed"), T.fill_gaps(mine, other, ("lang",))["lang"].alias("filled"), F.size(T.search_terms(t, F.array(F.lit("a"), F.lit("b")))).cast("long").alias("n_terms"))
+
+
+@query("""WITH f AS (SELECT DISTINCT o_custkey AS object_id, l_suppkey AS evidence_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey), r AS (SELECT object_id, s_suppkey AS evidence_id, s_nationkey AS precision, row_number() OVER (PARTITION BY object_id ORDER BY s_nationkey DESC, s_suppkey) AS rn FROM f JOIN supplier ON s_suppkey = evidence_id)
+SELECT object_id, evidence_id, precision FROM r WHERE rn <= 3""")
+def evidence_of_objects(spark, sf):
+    """J-02: customers as objects, suppliers of their orders as evidence, the three of the greatest precision."""
+    o, li, s = (roles.table(spark, sf, t) for t in ("orders", "lineitem", "supplier"))
+    links = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("o_custkey").alias("object_id"), F.col("l_suppkey").alias("evidence_id")).distinct()
+    known = s.select(F.col("s_suppkey").alias("evidence_id"), F.col("s_nationkey").alias("precision"))
+    return evidence.evidence_of(o.select(F.col("o_custkey").alias("object_id")).distinct(), links, known).select("object_id", "evidence_id", "precision")
