@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import decontamination, exact_dedup, language_id, near_dedup, sentencepiece
-from quarryline.llm.common import bounded_batches, read_table, written
+from quarryline.llm.common import bounded_batches, read_table, renamed, written
 
 #: A prediction below this probability counts as no language.
 LEAST_SCORE = 0.5
@@ -25,10 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     only the text counts. An empty table stays empty; with no labelled row at all no language is known, and all rows go.
     """
     guess = language_id.guess(language_id.fit(language_id.labelled(docs)))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    said = bounded_batches(docs).select(F.struct(*columns).alias("row"), guess("text").alias("guess"))
-    known = said.where((F.col("guess.lang_pred") != "und") & (F.col("guess.score") >= LEAST_SCORE))
-    return known.select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    rows, names, old = renamed(docs)
+    said = bounded_batches(rows).withColumn("guess", guess(names["text"]))
+    return said.where((F.col("guess.lang_pred") != "und") & (F.col("guess.score") >= LEAST_SCORE)).select(*old)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,11 +63,11 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids and round_trip true. Every row is encoded whole, also repeated ones and those
     without an id. An empty table stays empty.
     """
-    columns = [c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")]
-    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
-    out = sentencepiece.encoded(docs.select(row, F.col("text").cast("string").alias("text")))
+    rows, names, _ = renamed(docs.drop("ids", "n_tokens", "round_trip"))
+    out = sentencepiece.encoded(rows.withColumn(names["text"], F.col(names["text"]).cast("string")).withColumnRenamed(names["text"], "text"))
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return out.select(*(F.col(f"row.`{c}`") for c in columns), "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    kept = [F.col("text") if c == "text" else F.col(n).alias(c) for c, n in names.items()]
+    return out.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES = [

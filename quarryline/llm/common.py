@@ -80,23 +80,30 @@ def row_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
+    """`docs` under names that no column of a caller has, the new name of each column, and what gives the old ones back."""
+    names = {c: f"_quarryline_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names, [F.col(n).alias(c) for c, n in names.items()]
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """`docs` without the rows of `gone`, and with one row for each key of `repeated`; both have doc_id and h (`row_key`).
 
     Rows are told apart by id and text, so neither a missing nor a shared id takes out another text. Of rows that are
     equal in both, the one whose columns come first as JSON stays. Texts aren't shuffled, but for those of `repeated`.
     """
-    columns = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    rows, names, old = renamed(docs)
+    own, h = F.col(names["doc_id"]), row_key(names["text"])
     apart = lambda keys: keys.select(F.struct(F.col("doc_id").alias("i"), F.col("h").alias("h")).alias("key")).distinct()
-    on = F.col("row.doc_id").eqNullSafe(F.col("key.i")) & (row_key("row.text") == F.col("key.h"))
+    on = own.eqNullSafe(F.col("key.i")) & (h == F.col("key.h"))
     small = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     out = rows.join(small(written(apart(gone), "gone")), on, "left_anti")
     repeated = None if repeated is None else written(apart(repeated), "repeated")
     if repeated is not None and not repeated.isEmpty():
-        held = out.join(small(repeated), on, "left_semi").groupBy(F.col("row.doc_id").alias("i"), row_key("row.text").alias("h")).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+        whole = F.struct(*names.values())
+        held = out.join(small(repeated), on, "left_semi").groupBy(own.alias("i"), h.alias("h")).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
         out = out.join(small(repeated), on, "left_anti").unionByName(held)
-    return out.select(*(F.col(f"row.`{c}`") for c in columns))
+    return out.select(*old)
 
 
 #: A key is hot if more than one in HOT of all rows have it, so there are fewer than HOT of them, whatever the data.

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarryline.llm.common import bounded_batches, learned_from, read_table
 
 #: Hash buckets of n-grams, longest n-gram, code points handled at a time.
-BUCKETS, LONGEST, PIECE = 1 << 13, 3, 1 << 18
+BUCKETS, LONGEST, PIECE = 1 << 13, 3, 1 << 16
 #: Labelled rows that are learned from, at most; which ones follows from a hash of the id. All rows are scored.
 MAX_TRAINING_ROWS = 20_000
 #: Languages that are learned, at most: those with the most rows, of equals those that sort first.
