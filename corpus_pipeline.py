@@ -16,6 +16,8 @@ from quarryline.llm.common import bounded_batches, read_table, renamed, written
 
 #: A prediction below this probability counts as no language.
 LEAST_SCORE = 0.5
+#: Words that a worker of the encoder remembers: fewer than it would alone, as the workers also hold what other stages left.
+REMEMBERED = 80_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without an id. An empty table stays empty.
     """
     rows, names, _ = renamed(docs.drop("ids", "n_tokens", "round_trip"))
-    out = sentencepiece.encoded(rows.withColumn(names["text"], F.col(names["text"]).cast("string")).withColumnRenamed(names["text"], "text"))
+    out = sentencepiece.encoded(rows.withColumn(names["text"], F.col(names["text"]).cast("string")).withColumnRenamed(names["text"], "text"), remembered=REMEMBERED)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     kept = [F.col("text") if c == "text" else F.col(n).alias(c) for c, n in names.items()]
     return out.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))

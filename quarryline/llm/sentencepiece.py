@@ -62,6 +62,9 @@ def default_model() -> str:
 class Pieces:
     """Vocabulary of a model, with forward search for BPE and unigram models."""
 
+    #: Words remembered, at most; REMEMBERED_WORDS if nothing else is asked.
+    remembered: int | None = None
+
     def __init__(self, model_file: str, kind: str = "bpe"):
         import sentencepiece
 
@@ -173,7 +176,7 @@ class Pieces:
                 end, b = y + 1, self.left[b]
             else:
                 break
-        if len(self.apart_known) > REMEMBERED_WORDS:
+        if len(self.apart_known) > (self.remembered or REMEMBERED_WORDS):
             self.apart_known = {}
         self.apart_known[key] = out
         return out
@@ -280,7 +283,7 @@ class Pieces:
         runs of spaces, spaces at an end, or the mark itself."""
         import pyarrow.compute as pc
 
-        if len(self.number) > REMEMBERED_WORDS:
+        if len(self.number) > (self.remembered or REMEMBERED_WORDS):
             self._forget()
         texts = pc.fill_null(texts, "")
         odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.or_(pc.ends_with(texts, " "), pc.match_substring(texts, MARK)))).to_numpy(zero_copy_only=False)
@@ -354,8 +357,8 @@ def pieces_of(model_file: str, kind: str) -> Pieces:
 BATCH_BYTES = 1_200_000
 
 
-def encoded(docs: DataFrame, model_file: str | None = None, kind: str = "bpe", decode: bool = True) -> DataFrame:
-    """`docs` with ids (array of int) and, with `decode`, decoded (the text of the ids)."""
+def encoded(docs: DataFrame, model_file: str | None = None, kind: str = "bpe", decode: bool = True, remembered: int | None = None) -> DataFrame:
+    """`docs` with ids (array of int) and, with `decode`, decoded (the text of the ids); `remembered` bounds the words a worker keeps."""
     model_file = model_file or default_model()
     docs = bounded_batches(docs.drop("ids", "decoded"))
     at = docs.columns.index("text")
@@ -364,6 +367,7 @@ def encoded(docs: DataFrame, model_file: str | None = None, kind: str = "bpe", d
         import pyarrow as pa
 
         pieces = pieces_of(model_file, kind)
+        pieces.remembered = remembered
         for part in (part for b in batches for part in slices(b, at, BATCH_BYTES)):
             flat, offsets = pieces.encode_column(part.column(at))
             columns = [*part.columns, list_array(flat, offsets)]
