@@ -1,15 +1,17 @@
 """Operator 13, source divergence audit: which sources of a language use words unlike the others, and which words.
 
-1. Texts are cut into terms and counted by language, source and term in each task, before anything is shuffled.
-2. These counts are dealt to shards by a hash of language and term, so that a shard knows all about its terms. DuckDB
-   adds them up in each shard and leaves out the terms that stand in too few documents.
+1. Texts are cut into terms and counted by language, source and term in each task, before anything is shuffled: a row
+   for each language and term, with its sources and their counts.
+2. These rows are dealt to shards by a hash of language and term, so that a shard knows all about its terms. DuckDB adds
+   them up in each shard and leaves out the terms that stand in too few documents.
 3. Spark adds up the totals of each (language, source) and language, a row each, and every shard gets them beside its
    counts. DuckDB makes partial sums for each pair of sources, and the best terms of each source, of its shard.
 4. Spark adds up the partial sums and ranks.
 
-In a shard a pair of sources only meets at terms that one of them has. Terms that neither has are all alike; what they
-add is their number times one value, which is added to the merged sum instead. All arithmetic is exact: 128-bit integers
-in DuckDB, decimals in Spark. DuckDB keeps to MEMORY in each task and goes to the task's own temporary files beyond that.
+In a shard a pair of sources only meets at terms that both have. What the others add depends on one source's count, so it
+comes from the numbers of terms with each count; terms that neither has are all alike, and their value is added to the
+merged sum. All arithmetic is exact: 128-bit integers in DuckDB, decimals in Spark. DuckDB keeps to MEMORY in each task
+and goes to the task's own temporary files beyond that.
 
 Cases: null text, language and source count as ''. A text without a term, also an empty one, still makes its group occur.
 Rows that repeat an id are documents of their own. Very long texts are worked on in pieces. A language with one source
@@ -19,8 +21,7 @@ of UTF-8. An empty table gives an empty result. Other columns are not read, so t
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,10 @@ from quarryline.llm.common import bounded_batches, read_table, slices, text_of,
 
 #: A term is kept if so many documents of its language have it, and terms are reported up to this rank.
 FEWEST_DOCUMENTS, BEST = 3, 200
-#: Distinct terms that a task holds before it passes their counts on, and bytes of a text that are cut into terms at once.
-HELD, PIECE_BYTES = 200_000, 1 << 20
+#: What a task holds before it passes its counts on: distinct terms, and terms of documents (each times 8) in sum.
+HELD, HELD_OF_DOCUMENTS = 400_000, 8
+#: Bytes of a text that are cut into terms at once, and rows of a batch.
+PIECE_BYTES, ROWS = 1 << 20, 20_000
 #: What DuckDB may hold in a task.
 MEMORY = "256MB"
 
@@ -47,91 +50,123 @@ def _pieces(text: bytes):
         at = end
 
 
+class _Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+class _Language:
+    """The terms of one language that a task has seen."""
+
+    def __init__(self):
+        self.terms, self.sources, self.parts = _Numbers(), _Numbers(), {}
+
+    def add(self, source: str, text: bytes) -> int:
+        """Counts a document's terms; says how many distinct ones it has."""
+        own = self.parts.setdefault(self.sources[source], [])
+        found = [np.array([self.terms[w] for w in piece.split()], np.int64) for piece in _pieces(text)]
+        terms, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        own.append((terms.astype(np.int32), times.astype(np.int32)))
+        return len(terms)
+
+    def batches(self, lang: str):
+        """A row for each term: its documents, sources and counts; first one without a term, for the sources."""
+        import pyarrow as pa
+
+        names, fields = pa.array(list(self.sources), pa.string()), ["lang", "term", "docs", "sources", "counts"]
+        none = pa.ListArray.from_arrays([0, len(names)], pa.array([0] * len(names), pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.string()), pa.array([0], pa.int64()), pa.ListArray.from_arrays([0, len(names)], names), none], fields)
+        size, docs, term, source, n = len(self.terms), 0, [], [], []
+        for k, parts in self.parts.items():
+            t, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            docs = docs + np.bincount(t, minlength=size)
+            sums = np.bincount(t, weights=c, minlength=size).astype(np.int64)  # exact below 2**53
+            term.append(np.flatnonzero(sums))
+            n.append(sums[term[-1]])
+            source.append(np.full(len(n[-1]), k))
+        term, source, n = (np.concatenate(x) for x in (term, source, n))
+        order = np.argsort(term, kind="stable")
+        ends, words = np.searchsorted(term[order], np.arange(size + 1)), list(self.terms)
+        for at in range(0, size, ROWS):
+            upto = min(size, at + ROWS)
+            own, offsets = order[ends[at] : ends[upto]], pa.array((ends[at : upto + 1] - ends[at]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, names.take(pa.array(source[own]))), pa.ListArray.from_arrays(offsets, pa.array(n[own]))]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (upto - at)), pa.array(words[at:upto], pa.binary()).cast(pa.string()), pa.array(docs[at:upto]), *lists], fields)
+
+
 def tallied(docs: DataFrame, most: int = HELD) -> DataFrame:
-    """lang, source, term, n and docs (documents that have the term), added up for each task; a row with null term for each group.
+    """lang, term, docs (documents that have it), sources and counts, added up for each task; a row with null term names sources.
 
     A task passes on what it has when it holds about `most` distinct terms.
     """
 
     def tally(batches):
-        import pyarrow as pa
-
-        def made(held, groups):
-            for (lang, source), (n, docs) in held.items():
-                terms = pa.array(list(n), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), terms, pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in n], pa.int64())], ["lang", "source", "term", "n", "docs"])
-            if groups:
-                names = list(groups)
-                none, zero = pa.nulls(len(names), pa.string()), pa.array([0] * len(names), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in names], pa.string()), pa.array([g[1] for g in names], pa.string()), none, zero, zero], ["lang", "source", "term", "n", "docs"])
-
-        held, told, size = {}, set(), 0
+        held, size = {}, 0
         for batch in (part for b in batches for part in slices(b, 2)):
-            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             data, offsets = utf8(batch.column(2))
-            for i, group in enumerate(zip(langs, sources, strict=True)):
-                n, docs = held.setdefault(group, (Counter(), Counter()))
-                text, seen = data[offsets[i] : offsets[i + 1]].tobytes().translate(_TERMS), set()
-                for piece in _pieces(text):
-                    words = piece.split()
-                    n.update(words)
-                    seen.update(words)
-                docs.update(seen)
-                size += len(seen)
-                if size > most and (size := sum(len(x) for x, _ in held.values())) > most // 2:
-                    yield from made(held, held.keys() - told)
-                    told |= held.keys() if len(told) < most else set()
+            for i, (lang, source) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                text = data[offsets[i] : offsets[i + 1]].tobytes().translate(_TERMS)
+                size += held.setdefault(lang, _Language()).add(source, text)
+                if size > HELD_OF_DOCUMENTS * most or sum(len(x.terms) for x in held.values()) > most:
+                    for name, language in held.items():
+                        yield from language.batches(name)
                     held, size = {}, 0
-        yield from made(held, held.keys() - told)
+        for name, language in held.items():
+            yield from language.batches(name)
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(empty("lang").alias("lang"), empty("source").alias("source"), text_of(docs).alias("text"))
-    return bounded_batches(rows).mapInArrow(tally, "lang string, source string, term string, n long, docs long")
+    return bounded_batches(rows).mapInArrow(tally, "lang string, term string, docs long, sources array<string>, counts array<bigint>")
 
 
-def in_shards(rows: DataFrame, shards: int, sql: str, schema: str) -> DataFrame:
-    """The result of DuckDB's `sql` over each shard's rows, which it knows as `t`; rows have a column `shard`."""
+def in_shards(rows: DataFrame, shards: int, by: list[str], sql: str, schema: str) -> DataFrame:
+    """The result of DuckDB's `sql` over each shard's rows, which it knows as `t` and reads once."""
 
     def run(batches):
+        import itertools
         import tempfile
 
         import duckdb
         import pyarrow as pa
 
-        with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"memory_limit": MEMORY, "threads": 1, "temp_directory": spill, "preserve_insertion_order": False}) as db:
-            made = False
-            for batch in batches:
-                part = pa.Table.from_batches([batch])  # noqa: F841  found by DuckDB under its name
-                db.execute("INSERT INTO t SELECT * FROM part" if made else "CREATE TABLE t AS SELECT * FROM part")
-                made = True
-            if made:
-                yield from db.sql(sql).to_arrow_reader(20_000)
+        first = next(batches, None)
+        if first is not None:
+            with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"memory_limit": MEMORY, "threads": 1, "temp_directory": spill, "preserve_insertion_order": False}) as db:
+                db.register("t", pa.RecordBatchReader.from_batches(first.schema, itertools.chain([first], batches)))
+                yield from db.sql(sql).to_arrow_reader(ROWS)
 
-    return bounded_batches(rows.repartition(shards, "shard")).mapInArrow(run, schema)
+    return bounded_batches(rows.repartition(shards, *by)).mapInArrow(run, schema)
 
 
-#: Counts of the terms that are kept; `first` marks one row for each term. Rows without a term name the groups that occur.
+#: Counts of the terms that are kept; `first` marks one row for each term. Rows without a term name the sources that occur.
 _COUNTS = f"""
-SELECT lang, source, term, CAST(n AS BIGINT) AS n, shard, CAST(row_number() OVER (PARTITION BY lang, term ORDER BY source) = 1 AS INT) AS first
-FROM (SELECT lang, source, term, any_value(shard) AS shard, sum(n) AS n, sum(sum(docs)) OVER (PARTITION BY lang, term) AS docs FROM t WHERE term IS NOT NULL GROUP BY lang, source, term)
-WHERE docs >= {FEWEST_DOCUMENTS}
-UNION ALL SELECT DISTINCT lang, source, NULL, 0, shard, 0 FROM t WHERE term IS NULL
+WITH r AS MATERIALIZED (SELECT * FROM t),
+k AS MATERIALIZED (SELECT lang, term FROM r WHERE term IS NOT NULL GROUP BY lang, term HAVING sum(docs) >= {FEWEST_DOCUMENTS}),
+u AS (SELECT lang, term, unnest(sources) AS source, unnest(counts) AS n FROM r SEMI JOIN k USING (lang, term))
+SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY lang, term ORDER BY source) = 1 AS INT) AS first FROM u GROUP BY lang, source, term
+UNION ALL SELECT DISTINCT lang, unnest(sources), NULL, 0, 0 FROM r WHERE term IS NULL
 """
 
-#: A task may have several shards, and with them the totals several times.
-#: Partial sums of pairs, less what a term adds that neither source has, and the best terms of each source.
+#: Partial sums of pairs, less what a term adds that neither source has, and the best terms of each source. A task may have
+#: several shards, and with them the totals several times.
 _VALUES = f"""
-WITH g AS MATERIALIZED (SELECT DISTINCT lang, source, n_group + n_terms AS m, n_lang + n_terms AS lm, 1 + 1000000000 // (n_group + n_terms) AS p0 FROM t WHERE term IS NULL),
-c AS MATERIALIZED (SELECT lang, source, term, t.n, CAST(1 + (1000000000::HUGEINT * (t.n + 1)) // g.m AS BIGINT) AS p, g.lm FROM t JOIN g USING (lang, source) WHERE term IS NOT NULL),
+WITH r AS MATERIALIZED (SELECT * FROM t),
+g AS MATERIALIZED (SELECT DISTINCT lang, source, n_group + n_terms AS m, n_lang + n_terms AS lm, 1 + 1000000000 // (n_group + n_terms) AS p0 FROM r WHERE term IS NULL),
+c AS MATERIALIZED (SELECT lang, source, term, r.n, CAST(1 + (1000000000::HUGEINT * (r.n + 1)) // g.m AS BIGINT) AS p, g.p0, g.lm FROM r JOIN g USING (lang, source) WHERE term IS NOT NULL),
 l AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (sum(n) + 1)) // any_value(lm) AS BIGINT) AS q FROM c GROUP BY lang, term),
+h AS MATERIALIZED (SELECT lang, source, p, p0, count(*) AS k FROM c GROUP BY lang, source, p, p0),
 met AS (
-  SELECT a.lang, a.source AS a, b.source AS b, a.p, coalesce(o.p, b.p0) AS q, x.p0 AS p0, b.p0 AS q0
-  FROM c a JOIN g x USING (lang, source) JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN c o ON o.lang = b.lang AND o.source = b.source AND o.term = a.term
+  SELECT a.lang, a.source AS a, b.source AS b, sum((a.p - b.p) * (a.p - b.p) // b.p - (a.p - b.p0) * (a.p - b.p0) // b.p0 - (a.p0 - b.p) * (a.p0 - b.p) // b.p + (a.p0 - b.p0) * (a.p0 - b.p0) // b.p0) AS v
+  FROM c a JOIN c b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, b.source, sum(k * CAST((a.p - b.p0) * (a.p - b.p0) // b.p0 - (a.p0 - b.p0) * (a.p0 - b.p0) // b.p0 AS HUGEINT)) FROM h a JOIN g b ON a.lang = b.lang AND a.source <> b.source GROUP BY ALL
   UNION ALL
-  SELECT b.lang, a.source, b.source, a.p0, b.p, a.p0, x.p0
-  FROM c b JOIN g x USING (lang, source) JOIN g a ON a.lang = b.lang AND a.source <> b.source WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.lang = a.lang AND o.source = a.source AND o.term = b.term)
+  SELECT b.lang, a.source, b.source, sum(k * CAST((a.p0 - b.p) * (a.p0 - b.p) // b.p - (a.p0 - b.p0) * (a.p0 - b.p0) // b.p0 AS HUGEINT)) FROM h b JOIN g a ON a.lang = b.lang AND a.source <> b.source GROUP BY ALL
 )
-SELECT lang, a AS source, 'pair' AS part, b AS item, CAST(sum((p - q) * (p - q) // q - (p0 - q0) * (p0 - q0) // q0) AS DECIMAL(38, 0)) AS value FROM met GROUP BY lang, a, b
+SELECT lang, a AS source, 'pair' AS part, b AS item, CAST(sum(v) AS DECIMAL(38, 0)) AS value FROM met GROUP BY lang, a, b
 UNION ALL
 SELECT lang, source, 'term', term, CAST(f AS DECIMAL(38, 0)) FROM (SELECT lang, source, term, (p - q) * (p - q) // q AS f FROM c JOIN l USING (lang, term) WHERE p > q)
 QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY f DESC, term) <= {BEST}
@@ -142,15 +177,15 @@ def audited(docs: DataFrame, shards: int | None = None, most: int = HELD) -> Dat
     """lang, source, part, item, value and rank, as the module says."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tallied(docs, most).withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int"))
-    counts = written(in_shards(dealt, shards, _COUNTS, "lang string, source string, term string, n long, shard int, first int"), "counts")
+    counts = written(in_shards(tallied(docs, most), shards, ["lang", "term"], _COUNTS, "lang string, source string, term string, n long, first int"), "counts")
     by_lang = counts.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.sum("first").alias("n_terms"))
     totals = written(counts.groupBy("lang", "source").agg(F.sum("n").alias("n_group")).join(by_lang, "lang"), "totals")
     some = totals.where("n_terms > 0")
     everywhere = some.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    rows = counts.where("term IS NOT NULL").select("lang", "source", "term", "n", "shard")
-    rows = rows.unionByName(everywhere.drop("first"), allowMissingColumns=True)
-    values = written(in_shards(rows, shards, _VALUES, "lang string, source string, part string, item string, value decimal(38,0)"), "values")
+    shard = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int")
+    rows = counts.where("term IS NOT NULL").select("lang", "source", "term", "n", shard.alias("shard"))
+    rows = rows.unionByName(everywhere, allowMissingColumns=True)
+    values = written(in_shards(rows, shards, ["shard"], _VALUES, "lang string, source string, part string, item string, value decimal(38,0)"), "values")
     neither = F.expr("CAST((p - q) * (p - q) div q AS DECIMAL(38, 0)) * n_terms")
     smallest = totals.withColumn("p0", F.expr("CASE WHEN n_terms > 0 THEN 1 + 1000000000 div (n_group + n_terms) ELSE 1 END"))
     pairs = smallest.select("lang", "source", "n_terms", F.col("p0").alias("p")).join(smallest.select("lang", F.col("source").alias("item"), F.col("p0").alias("q")), "lang").where("source <> item")
