@@ -9,9 +9,12 @@ repeated rows are members of the group like any other, and all rows that have th
 are `kept` in `ingest`, which can't tell them apart, while `without_copies` leaves exactly one of them; an empty batch
 gives an empty result. Extra columns are not read, so their names can't clash.
 
-The number of buckets follows from the first batch (BUCKET_ROWS digests each, FEWEST at least) and is kept with the
-index; `compact` rewrites the index so that each bucket is one sorted file again. Appending the same batch twice adds
-nothing the second time, as its digests are known by then.
+A digest is stored with the id and the text hash of the row that stays, and a row is kept if it is that row. So a batch
+that is taken in again, after a failure between the append and the writing of its result or for any other reason, adds
+nothing and keeps the same rows; a copy under another id or with another text is dropped then as ever.
+
+The number of buckets follows from the first batch (BUCKET_ROWS digests each, FEWEST at least) and is written beside the
+index, where `open` finds it; `compact` rewrites the index so that each bucket is one sorted file again.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ BUCKET_ROWS, FEWEST = 2_000_000, 64
 
 @dataclass
 class DigestIndex:
-    """Digests already taken in: a table of (digest, keep_id, n_points), bucketed and sorted by digest.
+    """Digests already taken in: a table of (digest, keep_id, keep_h, n_points), bucketed and sorted by digest.
 
     `buckets` is chosen when the first batch comes in, from its size, unless it is given.
     """
@@ -63,29 +66,34 @@ class DigestIndex:
         return cls(spark, f"digest_index_{uuid.uuid4().hex}", path or f"{shared_dir(spark)}-digests", buckets)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, buckets: int) -> DigestIndex:
-        """An index that an earlier session left at `path`; `buckets` must be the number it was made with."""
-        out = cls(spark, f"digest_index_{uuid.uuid4().hex}", path, buckets, True)
+    def open(cls, spark: SparkSession, path: str, buckets: int | None = None) -> DigestIndex:
+        """An index that an earlier session left at `path`; `buckets`, if given, must be the number it was made with."""
+        held = spark.read.schema("buckets int").json(f"{path}-buckets").first()[0]
+        if buckets not in (None, held):
+            raise ValueError(f"the index at {path} has {held} buckets, not {buckets}")
+        out = cls(spark, f"digest_index_{uuid.uuid4().hex}", path, held, True)
         out._table()
         return out
 
     def _table(self) -> None:
-        self.spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, n_points BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {int(self.buckets or FEWEST)} BUCKETS LOCATION '{self.path}'")
+        self.spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, keep_h BIGINT, n_points BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {int(self.buckets or FEWEST)} BUCKETS LOCATION '{self.path}'")
 
     def _write(self, rows: DataFrame, mode: str) -> None:
-        dealt = rows.select("digest", "keep_id", "n_points").repartition(self.buckets, "digest")
+        dealt = rows.select("digest", "keep_id", "keep_h", "n_points").repartition(self.buckets, "digest")
         dealt.write.format("parquet").mode(mode).bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
         self.made = True
 
     def read(self) -> DataFrame:
         if not self.made:
-            return self.spark.createDataFrame([], "digest binary, keep_id long, n_points long")
+            return self.spark.createDataFrame([], "digest binary, keep_id long, keep_h long, n_points long")
         return self.spark.table(self.table)
 
     def append(self, groups: DataFrame, rows: int) -> None:
         """Adds one row per digest, `rows` of them; the rows are dealt by digest first, so that each bucket gets one sorted file."""
         if self.buckets is None:
             self.buckets = max(FEWEST, -(-rows // BUCKET_ROWS))
+        if not self.made:
+            self.spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.mode("overwrite").json(f"{self.path}-buckets")
         self._write(groups, "append" if self.made else "overwrite")
         self.spark.catalog.refreshTable(self.table)
 
@@ -108,32 +116,36 @@ def ingest(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
     Columns: doc_id, keep_id (of the row that stays: one taken in before, or else the longest of the batch), group_size
     (rows of the batch with this text), kept, text_sha256.
     """
-    return _decided(docs, index, id_col, text_col).select("doc_id", "keep_id", "group_size", (F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return _decided(docs, index, id_col, text_col).select("doc_id", "keep_id", "group_size", _stays().alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _stays():
+    """Whether a row is the one that stands for its text, in the index or in this batch."""
+    return F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
 
 
 def without_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """`docs` with exactly one row of each group of equal texts that the index doesn't know; what is new is appended."""
     rows = _decided(docs, index, "doc_id", "text")
-    stays = F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
-    keys = written(rows.groupBy("doc_id", "h", "digest", stays.alias("stays")).agg(F.count(F.lit(1)).alias("times")), "keys")
+    keys = written(rows.groupBy("doc_id", "h", "digest", _stays().alias("stays")).agg(F.count(F.lit(1)).alias("times")), "keys")
     return without_rows(docs, keys.where("NOT stays"), keys.where("stays AND times > 1"))
 
 
 def _decided(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h, digest, keep_id, keep_h, group_size and is_new of every row; appends what is new."""
+    """doc_id, h, digest, keep_id, keep_h and group_size of every row; appends what is new."""
     rows = written(digests(docs, id_col, text_col), "digests")
     best = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "h"))
     groups = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("best.id").alias("keep_id"), F.col("best.h").alias("keep_h"), (-F.col("best.shorter")).alias("n_points"), "group_size")
     groups = written(groups, "groups")
-    known = index.read().select("digest", F.col("keep_id").alias("known_id"))
-    new = written(groups.join(known.hint("merge"), "digest", "left_anti").withColumn("is_new", F.lit(True)), "new")
+    known = index.read().select("digest", F.col("keep_id").alias("known_id"), F.col("keep_h").alias("known_h"))
+    new = written(groups.join(known.hint("merge"), "digest", "left_anti"), "new")
     decided = new
     if index.made:
-        old = groups.join(known.hint("merge"), "digest").select("digest", F.col("known_id").alias("keep_id"), "keep_h", "n_points", "group_size", F.lit(False).alias("is_new"))
+        old = groups.join(known.hint("merge"), "digest").select("digest", F.col("known_id").alias("keep_id"), F.col("known_h").alias("keep_h"), "n_points", "group_size")
         decided = written(new.unionByName(old), "decided")
     index.append(new, new.count())
     # a text that very many rows have is joined where they are
-    per_digest = decided.select("digest", "keep_id", "keep_h", "group_size", "is_new", F.col("group_size").alias("held"))
+    per_digest = decided.select("digest", "keep_id", "keep_h", "group_size", F.col("group_size").alias("held"))
     return split_join(rows.select("doc_id", "h", "digest"), per_digest, "digest", rows.count())
 
 

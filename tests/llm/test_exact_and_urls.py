@@ -140,3 +140,24 @@ def test_scores_are_those_of_naive_bayes_written_out(spark):
 @pytest.mark.parametrize(("url", "verdict"), [("https://royal-blackjack.io/table", "block"), ("https://news.site.io/betting/odds", "block"), ("https://news.site.io/odds", "allow"), ("https://essex.ac.uk/sussex", "allow"), ("https://cheap.io/cheap", "allow"), ("https://a.io/" + "x/" * 100_000 + "porn", "block")])
 def test_urls_that_the_vocabulary_was_not_made_from(spark, url, verdict):
     assert url_filter.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).first().verdict == verdict
+
+
+def test_a_batch_taken_in_again_keeps_the_same_rows(spark):
+    rows = [(1, "a b"), (2, "ab"), (2, "ab "), (3, "c"), (None, "d"), (None, "d d")]
+    index = exact_dedup.DigestIndex.create(spark, buckets=4)
+    first = sorted(map(tuple, exact_dedup.ingest(docs(spark, rows), index).collect()), key=repr)
+    size = index.read().count()
+    # the append is done and the result lost: the next session opens the index and takes the batch in again
+    again = exact_dedup.DigestIndex.open(spark, index.path)
+    assert sorted(map(tuple, exact_dedup.ingest(docs(spark, rows), again).collect()), key=repr) == first
+    assert again.read().count() == size and again.buckets == 4
+    kept = sorted(map(tuple, exact_dedup.without_copies(docs(spark, rows), again).collect()), key=repr)
+    assert kept == sorted(map(tuple, exact_dedup.without_copies(docs(spark, rows), exact_dedup.DigestIndex.create(spark)).collect()), key=repr) and kept
+    assert exact_dedup.without_copies(docs(spark, [(9, "a b"), (1, "ab")]), again).count() == 0  # copies of what was kept
+
+
+def test_an_index_tells_its_number_of_buckets(spark):
+    index = exact_dedup.DigestIndex.create(spark, buckets=3)
+    exact_dedup.ingest(docs(spark, [(1, "a")]), index)
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex.open(spark, index.path, buckets=5)
