@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import read_table, text_of, written
+from quarryline.llm.common import let, read_table, text_of, written
 
 #: Given names by gender and script.
 GIVEN = {
@@ -77,11 +77,6 @@ PATTERN = "|".join((
 MARK, _ESCAPES = "\x01", (("\x02", "\x02\x04"), ("\x01", "\x02\x03"))
 
 
-def let(value: Column, body) -> Column:
-    """`body` of a value that is computed once, however often it is used, also within functions over arrays."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def marked(text: Column, pattern: Column | str = PATTERN) -> Column:
     """A text in parts: what stands between the hits, and, at every second place, the hits."""
     return F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)

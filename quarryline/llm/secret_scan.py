@@ -27,7 +27,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import read_table, text_of
+from quarryline.llm.common import let, read_table, text_of
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run that is too short has no longer run inside, so for these two the least length can be part of the pattern.
@@ -116,21 +116,29 @@ _BLOCK = 512
 
 
 def placed(text: Column, pattern: str, found: Column) -> Column:
-    """(start, end, hit) of each match in `found`, all matches of `pattern` in `text`: the gaps between them add up."""
-    gaps = F.split(text, pattern, -1)
-    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("hit")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _BLOCK).cast("int")), lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)))
-    zero = F.lit(0).cast("long")
-    total = lambda b: F.aggregate(b, zero, lambda s, x: s + x.gap + x.size)
-    kind = "array<struct<start:bigint,end:bigint,hit:string>>"
+    """(start, end, hit) of each match in `found`, all matches of `pattern` in `text`: the gaps between them add up.
+
+    What several steps use is bound with `let`, so the text is split once and not again for each block.
+    """
+    zero, kind = F.lit(0).cast("long"), "array<struct<start:bigint,end:bigint,hit:string>>"
+
+    def sized(gaps: Column) -> Column:
+        return F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("hit")))
+
+    def in_blocks(sizes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")), lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)))
 
     def walk(b: Column, at: Column) -> Column:
         first = F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
         step = lambda s, x: F.struct((s["at"] + x.gap + x.size).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x.gap).alias("start"), (s["at"] + x.gap + x.size).alias("end"), x.hit.alias("hit")))).alias("out"))
         return F.aggregate(b, first, step)["out"]
 
-    starts = F.aggregate(F.transform(blocks, total), F.array(zero), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-    spans = F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), walk))
+    def walked(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda s, x: s + x.gap + x.size))
+        starts = F.aggregate(totals, F.array(zero), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), walk))
+
+    spans = let(sized(F.split(text, pattern, -1)), lambda sizes: let(in_blocks(sizes), walked))
     return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(kind))
 
 
