@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quarryline.functions import ids
 from quarryline.functions import text as T
 from quarryline.functions.confidence import mean_of, signal
+from quarryline.operators import postings as P
 from quarryline.operators import retrieval as R
+from quarryline.plans.shared import written
 
 PER_OBJECT, PER_BUNDLE, SCORE_FLOOR = 3, 12, 0.05
 
@@ -150,7 +152,10 @@ def build_bundle(objects: DataFrame, links: DataFrame, evidence: DataFrame, resu
 
 
 def build_bundles(objects: DataFrame, links: DataFrame, evidence: DataFrame, queries: list[R.Query], most: int = 8) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """E-04: bundle headers of up to `most` queries; a query that fails is reported and doesn't stop the others."""
+    """E-04 for a handful of `Query` values, the first `most` of them; a query that fails is reported and doesn't stop the others.
+
+    A table of questions of any size goes to `question_bundles`.
+    """
     made, failed = None, []
     for q in queries[:most]:
         try:
@@ -161,6 +166,32 @@ def build_bundles(objects: DataFrame, links: DataFrame, evidence: DataFrame, que
     return made, failed
 
 
+def question_bundles(index: P.PostingsIndex, links: DataFrame, evidence: DataFrame, questions: DataFrame, limit: int = 10) -> dict[str, DataFrame]:
+    """E-01, E-04 for a table of questions (query_id, text), all in one plan over a postings index.
+
+    `objects`: the cross-paper results at or above the floor, a row for each question and object; `evidence`: of each the
+    PER_OBJECT best known places, found once for an object however many questions lead to it; `bundles`: a row for every
+    question, with its papers, kinds, counts, confidence and issues, and its status: built, empty (nothing above the
+    floor) or failed (no words, or null, to ask for).
+    """
+    asks = F.size(T.tokens(F.coalesce(F.col("text"), F.lit("")))) > 0
+    asked = questions.where(asks)
+    kept = P.cross_paper(index, asked, limit).where(F.col("score") >= SCORE_FLOOR)
+    kept = written(kept.select("query_id", F.col("id").alias("object_id"), "kind", "paper_id", "confidence", "score", "rank"), "kept")
+    places = written(evidence_of(kept.select("object_id").distinct(), links, evidence), "places")
+    held = kept.select("query_id", "object_id").join(places, "object_id")
+    counts = places.groupBy("object_id").agg(F.count(F.lit(1)).alias("n_held"))
+    counted = kept.join(counts, "object_id", "left").withColumn("n_evidence", F.coalesce("n_held", F.lit(0))).drop("n_held")
+    size = counted.groupBy("query_id").agg(F.avg("confidence").alias("mean"), F.sum("n_evidence").alias("n_evidence"), F.count(F.lit(1)).alias("n_objects"))
+    header = coverage(counted, "query_id").join(size, "query_id")
+    header = header.withColumn("confidence", bundle_confidence(F.col("mean"), F.col("with_evidence"), F.col("n_objects"), F.size("papers"), F.col("n_evidence")))
+    header = header.withColumn("issues", bundle_verdict(F.col("papers"), F.col("kinds"), F.col("n_evidence"), F.col("without_evidence")))
+    none = F.array().cast("array<string>")
+    named = questions.select("query_id", ids.bundle_id(F.col("query_id").cast("string"), F.coalesce("text", F.lit("")), none, none).alias("bundle_id"), asks.alias("asks"))
+    bundles = named.join(header.drop("mean"), "query_id", "left").withColumn("status", F.when(~F.col("asks"), "failed").when(F.col("n_objects").isNull(), "empty").otherwise("built")).drop("asks")
+    return {"objects": counted, "evidence": held, "bundles": bundles}
+
+
 def bundle_citations(evidence: DataFrame) -> DataFrame:
     """O-07, A-25: distinct citations of a bundle by paper, page, then first appearance."""
     firsts = evidence.groupBy("bundle_id", "paper_id", F.coalesce("page", F.lit(0)).alias("page"), "citation").agg(F.min("ord").alias("ord"))

@@ -643,6 +643,14 @@ def _further_queries() -> None:
     ORACLE_SQL.update(further.ORACLE_SQL)
 
 
+def _indexed_queries() -> None:
+    from quarryline.plans import indexed
+
+    QUERIES.update(indexed.QUERIES)
+    ORACLE_SQL.update(indexed.ORACLE_SQL)
+
+
 _stream_queries()
 _relational_queries()
 _further_queries()
+_indexed_queries()
