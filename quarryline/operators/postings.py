@@ -38,11 +38,13 @@ from quarryline.operators.errors import PrerequisiteNotMet
 from quarryline.plans.shared import shared_dir, written
 
 #: Objects of a part, and words of a part's texts in sum, at most (one longer text is a part of its own).
-PART_OBJECTS, PART_WORDS = 2048, 2_000_000
+PART_OBJECTS, PART_WORDS = 1 << 13, 2_000_000
+#: Bits of a place in a part.
+PLACE_BITS = 13
 #: Buckets of a segment, and buckets that one word may be spread over.
 BUCKETS, SPREAD = 64, 16
 #: Questions that are answered together, and parts in which each looks first.
-QUESTIONS, FIRST = 500, 4
+QUESTIONS, FIRST = 250, 4
 #: Distinct words of a block of questions that are broadcast; more are joined by shuffle.
 BROADCAST_WORDS = 1_000_000
 #: What the arms read of an object besides its words.
@@ -61,76 +63,96 @@ class _Part:
     """The objects and words of one part, while it is gathered."""
 
     def __init__(self):
-        self.words, self.keys, self.counts, self.marks, self.lengths, self.size = _Numbers(), [], [], [], [], 0
+        self.words, self.found, self.lengths, self.size = _Numbers(), [], [], 0
 
-    def add(self, text: str, name: str, body: str) -> None:
+    def add(self, *texts: str) -> None:
+        """Text, name and body of an object; the length is that of the text."""
         own = len(self.lengths)
-        numbers = lambda s: np.array([self.words[w] for w in s.split(" ") if len(w) > 1], np.int64)
-        every = numbers(text)
-        for found, counted, mark in ((every, True, 0), (numbers(name), False, 1), (numbers(body), False, 2)):
-            word, n = np.unique(found, return_counts=True)
-            self.keys.append(word * PART_OBJECTS + own)
-            self.counts.append(n if counted else np.zeros(len(n), np.int64))
-            self.marks.append(np.full(len(n), mark))
-        self.lengths.append(len(every))
-        self.size += len(every)
-
-    def blocks(self, part: int):
-        """A row for each word."""
+        for mark, said in enumerate(texts):
+            numbers = np.array([self.words[w] for w in said.split(" ") if len(w) > 1], np.int64)
+            if mark == 0:
+                self.lengths.append(len(numbers))
+            self.size += len(numbers)
+            word, n = np.unique(numbers, return_counts=True)
+            if len(word):
+                self.found.append((word * PART_OBJECTS + own, n.astype(np.int32) if mark == 0 else np.zeros(len(n), np.int32), np.full(len(n), mark, np.int8)))
+
+    def blocks(self):
+        """The words and, of each, its postings (8 bytes: place, marks and count) and the head: n_docs, most, shortest, total."""
         import pyarrow as pa
 
-        keys, place = np.unique(np.concatenate(self.keys), return_inverse=True)
-        if not len(keys):
-            return
-        counts = np.bincount(place, np.concatenate(self.counts)).astype(np.int32)
-        marks = np.bincount(place, np.concatenate(self.marks)).astype(np.int8)
-        word, own = keys // PART_OBJECTS, (keys % PART_OBJECTS).astype(np.int32)
+        if not self.found:
+            return None
+        keys, counts, marks = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        self.found = []
+        order = np.argsort(keys, kind="stable")
+        keys, counts, marks = keys[order], counts[order], marks[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))  # text, name and body that share a word
+        keys, counts, marks = keys[starts], np.add.reduceat(counts, starts), np.add.reduceat(marks, starts)
+        word, own = keys // PART_OBJECTS, keys % PART_OBJECTS
         starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        offsets = pa.array(np.append(starts, len(word)).astype(np.int32))
-        counted, length = counts > 0, np.array(self.lengths, np.int32)[own]
+        packed = own | (marks.astype(np.int64) << PLACE_BITS) | (counts.astype(np.int64) << PLACE_BITS + 2)
+        offsets = (np.append(starts, len(word)) * 8).astype(np.int32)
+        postings = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])
         names = pa.array(list(self.words), pa.string()).take(pa.array(word[starts]))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (own, counts, marks)]
-        heads = [np.add.reduceat(counted.astype(np.int32), starts), np.maximum.reduceat(counts, starts), np.minimum.reduceat(np.where(counted, length, np.iinfo(np.int32).max), starts)]
-        yield [pa.array([part] * len(starts), pa.int64()), names, *lists, *(pa.array(h) for h in heads)], ["part", "term", "places", "counts", "marks", "n_docs", "most", "shortest"]
+        counted, length = counts > 0, np.array(self.lengths, np.int32)[own]
+        heads = [np.add.reduceat(counted.astype(np.int32), starts), np.maximum.reduceat(counts, starts), np.minimum.reduceat(np.where(counted, length, np.iinfo(np.int32).max), starts), np.add.reduceat(counts.astype(np.int64), starts)]
+        return [names, postings, *(pa.array(h) for h in heads)]
 
 
-def _rows(objects: DataFrame, segment: int, carried: list[str], part_objects: int) -> DataFrame:
-    """Objects (term null) and blocks (id null) of a batch, in one pass over its texts."""
-    norm = lambda c: T.normalise(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    read = objects.select("id", norm("text").alias("text"), norm("name").alias("name"), norm("body").alias("body"), *carried)
-    kinds = {f.name: f.dataType.simpleString() for f in objects.schema.fields}
-    own = ", ".join(f"{c} {kinds[c]}" for c in ["id", *carried])
-    schema = f"part long, {own}, place int, n int, term string, places array<int>, counts array<int>, marks array<tinyint>, n_docs int, most int, shortest int"
+def unpacked(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of an Arrow column of postings: the places, counts and marks of all rows one after the other, and the end of each row."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.int64)
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)) // 8
+    return flat & (PART_OBJECTS - 1), flat >> PLACE_BITS + 2, (flat >> PLACE_BITS) & 3, ends
+
+
+#: What a block has besides its part.
+BLOCK = "term string, postings binary, n_docs int, most int, shortest int, total long"
 
+
+def _rows(objects: DataFrame, segment: int, carried: list[str], part_objects: int) -> DataFrame:
+    """Objects (term null) and blocks (object null) of a batch, in one pass over its texts; a column that isn't there is empty."""
+    said = lambda c: T.normalise(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in objects.columns else F.lit("")
+    read = objects.select("id", said("text").alias("text"), said("name").alias("name"), said("body").alias("body"), *carried)
+    own = ", ".join(f"{c}: {objects.schema[c].dataType.simpleString()}" for c in ["id", *carried])
+    schema = f"part long, object struct<{own}, place: int, n: int>, {BLOCK}"
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def gather(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        def filled(arrays, names, rows):
-            have = dict(zip(names, arrays, strict=True))
-            return pa.RecordBatch.from_arrays([have[f.name].cast(f.type) if f.name in have else pa.nulls(rows, f.type) for f in fields], schema=fields)
+        part_field, object_field, *block_fields = fields
+
+        def told(number: int, arrays):
+            for at in range(0, len(arrays[0]), 20_000):
+                n = len(arrays[0][at : at + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.nulls(n, object_field.type), *(x.slice(at, n).cast(f.type) for x, f in zip(arrays, block_fields, strict=True))], schema=fields)
 
         first, seq, part = (segment << 44) | (TaskContext.get().partitionId() << 20), 0, _Part()
         for batch in batches:
-            text, name, body = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            texts = [batch.column(i).to_pylist() for i in (1, 2, 3)]
             at = 0
             while at < batch.num_rows:
                 start, begun = at, len(part.lengths)
                 while at < batch.num_rows and len(part.lengths) < part_objects and part.size < PART_WORDS:
-                    part.add(text[at], name[at], body[at])
+                    part.add(*(t[at] for t in texts))
                     at += 1
-                n, whole = at - start, batch.slice(start, at - start)
-                arrays = [pa.array([first + seq] * n, pa.int64()), whole.column(0), *whole.columns[4:], pa.array(np.arange(begun, begun + n, dtype=np.int32)), pa.array(part.lengths[begun:], pa.int32())]
-                yield filled(arrays, ["part", "id", *carried, "place", "n"], n)
+                n = at - start
+                columns = [batch.column(0), *batch.columns[4:]]
+                held = [*(c.slice(start, n) for c in columns), pa.array(np.arange(begun, begun + n, dtype=np.int32)), pa.array(part.lengths[begun:], pa.int32())]
+                struct = pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip(held, object_field.type, strict=True)], fields=list(object_field.type))
+                yield pa.RecordBatch.from_arrays([pa.array([first + seq] * n, pa.int64()), struct, *(pa.nulls(n, f.type) for f in block_fields)], schema=fields)
                 if len(part.lengths) >= part_objects or part.size >= PART_WORDS:
-                    for arrays, names in part.blocks(first + seq):
-                        yield filled(arrays, names, len(arrays[0]))
+                    yield from told(first + seq, part.blocks() or [[]])
                     part, seq = _Part(), seq + 1
         if part.lengths:
-            for arrays, names in part.blocks(first + seq):
-                yield filled(arrays, names, len(arrays[0]))
+            yield from told(first + seq, part.blocks() or [[]])
 
     return read.mapInArrow(gather, schema)
 
@@ -170,10 +192,11 @@ class PostingsIndex:
         carried = [c for c in CARRIED if c in objects.columns]
         rows = _rows(objects, segment, carried, self.part_objects)
         spread = F.when(F.col("term").isNull(), F.xxhash64("part")).otherwise(F.xxhash64("term", F.pmod("part", F.lit(SPREAD))))
-        dealt = rows.withColumn("kind_of_row", F.when(F.col("term").isNull(), "object").otherwise("block")).withColumn("bucket", F.pmod(spread, F.lit(self.buckets)).cast("int"))
+        bucket = F.pmod(spread, F.lit(self.buckets)).cast("int")
+        dealt = rows.repartition(self.buckets, bucket).withColumn("kind_of_row", F.when(F.col("term").isNull(), "object").otherwise("block")).withColumn("bucket", bucket)
         folder = f"{self.path}/segment={segment}"
-        dealt.repartition(self.buckets, "bucket").sortWithinPartitions("kind_of_row", "bucket", "term", "part").write.mode("overwrite").partitionBy("kind_of_row", "bucket").parquet(folder)
-        size = self.spark.read.parquet(folder).where("kind_of_row = 'object'").agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first() if self._exists(f"{folder}/kind_of_row=object") else None
+        dealt.sortWithinPartitions("kind_of_row", "bucket", "term", "part").write.mode("overwrite").partitionBy("kind_of_row", "bucket").parquet(folder)
+        size = self.spark.read.parquet(folder).where("kind_of_row = 'object'").agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("object.n"), F.lit(0)).alias("words")).first() if self._exists(f"{folder}/kind_of_row=object") else None
         row = (batch, segment, size.objects if size else 0, size.words if size else 0, self.buckets)
         self.spark.createDataFrame([row], "batch string, segment long, objects long, words long, buckets int").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{segment}")
         return True
@@ -183,33 +206,42 @@ class PostingsIndex:
         at = jvm.org.apache.hadoop.fs.Path(folder)
         return at.getFileSystem(conf).exists(at)
 
-    def _read(self, kind: str) -> DataFrame | None:
+    def _read(self, kind: str, *columns: str) -> DataFrame | None:
         folders = [f"{self.path}/segment={r.segment}/kind_of_row={kind}" for r in self.manifest() if r.objects]
-        parts = [self.spark.read.parquet(f) for f in folders if self._exists(f)]
         out = None
-        for p in parts:
-            out = p if out is None else out.unionByName(p, allowMissingColumns=True)
+        for f in filter(self._exists, folders):
+            part = self.spark.read.parquet(f).select(*columns)
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
 
     def objects(self) -> DataFrame:
-        """part, place, id, n (words of the text) and the carried columns of every object."""
-        found = self._read("object")
+        """part, id, the carried columns, place and n (words of the text) of every object."""
+        found = self._read("object", "part", "object.*")
         if found is None:
             raise PrerequisiteNotMet("the index is empty")
-        return found.drop("term", "places", "counts", "marks", "n_docs", "most", "shortest", "bucket")
+        return found
 
     def blocks(self) -> DataFrame:
-        """part, term, places, counts, marks, n_docs, most, shortest and bucket of every block."""
-        found = self._read("block")
-        if found is None:  # objects without words
-            schema = "part long, term string, places array<int>, counts array<int>, marks array<tinyint>, n_docs int, most int, shortest int, bucket int"
-            return self.spark.createDataFrame([], schema)
-        return found.select("part", "term", "places", "counts", "marks", "n_docs", "most", "shortest", "bucket")
+        """part, bucket, term, postings, n_docs, most, shortest and total of every block."""
+        found = self._read("block", "part", "bucket", *[c.split()[0] for c in BLOCK.split(", ")])
+        return found if found is not None else self.spark.createDataFrame([], f"part long, bucket int, {BLOCK}")
+
+    def postings(self) -> DataFrame:
+        """term, part, place, count (in the text) and marks (1: in the name, 2: in the body) of every posting."""
+
+        def unpack(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                places, counts, marks, ends = unpacked(batch.column(2))
+                row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(np.append(0, ends))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(places.astype(np.int32)), pa.array(counts), pa.array(marks.astype(np.int32))], ["term", "part", "place", "count", "marks"])
+
+        return self.blocks().select("term", "part", "postings").mapInArrow(unpack, "term string, part long, place int, count long, marks int")
 
     def terms(self) -> DataFrame:
-        """A-28: term, df (objects whose text has it), cf (how often), from the blocks."""
-        held = self.blocks().groupBy("term").agg(F.sum("n_docs").alias("df"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("cf"))
-        return held.where("df > 0")
+        """A-28: term, df (objects whose text has it), cf (how often), from the heads of the blocks."""
+        return self.blocks().groupBy("term").agg(F.sum("n_docs").alias("df"), F.sum("total").alias("cf")).where("df > 0")
 
     def size(self) -> tuple[int, float]:
         """Objects, and mean words of a text."""
@@ -257,9 +289,9 @@ def _halves(table):
     import pyarrow.compute as pc
 
     own, held = table.filter(pc.is_null(table["term"])).sort_by("place"), table.filter(pc.is_valid(table["term"]))
-    terms, columns = held["term"].to_pylist(), [held[c].combine_chunks() for c in ("places", "counts", "marks")]
-    flat, ends = [c.flatten().to_numpy() for c in columns], np.cumsum(pc.list_value_length(columns[0]).to_numpy())
-    return own, [(t, *(f[a:b] for f in flat)) for t, a, b in zip(terms, [0, *ends.tolist()], ends.tolist(), strict=False)]
+    places, counts, marks, ends = unpacked(held["postings"]) if held.num_rows else ([],) * 4
+    starts = [0, *list(ends)[:-1]]
+    return own, [(t, places[a:b], counts[a:b], marks[a:b]) for t, a, b in zip(held["term"].to_pylist(), starts, ends, strict=False)]
 
 
 def _best(score: np.ndarray, ids: list, limit: int):
@@ -279,7 +311,7 @@ def _best(score: np.ndarray, ids: list, limit: int):
 def _grouped(index: PostingsIndex, blocks: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Objects and blocks, of all parts or of those in `parts` (part, active), with `active`."""
     objects = index.objects()
-    every = objects.unionByName(blocks.drop("n_docs", "most", "shortest", "bucket"), allowMissingColumns=True)
+    every = objects.unionByName(blocks.select("part", "term", "postings"), allowMissingColumns=True)
     return every.join(parts, "part") if parts is not None else every.withColumn("active", F.lit(None).cast("array<int>"))
 
 

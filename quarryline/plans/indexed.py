@@ -25,11 +25,11 @@ def query(sql: str):
     return add
 
 
-def _index(spark, sf, batches: int = 1) -> postings.PostingsIndex:
-    """The trusted objects, taken in by `batches` batches of whole sources."""
+def _index(spark, sf, *fields: str, batches: int = 1) -> postings.PostingsIndex:
+    """The trusted objects with the fields that a query asks for, taken in by `batches` batches of whole sources."""
     o = roles.objects(spark, sf).where("trusted")
     body = F.concat_ws(" ", F.coalesce("description", F.lit("")), F.array_join("quotes", " "))
-    rows = o.select("id", "text", "name", body.alias("body"), "kind", "paper_id", "confidence", "n_evidence", T.normalise(F.col("name")).alias("name_key"))
+    rows = o.withColumn("body", body).select("id", *fields, "kind", "paper_id", "confidence", "n_evidence", T.normalise(F.col("name")).alias("name_key"))
     index = postings.PostingsIndex.create(spark)
     for k in range(batches):
         index.append(rows if batches == 1 else rows.where(F.pmod(F.xxhash64("paper_id"), F.lit(batches)) == k), f"batch {k}")
@@ -65,19 +65,19 @@ s AS (SELECT query_id, id, round(sum(times * ln(1 + (docs - df + 0.5) / (df + 0.
 SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""")
 def indexed_bm25(spark, sf):
     """R-02, R-12: every item of `benchmark` against all trusted texts."""
-    return postings.bm25(_index(spark, sf), _questions(spark, sf))
+    return postings.bm25(_index(spark, sf, "text"), _questions(spark, sf))
 
 
 @query(f"""WITH {roles.OBJECTS}, {_LEXICAL} SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM lx WHERE score > 0) WHERE rank <= 10""")
 def indexed_lexical(spark, sf):
     """R-01."""
-    return postings.lexical(_index(spark, sf), _questions(spark, sf)).select("query_id", "id", "score", "rank")
+    return postings.lexical(_index(spark, sf, "name", "body"), _questions(spark, sf)).select("query_id", "id", "score", "rank")
 
 
 @query(f"""WITH {roles.OBJECTS}, {_LEXICAL}, {_CROSS} SELECT query_id, id, score2 AS score, CAST(rank AS INT) AS rank FROM cp""")
 def indexed_cross_paper(spark, sf):
     """R-09."""
-    return postings.cross_paper(_index(spark, sf), _questions(spark, sf)).select("query_id", "id", "score", "rank")
+    return postings.cross_paper(_index(spark, sf, "name", "body"), _questions(spark, sf)).select("query_id", "id", "score", "rank")
 
 
 @query(f"""WITH q AS (SELECT item_id AS query_id, {toks("coalesce(text, '')")} AS terms FROM benchmark), e AS (SELECT doc_id AS id, {toks("coalesce(text, '')")} AS w, doc_id % 5 AS precision FROM documents),
@@ -88,7 +88,7 @@ SELECT query_id, id, matched, score, CAST(rank AS INT) AS rank FROM (SELECT *, r
 def indexed_evidence(spark, sf):
     """R-07: whole texts as quotes."""
     d = roles.table(spark, sf, "documents")
-    quotes = d.select(F.col("doc_id").alias("id"), F.lit("").alias("text"), F.lit("").alias("name"), F.col("text").alias("body"), (F.col("doc_id") % 5).cast("long").alias("precision"))
+    quotes = d.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), (F.col("doc_id") % 5).cast("long").alias("precision"))
     index = postings.PostingsIndex.create(spark)
     index.append(quotes, "quotes")
     return postings.evidence_search(index, _questions(spark, sf)).select("query_id", "id", "matched", "score", "rank")
@@ -97,7 +97,7 @@ def indexed_evidence(spark, sf):
 @query(f"""WITH {roles.OBJECTS}, {_WORDS} SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest(w) AS term FROM w) GROUP BY term""")
 def indexed_terms(spark, sf):
     """A-28: the words of an index made by three batches."""
-    return _index(spark, sf, 3).terms()
+    return _index(spark, sf, "text", batches=3).terms()
 
 
 @query(f"""WITH {roles.OBJECTS}, {_LEXICAL}, {_CROSS}, kept AS (SELECT * FROM cp WHERE score2 >= 0.05),
@@ -115,6 +115,6 @@ def question_bundles(spark, sf):
     o = roles.objects(spark, sf)
     lines = o.select(F.col("id").alias("object_id"), F.posexplode("quotes").alias("at", "quote")).where(F.trim("quote") != "").withColumn("evidence_id", F.concat_ws(":", "object_id", "at"))
     found = lines.select("evidence_id", (F.col("at") % 5).alias("precision"))
-    made = evidence.question_bundles(_index(spark, sf), lines.select("object_id", "evidence_id"), found, _questions(spark, sf))["bundles"]
+    made = evidence.question_bundles(_index(spark, sf, "name", "body"), lines.select("object_id", "evidence_id"), found, _questions(spark, sf))["bundles"]
     key = F.regexp_extract("bundle_id", "([0-9a-f]+)$", 1)
     return made.select("query_id", "status", F.array_join("papers", ",").alias("papers"), F.array_join("kinds", ",").alias("kinds"), "n_objects", "n_evidence", "with_evidence", "without_evidence", "confidence", codes(F.col("issues")).alias("codes"), key.alias("bundle_key"))

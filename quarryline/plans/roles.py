@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Labels (16 bytes each) are broadcast up to this number; more are joined by shuffle.
+BROADCAST_LABELS = 1_000_000
 KINDS = ("method", "dataset", "metric", "result", "limitation", "future_work")
 
 
@@ -18,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document as an object: its first line is the name, its second the description, all others its quotes; toxic ones aren't trusted."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labels = F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels  # so that texts stay where they are
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     o = d.join(labels, "doc_id", "left").select("*", lines.alias("lines"))
     quotes = F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0)))
