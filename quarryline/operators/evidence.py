@@ -76,14 +76,29 @@ def value_contradictions(results: DataFrame, tolerance: float = 0.05, keys: tupl
 def value_conflict_groups(results: DataFrame, tolerance: float = 0.05, keys: tuple[str, ...] = ("metric", "dataset")) -> DataFrame:
     """J-08 without pairs: the keys under which some two values differ by `tolerance` or more, with how many results they have and the pair that differs most.
 
-    Of all pairs, the lowest and the highest value differ most relative to the larger, so one aggregate per key tells; a
-    key with very many results costs a row, where `value_contradictions` makes as many as there are pairs.
+    Of values of one sign (and zeros) the lowest and the highest differ most relative to the larger, so one aggregate per
+    key tells. Values of opposite signs differ by 1 + smaller / larger, so there the pair that is nearest in magnitude
+    differs most: each value meets the next smaller one in magnitude of the other sign, in the order of magnitudes, in the
+    keys that have both signs. A key with very many results costs a row, where `value_contradictions` makes as many as
+    there are pairs.
     """
     known = results.where("value IS NOT NULL").dropna(subset=[keys[0]])
     of = lambda pick: pick(F.struct("value", "id"))
-    groups = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("paper_id").alias("n_papers"), of(F.min).alias("low"), of(F.max).alias("high"))
-    largest = F.greatest(F.abs("low.value"), F.abs("high.value"), F.lit(1e-9))
-    return groups.withColumn("difference", F.round((F.col("high.value") - F.col("low.value")) / largest, 6)).where((F.col("high.value") - F.col("low.value")) / largest >= tolerance).select(*keys, "n", "n_papers", F.col("low.id").alias("low_id"), F.col("high.id").alias("high_id"), "difference")
+    apart = lambda x, y: F.abs(F.col(x) - F.col(y)) / F.greatest(F.abs(x), F.abs(y), F.lit(1e-9))
+    signs = [F.count_if(F.col("value") < 0).alias("n_below"), F.count_if(F.col("value") > 0).alias("n_above")]
+    groups = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("paper_id").alias("n_papers"), of(F.min).alias("low"), of(F.max).alias("high"), *signs)
+    groups = groups.withColumn("both", (F.col("n_below") > 0) & (F.col("n_above") > 0))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    mixed = known.alias("r").join(groups.where("both").alias("g"), same("r", "g"), "left_semi").where("value <> 0")
+    smaller = Window.partitionBy(*keys).orderBy(F.abs("value"), "value", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda sign: F.last(F.when(F.signum("value") == sign, F.struct("value", "id")), ignorenulls=True).over(smaller)
+    met = mixed.withColumn("other", F.when(F.col("value") > 0, last(-1)).otherwise(last(1))).where("other IS NOT NULL")
+    pair = F.struct(F.struct("value", "id").alias("one"), "other")
+    most = met.groupBy(*keys).agg(F.max_by(pair, F.struct(apart("value", "other.value"), "id")).alias("pair"))
+    both = groups.alias("g").join(most.alias("m"), same("g", "m"), "left").select("g.*", "m.pair")
+    ends = both.select(*keys, "n", "n_papers", F.coalesce(F.least("pair.one", "pair.other"), "low").alias("low"), F.coalesce(F.greatest("pair.one", "pair.other"), "high").alias("high"))
+    found = ends.withColumn("difference", apart("low.value", "high.value")).where(F.col("difference") >= tolerance)
+    return found.select(*keys, "n", "n_papers", F.col("low.id").alias("low_id"), F.col("high.id").alias("high_id"), F.round("difference", 6).alias("difference"))
 
 
 def attribute_conflict_groups(objects: DataFrame, kind: str, attribute: str) -> DataFrame:

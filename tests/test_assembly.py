@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline import engine
-from quarryline.operators import assembly, errors, loop
+from quarryline.operators import assembly, errors, evidence, loop
 from quarryline.operators import retrieval as R
 
 
@@ -127,3 +127,22 @@ def test_bundles_are_found_by_id_question_and_kind(spark):
     assert assembly.bundle_by_id(b, "b2").count() == 1 and assembly.bundles_for_question(b, "q1").count() == 2
     assert assembly.bundle_objects(spark.createDataFrame([("o", "method"), ("p", "result")], "id string, kind string"), "method").first().id == "o"
     assert spark.range(1).select(assembly.run_confidence({"a": F.lit(0.5), "b": F.lit(1.0)}).alias("c")).first().c == 0.75
+
+
+def test_conflict_groups_of_mixed_signs_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("a", -1.0), ("a", 1.0), ("a", 10.0), ("b", 0.0), ("b", 0.0), ("c", -5.0), ("c", 0.0), ("d", 100.0), ("d", 104.0), ("e", -1e-10), ("e", 5e-10), ("f", 2.0)]
+    rows += [(f"k{rng.randrange(12)}", round(rng.choice([-1, 1, 1]) * rng.choice([0, 1e-10, 1, 3, 10]) * rng.uniform(0.9, 1.1), 12)) for _ in range(60)] + [(None, 1.0), (None, -1.0), ("a", None)]
+    df = spark.createDataFrame([(f"r{i}", i, f"p{i % 4}", k, k and k[:1], v) for i, (k, v) in enumerate(rows)], "id string, ord int, paper_id string, metric string, dataset string, value double")
+    want = {}
+    for i, (k, v) in enumerate(rows):
+        for w in (w for l, w in rows[:i] if l == k and k is not None and v is not None and w is not None):
+            want[k] = max(want.get(k, 0), abs(v - w) / max(abs(v), abs(w), 1e-9))
+    got = {r.metric: r for r in evidence.value_conflict_groups(df).collect()}
+    assert set(got) == {k for k, d in want.items() if d >= 0.05}
+    value = {f"r{i}": v for i, (_, v) in enumerate(rows)}
+    for k, r in got.items():
+        low, high = value[r.low_id], value[r.high_id]
+        assert abs(r.difference - want[k]) < 2e-6 and abs(abs(high - low) / max(abs(low), abs(high), 1e-9) - want[k]) < 2e-6 and low <= high
