@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import StreamingQueryException
 
 from quarryline.functions import text as T
 from quarryline.functions.confidence import codes
 from quarryline.operators import evidence, postings
 from quarryline.plans import roles
+from quarryline.plans.shared import shared_dir
 from quarryline.plans.sqltext import norm, toks
+from quarryline.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -118,3 +121,29 @@ def question_bundles(spark, sf):
     made = evidence.question_bundles(_index(spark, sf, "name", "body"), lines.select("object_id", "evidence_id"), found, _questions(spark, sf))["bundles"]
     key = F.regexp_extract("bundle_id", "([0-9a-f]+)$", 1)
     return made.select("query_id", "status", F.array_join("papers", ",").alias("papers"), F.array_join("kinds", ",").alias("kinds"), "n_objects", "n_evidence", "with_evidence", "without_evidence", "confidence", codes(F.col("issues")).alias("codes"), key.alias("bundle_key"))
+
+
+@query("""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, source AS paper_id, doc_id % 3 AS run, sha256(coalesce(text, '')) AS sha, length(trim(coalesce(text, ''), ' ')) AS chars FROM documents),
+p AS (SELECT paper_id, count(*) FILTER (chars > 0) AS n_documents, string_agg(DISTINCT 'run ' || run, ',' ORDER BY 'run ' || run) AS run_ids FROM d GROUP BY 1)
+SELECT document_id, paper_id, sha, chars, CASE WHEN chars = 0 THEN 'failed' ELSE 'processed' END AS outcome, n_documents, run_ids FROM d JOIN p USING (paper_id)""")
+def stream_equals_batch(spark, sf):
+    """ST-01: documents that come in three parts through a stream, of which the second dies before it counts and is replayed."""
+    d = roles.table(spark, sf, "documents")
+    docs = d.select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("paper_id"), "text", F.concat(F.lit("run "), (F.col("doc_id") % 3).cast("string")).alias("run_id"))
+    folder = shared_dir(spark)
+    table, died = ingest.IngestTable(spark, f"{folder}/table"), []
+
+    def dies_once(batch: int) -> None:
+        if batch == 1 and not died:
+            died.append(batch)
+            raise RuntimeError("killed before it counts")
+
+    for k in range(3):
+        docs.where(F.col("run_id") == f"run {k}").write.parquet(f"{folder}/in/{k}")
+        source = spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        try:
+            table.drain(source, f"{folder}/checkpoint", dies_once)
+        except StreamingQueryException:
+            table.drain(source, f"{folder}/checkpoint", dies_once)
+    papers = table.records().select("paper_id", "n_documents", F.array_join("run_ids", ",").alias("run_ids"))
+    return table.outcomes().join(F.broadcast(papers) if papers.count() <= roles.BROADCAST_LABELS else papers, "paper_id")

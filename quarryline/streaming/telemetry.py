@@ -1,11 +1,11 @@
-"""Streaming (inventory ST-01 to ST-05): telemetry roll-ups, late data, exactly-once evidence and monotone state.
+"""Streaming (inventory ST-01 to ST-05): telemetry roll-ups, late data, exactly-once evidence and monotone state. Incremental ingest is in `ingest`.
 
 Batch and stream share one definition of each roll-up, so a stream that has read all its input gives the batch result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -55,11 +55,6 @@ def monotone_status(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, kinds string, n long", "kinds string, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def ingest(source: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):
-    """ST-01: hands each batch of new rows to `work`, once."""
-    return source.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all input there is and returns what it wrote (to the shared folder)."""
     spark = stream.sparkSession
