@@ -1,11 +1,10 @@
 """Steps joined into chains: documents, source text, vetting of knowledge, evidence of trusted papers, the graph of a corpus, stored runs
-(inventory X-09, X-10, T-19, W-13, G-06, E-05, E-06, U-02, U-06, J-01, N-01, N-04, S-12, S-13, S-17, K-11, K-12, F-18)."""
+(inventory X-09, X-10, T-19, W-13, G-06, E-05, E-06, U-02, U-06, J-01, N-01, N-04, S-12, S-13, S-17, K-11, K-12)."""
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
 from dataclasses import fields, is_dataclass
 from functools import lru_cache
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.confidence import mean_of, signal, succeeds
 from quarryline.operators import dedup, evidence, graph, grounding, layout, quality
-from quarryline.operators.errors import ConfigurationError, PrerequisiteNotMet, RepositoryError
+from quarryline.operators.errors import ConfigurationError, RepositoryError
 from quarryline.plans.shared import written
 
 #: Characters of a paper's source text that go to an extractor, by default.
@@ -238,37 +237,6 @@ class Checkpoints:
         return max(self.held[run_id], key=lambda x: x[0])[1] if run_id in self.held else None
 
 
-def _some(state: dict, *path: str):
-    for p in path:
-        state = (state or {}).get(p)
-    return state
-
-
-#: F-18: what a stage may ask of a run's state: a reason why it must not begin, or nothing.
-GUARDS: dict[str, Callable[[dict], str | None]] = {
-    "run_not_failed": lambda s: f"run already failed at stage {_some(s, 'failure', 'stage') or 'unknown'}" if s.get("status") == "failed" or s.get("failure") else None,
-    "requires_plan": lambda s: None if s.get("plan") is not None else "no research plan in state",
-    "requires_candidates": lambda s: None if s.get("candidates") else "discovery returned no candidates",
-    "requires_local_pdfs": lambda s: None if any(c.get("local_path") for c in s.get("candidates") or ()) else "no candidate has a local PDF to parse",
-    "requires_documents": lambda s: "document intelligence has not run" if s.get("documents") is None else None if s["documents"].get("ready") else "no document passed validation",
-    "requires_knowledge": lambda s: "knowledge extraction has not run" if s.get("knowledge") is None else None if s["knowledge"].get("objects") else "no knowledge objects survived extraction",
-    "requires_evidence_bundles": lambda s: "the reasoning session has not started" if s.get("reasoning") is None else None if s["reasoning"].get("bundle_ids") else "retrieval produced no evidence bundles",
-    "requires_findings": lambda s: None if _some(s, "reasoning", "findings") else "reasoning produced no findings",
-    "requires_verification": lambda s: None if _some(s, "reasoning", "verifications") else "no finding has been verified",
-    "within_budget": lambda s: f"budget exhausted: {_some(s, 'reasoning', 'exceeded')}" if _some(s, "reasoning", "exceeded") else None,
-}
-
-
-def guard(state: dict, *names: str) -> None:
-    """F-18: the first guard that blocks says why."""
-    for name in names:
-        if name not in GUARDS:
-            raise ConfigurationError(f"no guard {name!r}; known: {', '.join(sorted(GUARDS))}")
-        reason = GUARDS[name](state)
-        if reason:
-            raise PrerequisiteNotMet(reason)
-
-
 def run_confidence(parts: dict[str, Column]) -> Column:
     """A-01 over named parts."""
     return mean_of(F.array(*(signal(n, c) for n, c in parts.items())))

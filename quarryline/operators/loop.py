@@ -64,9 +64,10 @@ def latest_round(verdicts: DataFrame) -> DataFrame:
     return verdicts.join(last, ["run_id", "iteration"], "left_semi")
 
 
-def route(any_verified: Column, latest_insufficient: Column, exhausted: Column, open_questions: Column) -> Column:
-    """L-08: what comes after verification; a verified finding of any round goes first."""
-    return F.when(any_verified, "review").when(exhausted, "terminate").when(latest_insufficient & (open_questions > 0), "retrieve").otherwise("review")
+def route(exhausted: Column, any_verified: Column, contradicted: Column, wanting: Column) -> Column:
+    """L-08: what comes after verification: a spent budget ends the run however good the verdicts are; then a verified finding of
+    any round goes to review; of the latest round, a contradicted claim is reasoned again, one that wants evidence retrieved for."""
+    return F.when(exhausted, "terminate").when(any_verified, "review").when(contradicted, "reason").when(wanting, "retrieve").otherwise("review")
 
 
 def budget_exceeded(ledger: DataFrame, most_iterations: int, most_calls: int, most_tokens: int, most_ms: int) -> DataFrame:
@@ -135,12 +136,11 @@ def retry(call: Callable, attempts: int = 3, base: float = 0.5, sleep: Callable[
 
 @dataclass
 class Stage:
-    """L-09: one stage of a run; `needs` names what must be there before it, `guards` what is asked of the state."""
+    """L-09: one stage of a run on the driver; `needs` names what must be there before it. Needs over tables of runs are in `runs`."""
 
     name: str
     run: Callable[[dict], dict]
     needs: tuple[str, ...] = ()
-    guards: tuple[str, ...] = ()
 
 
 def run_stages(stages: list[Stage], state: dict) -> tuple[dict, list[tuple[str, str, str | None]]]:
@@ -152,10 +152,6 @@ def run_stages(stages: list[Stage], state: dict) -> tuple[dict, list[tuple[str,
             history.append((s.name, "blocked", f"prerequisite_not_met: {', '.join(absent)}"))
             break
         try:
-            if s.guards:
-                from quarryline.operators.assembly import guard
-
-                guard(state, *s.guards)
             state = state | s.run(state)
             history.append((s.name, "completed", None))
         except PrerequisiteNotMet as e:

@@ -650,7 +650,15 @@ def _indexed_queries() -> None:
     ORACLE_SQL.update(indexed.ORACLE_SQL)
 
 
+def _loop_queries() -> None:
+    from quarryline.plans import loops
+
+    QUERIES.update(loops.QUERIES)
+    ORACLE_SQL.update(loops.ORACLE_SQL)
+
+
 _stream_queries()
 _relational_queries()
 _further_queries()
 _indexed_queries()
+_loop_queries()

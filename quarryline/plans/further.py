@@ -266,11 +266,12 @@ def document_volume(spark, sf):
 # --- loop, evaluation, records ---
 
 
-@query("""SELECT conv_id, CASE WHEN v THEN 'review' WHEN n >= 6 THEN 'terminate' WHEN i AND n % 2 = 1 THEN 'retrieve' ELSE 'review' END AS next FROM (SELECT conv_id, bool_or(length(text) > 400) AS v, count(*) AS n, bool_and(length(text) < 300) AS i FROM conversations GROUP BY 1)""")
+@query("""SELECT conv_id, CASE WHEN n >= 6 THEN 'terminate' WHEN v THEN 'review' WHEN c THEN 'reason' WHEN i THEN 'retrieve' ELSE 'review' END AS next
+FROM (SELECT conv_id, bool_or(length(text) > 400) AS v, count(*) AS n, bool_and(length(text) < 300) AS i, bool_or(length(text) < 100) AS c FROM conversations GROUP BY 1)""")
 def verdict_routing(spark, sf):
     """L-08."""
-    c = roles.table(spark, sf, "conversations").groupBy("conv_id").agg(F.bool_or(F.length("text") > 400).alias("v"), F.count(F.lit(1)).alias("n"), F.bool_and(F.length("text") < 300).alias("i"))
-    return c.select("conv_id", loop.route(F.col("v"), F.col("i"), F.col("n") >= 6, F.col("n") % 2).alias("next"))
+    c = roles.table(spark, sf, "conversations").groupBy("conv_id").agg(F.bool_or(F.length("text") > 400).alias("v"), F.count(F.lit(1)).alias("n"), F.bool_and(F.length("text") < 300).alias("i"), F.bool_or(F.length("text") < 100).alias("c"))
+    return c.select("conv_id", loop.route(F.col("n") >= 6, F.col("v"), F.col("c"), F.col("i")).alias("next"))
 
 
 @query("""SELECT o_custkey AS run_id, count(*) AS n, count(DISTINCT o_orderdate) AS iterations, count(*) FILTER (o_orderstatus = 'F') AS verified, count(*) FILTER (o_orderstatus = 'P') AS partially_verified, count(*) FILTER (o_orderstatus = 'O') AS contradicted FROM orders GROUP BY 1""")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline import engine
-from quarryline.operators import assembly, errors, evidence, loop
+from quarryline.operators import assembly, errors, evidence
 from quarryline.operators import retrieval as R
 
 
@@ -77,28 +77,6 @@ def test_checkpoints_of_runs(spark, tmp_path):
         assert held.latest("r") == {"plan": 2} and held.latest("none") is None
 
 
-def test_guards_block_with_their_reason():
-    full = {"plan": 1, "candidates": [{"local_path": "x"}], "documents": {"ready": 1}, "knowledge": {"objects": 2}, "reasoning": {"bundle_ids": ["b"], "findings": ["f"], "verifications": ["v"]}}
-    assembly.guard(full, *assembly.GUARDS)
-    for state, name, reason in (
-        ({"status": "failed", "failure": {"stage": "plan"}}, "run_not_failed", "run already failed at stage plan"),
-        ({}, "requires_plan", "no research plan in state"),
-        ({"candidates": []}, "requires_candidates", "discovery returned no candidates"),
-        ({"candidates": [{}]}, "requires_local_pdfs", "no candidate has a local PDF to parse"),
-        ({}, "requires_documents", "document intelligence has not run"),
-        ({"documents": {}}, "requires_documents", "no document passed validation"),
-        ({"knowledge": {"objects": 0}}, "requires_knowledge", "no knowledge objects survived extraction"),
-        ({"reasoning": {}}, "requires_evidence_bundles", "retrieval produced no evidence bundles"),
-        ({}, "requires_findings", "reasoning produced no findings"),
-        ({"reasoning": {"findings": [1]}}, "requires_verification", "no finding has been verified"),
-        ({"reasoning": {"exceeded": "tokens"}}, "within_budget", "budget exhausted: tokens"),
-    ):
-        with pytest.raises(errors.PrerequisiteNotMet, match=reason):
-            assembly.guard(state, name)
-    state, history = loop.run_stages([loop.Stage("plan", lambda s: {"plan": 1}), loop.Stage("search", lambda s: {}, guards=("requires_plan", "requires_candidates"))], {})
-    assert history == [("plan", "completed", None), ("search", "blocked", "prerequisite_not_met: discovery returned no candidates")]
-
-
 def test_all_arms_answer(spark):
     rows = [("a", 0, "method", "p", "graph cache", "a cache of graphs", ["the graph cache"], 0.9, 1, True, "graph cache text", [1.0, 0.0]), ("b", 1, "dataset", "q", "other thing", "nothing here", ["no"], 0.5, 1, True, "other text", [0.0, 1.0]), ("c", 2, "method", "q", "graph cache", "hidden", [], 0.9, 0, False, "graph cache", [1.0, 0.0])]
     objects = spark.createDataFrame(rows, "id string, ord int, kind string, paper_id string, name string, description string, quotes array<string>, confidence double, n_evidence int, trusted boolean, text string, vector array<double>")
