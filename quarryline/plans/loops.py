@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.operators import runs
+from quarryline.operators import generations, runs
 from quarryline.plans import roles
+from quarryline.plans.shared import shared_dir
 from quarryline.streaming import ledgers, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,28 @@ def stream_run_ledgers(spark, sf):
     calls = telemetry.event_stream(spark, sf).select(F.col("user_id").alias("run_id"), F.col("event_type").alias("agent"), F.floor(F.coalesce("value", F.lit(0.0)) * 100).alias("tokens"), "ts")
     with ledgers.typed_state(spark):
         return telemetry.finished(ledgers.ledgers(calls, _LEDGER, _IDLE), "ledgers")
+
+
+_NODE, _EDGE = "id string, kind string, name string", "id string, source_id string, target_id string, kind string, grounded boolean"
+
+
+@query(f"""WITH {roles.GRAPH}, n AS (SELECT id, kind, CASE WHEN id LIKE 'k:%1' THEN name || ' new' ELSE name END AS name FROM gnodes WHERE NOT (kind = 'result' AND id LIKE '%7') UNION ALL SELECT 'n:' || n_nationkey, 'nation', n_name FROM nation),
+e AS (SELECT id, source_id, target_id, kind, CASE WHEN source_id LIKE 's:%3' THEN NOT grounded ELSE grounded END AS grounded FROM gedges WHERE NOT (kind IN ('PRODUCED_BY', 'MEASURED_BY') AND source_id LIKE '%7'))
+SELECT 'nodes' AS what, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN concat_ws(',', CASE WHEN a.kind <> b.kind THEN 'kind' END, CASE WHEN a.name <> b.name THEN 'name' END) END AS fields
+FROM gnodes a FULL JOIN n b ON a.id = b.id WHERE (a.kind, a.name) IS DISTINCT FROM (b.kind, b.name)
+UNION ALL SELECT 'edges', coalesce(a.id, b.id), CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 'grounded' END
+FROM gedges a FULL JOIN e b ON a.id = b.id WHERE a.grounded IS DISTINCT FROM b.grounded""")
+def generation_changes(spark, sf):
+    """N-06: a graph whose results of every tenth part are gone, brands renamed, suppliers judged anew and nations new, against the one before."""
+    nodes, edges = roles.graph_nodes(spark, sf), roles.graph_edges(spark, sf)
+    made = F.col("kind").isin("PRODUCED_BY", "MEASURED_BY") & F.col("source_id").like("%7")
+    nations = roles.table(spark, sf, "nation").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("nation").alias("kind"), F.col("n_name").alias("name"))
+    later = {
+        "nodes": nodes.where(~((F.col("kind") == "result") & F.col("id").like("%7"))).withColumn("name", F.when(F.col("id").like("k:%1"), F.concat("name", F.lit(" new"))).otherwise(F.col("name"))).unionByName(nations),
+        "edges": edges.where(~made).withColumn("grounded", F.when(F.col("source_id").like("s:%3"), ~F.col("grounded")).otherwise(F.col("grounded"))),
+    }
+    path = shared_dir(spark)
+    generations.store({"nodes": nodes, "edges": edges}, "g1", path)
+    generations.store(later, "g2", path)
+    parts = [generations.changes(spark, path, what, "g1", "g2", schema).select(F.lit(what).alias("what"), "id", "change", F.array_join("fields", ",").alias("fields")) for what, schema in (("nodes", _NODE), ("edges", _EDGE))]
+    return parts[0].unionAll(parts[1])
