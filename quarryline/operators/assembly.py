@@ -124,6 +124,17 @@ def conflicts(results: DataFrame, objects: DataFrame, attributes: tuple[tuple[st
     return found
 
 
+def conflict_counts(results: DataFrame, objects: DataFrame, attributes: tuple[tuple[str, str], ...], tolerance: float = 0.05) -> DataFrame:
+    """U-02, counted: kind, n. Contradicting attributes are counted by aggregates, since their pairs grow with the square of a name's objects."""
+    values = evidence.value_contradictions(results, tolerance).agg(F.count(F.lit(1)).alias("n"))
+    stated = None
+    for kind, attribute in attributes:
+        part = evidence.attribute_conflict_count(objects, kind, attribute)
+        stated = part if stated is None else stated.unionAll(part)
+    out = values.select(F.lit("value_conflict").alias("kind"), "n")
+    return out if stated is None else out.unionAll(stated.agg(F.sum("n").alias("n")).select(F.lit("attribute_conflict").alias("kind"), "n"))
+
+
 def ordered_union(*parts: Column) -> Column:
     """U-06: the ids of several lists, each where it stands first."""
     return F.array_distinct(F.concat(*(F.coalesce(p, F.array().cast("array<string>")) for p in parts)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import confidence, ids
 from quarryline.functions import text as T
-from quarryline.operators import dedup, evaluation, evidence, graph, grounding, layout, loop, quality
+from quarryline.operators import assembly, dedup, evaluation, evidence, graph, grounding, layout, loop, quality
 from quarryline.operators import retrieval as R
 from quarryline.sources import providers
 
@@ -439,3 +439,24 @@ def test_altered_passages_are_found_in_documents_without_a_verbatim_one(spark):
     got = {r.draft_id: (r.paragraph_index, r.ratio) for r in fuzzy_quotes(q, d).collect()}
     assert got == expected
     assert {f"{10 * k + j}-{k}" for k in range(6) for j in (0, 1)} <= set(got) and 1 > got["0-0"][1]
+
+
+def test_contradictions_of_a_name_that_very_many_bear(spark):
+    """Blocks of a hot name meet in tasks of their own, and their number is that of the pairs."""
+    rows = [(f"o{n}", n // 2 if n % 10 == 0 else n, "dataset", "Same  name" if n % 3 else "other", f"p{n % 4}" if n % 11 else None, n % 5 < 2 if n % 7 else None) for n in range(400)]
+    o = spark.createDataFrame(rows, "id string, ord int, kind string, name string, paper_id string, is_public boolean")
+    said = [r for r in rows if r[5] is not None and r[4]]
+    want = sorted((a[0], b[0]) for a in said for b in said if a[3] == b[3] and a[5] != b[5] and a[4] != b[4] and a[1] < b[1])
+    found = evidence.attribute_contradictions(o, "dataset", "is_public", block=16, most=1000)
+    assert sorted((r.left_id, r.right_id) for r in found.collect()) == want
+    assert found.rdd.getNumPartitions() > len(want) // 1000
+    assert evidence.attribute_conflict_count(o, "dataset", "is_public").first().n == len(want)
+
+
+def test_counts_of_conflicts_make_no_pairs(spark):
+    """200,000 objects of one name: 10 billion pairs, of which none is made; without any, the count is 0."""
+    o = spark.range(200_000).select(F.col("id").cast("string").alias("id"), F.col("id").alias("ord"), F.lit("dataset").alias("kind"), F.lit("n").alias("name"), (F.col("id") % 10).cast("string").alias("paper_id"), (F.col("id") % 4 < 2).alias("is_public"))
+    none = spark.createDataFrame([], "id string, ord long, paper_id string, metric string, dataset string, value double")
+    want = 100_000**2 - sum(sum(1 for n in range(20) if n % 10 == p and n % 4 < 2) * sum(1 for n in range(20) if n % 10 == p and n % 4 >= 2) * 10_000**2 for p in range(10))
+    assert {r.kind: r.n for r in assembly.conflict_counts(none, o, (("dataset", "is_public"),)).collect()} == {"value_conflict": 0, "attribute_conflict": want}
+    assert {r.n for r in assembly.conflict_counts(none, o.limit(0), (("dataset", "is_public"),)).collect()} == {0}
