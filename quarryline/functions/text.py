@@ -53,7 +53,12 @@ def tokens(c: Column, fold: bool = False) -> Column:
 
 def bm25_tokens(c: Column, fold: bool = False) -> Column:
     """T-03: words of more than one character, repeats kept."""
-    return F.filter(_words(normalise(c, fold)), lambda w: F.length(w) > 1)
+    return F.filter(F.split(normalise(c, fold), " "), lambda w: F.length(w) > 1)
+
+
+def split_words(c: Column) -> Column:
+    """All that stands between spaces of the normalised text, to be met with tokens: a word that is none meets nothing."""
+    return F.split(normalise(c), " ")
 
 
 def title_key(c: Column) -> Column:
@@ -68,7 +73,8 @@ def ranking_tokens(c: Column) -> Column:
 
 def overlap(candidate: Column, reference: Column) -> Column:
     """T-06: share of the reference's words that the candidate has; 0 if either is empty."""
-    return F.when((F.size(candidate) > 0) & (F.size(reference) > 0), F.size(F.array_intersect(candidate, reference)) / F.size(reference)).otherwise(F.lit(0.0))
+    # the candidate stands here once, so that its words are made once; without any it shares none
+    return F.when(F.size(reference) > 0, F.greatest(F.size(F.array_intersect(candidate, reference)), F.lit(0)) / F.size(reference)).otherwise(F.lit(0.0))
 
 
 def symmetric_overlap(a: Column, b: Column) -> Column:

@@ -61,8 +61,8 @@ def lexical_signals(query: Query) -> dict[str, tuple[Column, float]]:
     terms = T.tokens(F.lit(query.all_terms))
     text = F.concat_ws(" ", F.coalesce("description", F.lit("")), F.array_join("quotes", " "))
     return {
-        "name_match": (T.overlap(T.tokens(F.col("name")), terms), 1.0),
-        "text_match": (T.overlap(T.tokens(text), terms), 0.8),
+        "name_match": (T.overlap(T.split_words(F.col("name")), terms), 1.0),
+        "text_match": (T.overlap(T.split_words(text), terms), 0.8),
         "validation_confidence": (F.col("confidence"), 0.6),
         "evidence_density": (F.least(F.col("n_evidence") / 3, F.lit(1.0)), 0.4),
     }
@@ -71,14 +71,15 @@ def lexical_signals(query: Query) -> dict[str, tuple[Column, float]]:
 def lexical(objects: DataFrame, query: Query) -> DataFrame:
     """R-01: weighted word overlap, confidence and evidence density; scores above 0."""
     found = candidates(objects, query).select("*", weighted_score(lexical_signals(query)).alias("score"))
-    return best(found.where("score > 0"), query.limit)
+    # the best first, then those above 0: the other way round the filter would make the score a second time
+    return best(found, query.limit).where("score > 0")
 
 
 def bm25(objects: DataFrame, query: Query, text: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """R-02: BM25 over the filtered candidates; repeated words of the query count again.
 
-    One pass over the texts counts the query's words in each (no row per word); what it counted is written, and the
-    corpus figures are one row of it.
+    One pass over the texts counts the query's words in each (no row per word): a text's words are gone through once to
+    find those of the query, however many these are. What it counted is written, and the corpus figures are one row of it.
     """
     words = candidates(objects, query).sparkSession.range(1).select(T.bm25_tokens(F.lit(query.all_terms)).alias("w")).first().w
     terms = sorted(set(words))
@@ -86,7 +87,8 @@ def bm25(objects: DataFrame, query: Query, text: Column, k1: float = 1.5, b: flo
         return objects.select("id", F.lit(0.0).alias("score")).limit(0)
     tokens = T.bm25_tokens(text)
     counted = candidates(objects, query).select("id", tokens.alias("t"))
-    counted = counted.select("id", F.size("t").alias("n"), *(F.size(F.filter("t", _equals(q))).alias(f"tf{i}") for i, q in enumerate(terms)))
+    counted = counted.select("id", F.size("t").alias("n"), F.filter("t", lambda w: w.isin(*terms)).alias("t"))
+    counted = counted.select("id", "n", *(F.size(F.filter("t", _equals(q))).alias(f"tf{i}") for i, q in enumerate(terms)))
     counted = written(counted, "bm25")
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
@@ -180,6 +182,7 @@ def rrf(results: DataFrame, k: int = 60, limit: int = 10) -> DataFrame:
 
 def weighted_fusion(results: DataFrame, limit: int = 10) -> DataFrame:
     """R-05, W-02: scores stretched to 0..1 within each component, then a weighted mean."""
+    results = written(results, "results")  # used twice; each use would score all texts again
     own = Window.partitionBy("query_id", "component")
     low, span = F.min("score").over(own), F.max("score").over(own) - F.min("score").over(own)
     stretched = results.withColumn("s", F.when(span > 0, (F.col("score") - low) / span).otherwise(1.0))
