@@ -173,6 +173,7 @@ def normalised_by_best(scored: DataFrame) -> DataFrame:
 
 def rrf(results: DataFrame, k: int = 60, limit: int = 10) -> DataFrame:
     """R-04: reciprocal rank fusion of rows (query_id, component, weight, id, score); weights of 0 are left out."""
+    results = written(results, "results")  # used twice; each use would score all texts again
     order = Window.partitionBy("query_id", "component").orderBy(F.desc("score"), "id")
     usable = results.withColumn("rank", F.row_number().over(order))
     total = usable.select("query_id", "component", "weight").distinct().groupBy("query_id").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("total"))
@@ -182,7 +183,7 @@ def rrf(results: DataFrame, k: int = 60, limit: int = 10) -> DataFrame:
 
 def weighted_fusion(results: DataFrame, limit: int = 10) -> DataFrame:
     """R-05, W-02: scores stretched to 0..1 within each component, then a weighted mean."""
-    results = written(results, "results")  # used twice; each use would score all texts again
+    results = written(results, "results")
     own = Window.partitionBy("query_id", "component")
     low, span = F.min("score").over(own), F.max("score").over(own) - F.min("score").over(own)
     stretched = results.withColumn("s", F.when(span > 0, (F.col("score") - low) / span).otherwise(1.0))
