@@ -216,7 +216,7 @@ def agreement(objects: DataFrame) -> DataFrame:
 def cross_paper(objects: DataFrame, query: Query) -> DataFrame:
     """R-09: a wider lexical result, scored again with the agreement of papers."""
     wide = Query(**{**query.__dict__, "limit": min(5 * query.limit, 500)})
-    found = agreement(lexical(objects, wide).drop("score"))
+    found = agreement(written(lexical(objects, wide).drop("score"), "wide"))  # used twice; each use would score all texts again
     return best(found.withColumn("score", weighted_score({**lexical_signals(query), "agreement": (F.col("agreement"), 0.9)})), query.limit)
 
 
