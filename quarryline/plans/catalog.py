@@ -395,11 +395,11 @@ def clean_list(spark, sf):
 @query("""SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS rebuilt FROM documents""")
 def inverted_index_rebuild(spark, sf):
     """All words of all texts, indexed by word and put together again."""
-    from quarryline.sources.providers import rebuild_abstract
+    from quarryline.sources.providers import inverted_index, rebuild_abstract
 
     d = roles.table(spark, sf, "documents")
     words = F.split(T.collapse(F.coalesce("text", F.lit(""))), " ")
-    rows = d.select("doc_id", F.posexplode(words).alias("pos", "word")).groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("pos")).alias("positions")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("index"))
+    rows = inverted_index(d.select("doc_id", words.alias("words")), "words")
     return rows.select("doc_id", T.collapse(rebuild_abstract(F.col("index"))).alias("rebuilt"))
 
 

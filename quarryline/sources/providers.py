@@ -32,10 +32,24 @@ def publication_type(provider: str, c: Column) -> Column:
     return out
 
 
+def inverted_index(texts: DataFrame, words: str, index: str = "index") -> DataFrame:
+    """S-04 the other way: `index`, {word: [places]}, of the array `words` of each row, without a row for each word.
+
+    Words sorted with their places stand in runs, so a row's index takes its own words only and nothing is shuffled.
+    """
+    sorted_words = texts.withColumn("_w", F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("place")))))
+    at = lambda i: F.get("_w", i)["word"]
+    begins = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+    runs = sorted_words.withColumn("_at", F.when(F.size("_w") > 0, begins).otherwise(F.array().cast("array<int>")))
+    run = lambda b, n: F.slice("_w", b + 1, F.coalesce(F.get("_at", n + 1), F.size("_w")) - b)
+    entries = F.transform("_at", lambda b, n: F.struct(at(b).alias("word"), F.transform(run(b, n), lambda x: x["place"]).alias("places")))
+    return runs.withColumn(index, F.map_from_entries(entries)).drop("_w", "_at")
+
+
 def rebuild_abstract(index: Column) -> Column:
     """S-04: a text from {word: [places]}, by place, then word."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e.value, lambda p: F.struct(p.alias("place"), e.key.alias("word")))))
-    return F.array_join(F.transform(F.array_sort(pairs), lambda x: x.word), " ")
+    return F.array_join(F.transform(F.sort_array(pairs), lambda x: x.word), " ")
 
 
 def _identifiers(**known: Column) -> Column:
