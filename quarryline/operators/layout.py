@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import collapse, word_count
+from quarryline.plans.shared import written
 
 #: How printed headings name the parts of a paper; the first pattern that is found counts.
 SECTION_PATTERNS = (
@@ -56,9 +57,18 @@ def median_length(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("document_id").agg(F.median(F.length("text")).alias("median_chars"))
 
 
+def section_name(title: Column) -> Column:
+    """A heading without its number and closing marks, in lower case."""
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.trim(title), NUMBERING, ""))), TRAILING, "")
+
+
 def classify(title: Column) -> Column:
     """X-02."""
-    name = F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.trim(title), NUMBERING, ""))), TRAILING, "")
+    return kind_of(section_name(title))
+
+
+def kind_of(name: Column) -> Column:
+    """X-02 of a section name."""
     out = F.lit("other")
     for kind, pattern in reversed(SECTION_PATTERNS):
         out = F.when(name.rlike(pattern), kind).otherwise(out)
@@ -77,18 +87,16 @@ def headings(blocks: DataFrame, max_chars: int = 120, max_words: int = 12, least
     A heading must show intent: larger type, bold type or a number; brevity and the lack of a full stop only add to that.
     """
     b = blocks.where(F.trim("text") != "").join(body_size(blocks), "document_id")
-    text = F.trim("text")
-    words = word_count(F.col("text"))
-    larger = (F.col("body_size") > 0) & (F.col("size") >= F.col("body_size") * ratio)
-    numbered = text.rlike(NUMBERING)
-    prose = text.rlike(r"[.,;]$") & ~numbered
+    # in steps, so that what several conditions ask for is a column, made once a block
+    b = b.select("*", F.trim("text").alias("trimmed"), collapse(F.col("text")).alias("collapsed"), ((F.col("body_size") > 0) & (F.col("size") >= F.col("body_size") * ratio)).alias("larger"))
+    b = b.select("*", word_count(F.col("text")).alias("words"), F.col("trimmed").rlike(NUMBERING).alias("numbered"), F.regexp_replace("collapsed", TRAILING, "").alias("title"))
+    b = b.select("*", (F.col("trimmed").rlike(r"[.,;]$") & ~F.col("numbered")).alias("prose"), section_name(F.col("title")).alias("name"))
     points = lambda c, v: F.when(c, v).otherwise(0.0)
-    raw = points(larger, 0.35) + points(F.col("bold"), 0.25) + points(numbered, 0.25) + points(words <= 8, 0.10) + points(~prose, 0.05)
-    title = F.regexp_replace(collapse(F.col("text")), TRAILING, "")
-    kind = classify(title)
-    is_heading = (F.length(text) <= max_chars) & (words <= max_words) & (larger | F.col("bold") | numbered) & (F.round(raw, 4) >= least) & (title != "")
-    confidence = F.round(F.when(kind != "other", F.least(F.lit(1.0), raw + 0.25)).otherwise(raw), 4)
-    return b.select("document_id", "ord", "page", "text", is_heading.alias("is_heading"), title.alias("title"), kind.alias("kind"), level(text).alias("level"), confidence.alias("confidence"))
+    raw = points(F.col("larger"), 0.35) + points(F.col("bold"), 0.25) + points(F.col("numbered"), 0.25) + points(F.col("words") <= 8, 0.10) + points(~F.col("prose"), 0.05)
+    b = b.select("*", raw.alias("raw"), kind_of(F.col("name")).alias("kind"))
+    is_heading = (F.length("trimmed") <= max_chars) & (F.col("words") <= max_words) & (F.col("larger") | F.col("bold") | F.col("numbered")) & (F.round("raw", 4) >= least) & (F.col("title") != "")
+    confidence = F.round(F.when(F.col("kind") != "other", F.least(F.lit(1.0), F.col("raw") + 0.25)).otherwise(F.col("raw")), 4)
+    return b.select("document_id", "ord", "page", "text", is_heading.alias("is_heading"), "title", "kind", level(F.col("trimmed")).alias("level"), confidence.alias("confidence"))
 
 
 def sections(found: DataFrame) -> DataFrame:
@@ -97,7 +105,8 @@ def sections(found: DataFrame) -> DataFrame:
     The parent is the nearest section before it with a smaller level, unless a section in between closed that level.
     """
     order = Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = found.withColumn("n", F.sum(F.col("is_heading").cast("int")).over(order) - 1)
+    numbered = found.drop("text").withColumn("n", F.sum(F.col("is_heading").cast("int")).over(order) - 1)
+    numbered = written(numbered, "sections")  # used three times; each use would read the documents again
     heads = numbered.where("is_heading")
     before = Window.partitionBy("document_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     candidates = [F.last(F.when(F.col("level") == k, F.col("n")), ignorenulls=True).over(before).alias(f"l{k}") for k in range(1, 7)]
@@ -202,10 +211,12 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     """HTML pages as blocks: titles and headings are large, paragraphs and list items are body, navigation and footers small."""
     body = F.regexp_replace("html", r"(?is)<(style|script)[^>]*>.*?</\1>", " ")
     parts = F.filter(F.split(body, r"(?i)(?=<(?:title|h[1-6]|p|li|footer|article|div)[ >])"), lambda p: p.rlike(r"(?i)^<(title|h[1-6]|p|li|footer|article|div)[ >]"))
-    raw = pages.select(F.col("page_id").cast("string").alias("document_id"), F.posexplode(parts).alias("ord", "part"))
-    tag = F.lower(F.regexp_extract("part", r"^<(\w+)", 1))
-    text = collapse(F.regexp_replace(F.regexp_replace("part", "<[^>]+>", " "), r"&\w+;|&#\d+;", " "))
-    return raw.select("document_id", "ord", F.lit(1).alias("page"), text.alias("text"), F.when(tag == "title", 20.0).when(tag.startswith("h"), 14.0).when(tag == "footer", 8.0).otherwise(10.0).alias("size"), tag.startswith("h").alias("bold")).where("text <> ''")
+    # text and tag are made before the rows are: a condition on a column of rows would make them a second time
+    text = lambda p: collapse(F.regexp_replace(F.regexp_replace(p, "<[^>]+>", " "), r"&\w+;|&#\d+;", " "))
+    read = F.transform(parts, lambda p: F.struct(F.lower(F.regexp_extract(p, r"^<(\w+)", 1)).alias("tag"), text(p).alias("text")))
+    raw = pages.select(F.col("page_id").cast("string").alias("document_id"), F.posexplode(read).alias("ord", "part")).where("part.text <> ''")
+    tag = F.col("part.tag")
+    return raw.select("document_id", "ord", F.lit(1).alias("page"), F.col("part.text").alias("text"), F.when(tag == "title", 20.0).when(tag.startswith("h"), 14.0).when(tag == "footer", 8.0).otherwise(10.0).alias("size"), tag.startswith("h").alias("bold"))
 
 
 def document_statistics(blocks: DataFrame, paras: DataFrame, cites: DataFrame) -> DataFrame:

@@ -460,3 +460,46 @@ def test_counts_of_conflicts_make_no_pairs(spark):
     want = 100_000**2 - sum(sum(1 for n in range(20) if n % 10 == p and n % 4 < 2) * sum(1 for n in range(20) if n % 10 == p and n % 4 >= 2) * 10_000**2 for p in range(10))
     assert {r.kind: r.n for r in assembly.conflict_counts(none, o, (("dataset", "is_public"),)).collect()} == {"value_conflict": 0, "attribute_conflict": want}
     assert {r.n for r in assembly.conflict_counts(none, o.limit(0), (("dataset", "is_public"),)).collect()} == {0}
+
+
+def stored(df, path):
+    df.write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
+
+
+@pytest.mark.parametrize("fuse", [R.rrf, R.weighted_fusion])
+def test_fusion_reads_what_it_fuses_once(spark, tmp_path, fuse):
+    rows = [("q", c, w, f"d{n}", float(n % 7)) for c, w in (("a", 1.0), ("b", 0.5)) for n in range(20)]
+    out = fuse(stored(spark.createDataFrame(rows, "query_id string, component string, weight double, id string, score double"), tmp_path / "r"))
+    assert out.count() == 10 and not any(str(tmp_path) in f for f in out.inputFiles())
+
+
+def test_cross_paper_scores_texts_once(spark, tmp_path):
+    rows = [(f"d{n}", "method", f"p{n % 4}", "Graph cache" if n % 2 else None, "fast cache" if n % 3 else None, ["a graph"] if n % 5 else [], 0.0 if n == 0 else 0.5, 0, True) for n in range(30)]
+    o = stored(spark.createDataFrame(rows, "id string, kind string, paper_id string, name string, description string, quotes array<string>, confidence double, n_evidence long, trusted boolean"), tmp_path / "o")
+    out = R.cross_paper(o, R.Query("graph cache"))
+    assert out.count() == 10 and not any(str(tmp_path) in f for f in out.inputFiles())
+    found = R.lexical(o, R.Query("graph cache", limit=50))
+    assert found.count() == 29  # the one without words, confidence and evidence has a score of 0
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_intersect(") == 2
+    assert one(spark, T.overlap(F.lit(None).cast("array<string>"), F.array(F.lit("x"))).alias("o")).o == 0.0
+
+
+def test_inverted_index_shuffles_nothing(spark):
+    texts = spark.createDataFrame([(1, "b a b c a b".split()), (2, [""]), (3, []), (4, None)], "id int, words array<string>")
+    out = providers.inverted_index(texts, "words")
+    assert {r.id: r["index"] for r in out.collect()} == {1: {"a": [1, 4], "b": [0, 2, 5], "c": [3]}, 2: {"": [0]}, 3: {}, 4: {}}
+    assert one(spark, T.collapse(providers.rebuild_abstract(F.create_map(F.lit("b"), F.array(F.lit(0), F.lit(2)), F.lit("a"), F.array(F.lit(1))))).alias("t")).t == "b a b"
+    from quarryline.plans.catalog import QUERIES
+
+    assert "Exchange" not in QUERIES["inverted_index_rebuild"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sections_read_pages_once(spark, tmp_path):
+    html = "<html><title>T</title><h1>1 Introduction</h1><p> </p><p>Some text &amp; more.</p><h2>1.1 Method</h2><p>Last.</p></html>"
+    pages = stored(spark.createDataFrame([(1, "u", html), (2, "u", "<p>bare</p>")], "page_id long, url string, html string"), tmp_path / "p")
+    blocks = layout.page_blocks(pages)
+    assert [(r.ord, r.text) for r in blocks.where("document_id = '1'").orderBy("ord").collect()] == [(0, "T"), (1, "1 Introduction"), (3, "Some text more."), (4, "1.1 Method"), (5, "Last.")]
+    out = layout.sections(layout.headings(blocks))
+    assert [(r.document_id, r.section_id, r.kind) for r in out.orderBy("document_id", "section_id").collect()][-2:] == [("1", "s002", "methodology"), ("2", "s000", "other")]
+    assert not any(str(tmp_path / "p") in f for f in out.inputFiles())
