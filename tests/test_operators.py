@@ -503,3 +503,31 @@ def test_sections_read_pages_once(spark, tmp_path):
     out = layout.sections(layout.headings(blocks))
     assert [(r.document_id, r.section_id, r.kind) for r in out.orderBy("document_id", "section_id").collect()][-2:] == [("1", "s002", "methodology"), ("2", "s000", "other")]
     assert not any(str(tmp_path / "p") in f for f in out.inputFiles())
+
+
+def test_lines_of_a_finding_are_dealt_by_their_number(spark):
+    from quarryline.plans import further
+    from quarryline.plans.shared import tasks_for
+
+    assert tasks_for(spark.range(100), rows=10) == 11 and tasks_for(spark.range(100)) == 4
+    plan = further.validator_finding(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_states_are_made_once_for_all_stages(spark):
+    from quarryline.plans import loops
+
+    out = loops.stage_admission(spark, "/root/testdata/sf0.001")
+    assert not any("orders.parquet" in f or "customer.parquet" in f for f in out.inputFiles())
+
+
+def test_conflict_groups_shuffle_results_once(spark, monkeypatch):
+    """Papers are counted only where values differ; a key of both signs, one that agrees, single results and NaN."""
+    plans, plain = {}, evidence.written
+    monkeypatch.setattr(evidence, "written", lambda df, name="step": plans.__setitem__(name, df._jdf.queryExecution().executedPlan().toString()) or plain(df, name))
+    nan = float("nan")
+    rows = [("a", "m", "d", "p1", -4.0), ("b", "m", "d", "p1", 1.0), ("c", "m", "d", None, 5.0), ("e", "m", None, "p1", 2.0), ("f", "m", None, "p2", 3.0), ("g", "n", "d", "p1", 1.0), ("h", "n", "d", "p2", 1.01), ("i", "o", "d", "p1", 7.0), ("j", "o", "e", "p1", nan)]
+    r = spark.createDataFrame([(i, n, p, m, d, v) for n, (i, m, d, p, v) in enumerate(rows)], "id string, ord int, paper_id string, metric string, dataset string, value double")
+    got = {(x.metric, x.dataset): (x.n, x.n_papers, x.low_id, x.high_id, str(x.difference)) for x in evidence.value_conflict_groups(r).collect()}
+    assert got == {("m", "d"): (3, 1, "a", "c", "1.8"), ("m", None): (2, 2, "e", "f", "0.333333"), ("o", "e"): (1, 1, "j", "j", "nan")}
+    assert plans["groups"].count("Exchange hashpartitioning") == 1
