@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import generations, runs
 from quarryline.plans import roles
-from quarryline.plans.shared import shared_dir
+from quarryline.plans.shared import shared_dir, tasks_for, written
 from quarryline.streaming import ledgers, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,8 @@ def _states(spark, sf):
     urgent = F.max(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority")))
     n, key = F.count("o_orderkey"), F.col("c_custkey")
     price, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    tasks = tasks_for(o)  # orders are sorted by run in one task each: their number follows the orders'
+    c, o = c.repartition(tasks, "c_custkey"), o.repartition(tasks, "o_custkey")
     return c.join(o, key == F.col("o_custkey"), "left").groupBy("c_custkey", "c_acctbal").agg(
         F.when(urgent.isNotNull() & (key % 4 == 0), "failed").otherwise("running").alias("status"), F.when(key % 8 == 0, urgent).alias("failed_stage"), F.when(n > 3, "max_iterations").alias("exceeded"),
         F.when(F.col("c_acctbal") > 0, n).alias("n_questions"), n.alias("n_candidates"), count(status == "P").alias("n_local"), F.when(n > 1, count(status == "F")).alias("n_ready"), F.when(n > 2, count(status == "O")).alias("n_objects"),
@@ -60,7 +62,7 @@ _ADMISSION = " UNION ALL ".join(
 @query(f"WITH {_STATES} {_ADMISSION}")
 def stage_admission(spark, sf):
     """F-18, L-09: for every run and stage the first need that isn't met."""
-    states = _states(spark, sf)
+    states = written(_states(spark, sf), "states")  # once, not for each stage
     parts = [runs.admitted(states, stage).select("run_id", F.lit(stage).alias("stage"), "need", "why") for stage in runs.STAGES]
     return reduce(DataFrame.unionAll, parts)
 
