@@ -37,35 +37,64 @@ class LedgerLimits:
 
 
 class RunLedger(StatefulProcessor):
-    """State of one run: open days by agent, tokens by agent, totals with the last day and whether it was told as spent."""
+    """State of one run, one value: open days by agent, tokens by agent, totals with the last day and whether it was told as spent.
+
+    Each access to state is a message to the store's process, so a run's is read and written once for its input of a batch
+    and once for all its timers that are due. A day has a timer, and so has the end of the idle days after it, if no other
+    open day comes before.
+    """
 
     def __init__(self, limits: LedgerLimits, idle: int):
         self.limits, self.idle = limits, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.days = handle.getMapState("days", "day long, agent string", "calls long, tokens long")
-        self.agents = handle.getMapState("agents", "agent string", "tokens long")
-        self.total = handle.getValueState("total", "calls long, tokens long, last long, told boolean")
+        self.handle, self.done = handle, None
+        self.state = handle.getValueState("run", "days array<long>, day_agents array<string>, day_calls array<long>, day_tokens array<long>, agents array<string>, agent_tokens array<long>, total struct<calls long, tokens long, last long, told boolean>")
+
+    def _read(self) -> None:
+        held = self.state.get()
+        self.days, self.agents, self.total = {}, {}, None
+        if held is not None:
+            days, day_agents, day_calls, day_tokens, agents, agent_tokens, total = held
+            self.days = {(d, a): (c, t) for d, a, c, t in zip(days, day_agents, day_calls, day_tokens, strict=True)}
+            self.agents, self.total = dict(zip(agents, agent_tokens, strict=True)), None if total is None else tuple(total)
+
+    def _write(self) -> None:
+        if not self.days and self.total is None:
+            self.state.clear()
+            return
+        cells = list(self.days.items())
+        self.state.update(([d for (d, _), _ in cells], [a for (_, a), _ in cells], [c for _, (c, _) in cells], [t for _, (_, t) in cells], list(self.agents), list(self.agents.values()), self.total))
+
+    def _timers(self) -> set[int]:
+        """The days at whose beginning the open days ask for a timer."""
+        days = sorted({d for d, _ in self.days})
+        ends = {d for n, d in enumerate(days) if n + 1 == len(days) or days[n + 1] > d + self.idle}
+        return {d + 1 for d in days} | {d + 1 + self.idle for d in ends}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = set()
+        self.done = None
+        self._read()
+        known = self._timers()
         for frame in rows:
-            for (day, agent), part in frame.groupby(["day", "agent"])["tokens"]:
-                at = (int(day), str(agent))
-                calls, tokens = self.days.getValue(at) if self.days.containsKey(at) else (0, 0)
-                self.days.updateValue(at, (calls + len(part), tokens + int(part.sum())))
-                seen.add(int(day))
-        for day in sorted(seen):
-            self.handle.registerTimer((day + 1) * DAY_MS)
-            self.handle.registerTimer((day + 1 + self.idle) * DAY_MS)
+            for (day, agent), n, tokens in frame.groupby(["day", "agent"])["tokens"].agg(["size", "sum"]).itertuples():
+                calls, before = self.days.get((int(day), str(agent)), (0, 0))
+                self.days[int(day), str(agent)] = (calls + int(n), before + int(tokens))
+        self._write()
+        for day in sorted(self._timers() - known):
+            self.handle.registerTimer(day * DAY_MS)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """All that is due by the timer, by days, so that the order in which timers come doesn't matter."""
-        now, said = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS, []
+        """All that is due by the watermark, by days, at the first of a run's timers; the others find it done."""
+        mark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        if self.done == (key, mark):
+            return
+        self.done = (key, mark)
+        now, said = mark // DAY_MS, []
+        self._read()
         waiting: dict[int, list[tuple[str, int, int]]] = {}
-        for (day, agent), (calls, tokens) in self.days.iterator():
+        for (day, agent), (calls, tokens) in self.days.items():
             waiting.setdefault(day, []).append((agent, calls, tokens))
         for day in sorted(waiting):
             self._close_if_idle(key, min(now, day), said)
@@ -74,15 +103,16 @@ class RunLedger(StatefulProcessor):
             self._add(key, day, waiting[day], said)
         else:
             self._close_if_idle(key, now, said)
+        self._write()
         if said:
             yield pd.DataFrame(said, columns=[c.split(" ")[0] for c in SAID.split(", ")])
 
     def _add(self, key, day: int, parts: list[tuple[str, int, int]], said: list) -> None:
-        calls, tokens, _, told = self.total.get() if self.total.exists() else (0, 0, 0, False)
+        calls, tokens, _, told = self.total or (0, 0, 0, False)
         for agent, n, t in parts:
             calls, tokens = calls + n, tokens + t
-            self.agents.updateValue((agent,), ((self.agents.getValue((agent,))[0] if self.agents.containsKey((agent,)) else 0) + t,))
-            self.days.removeKey((day, agent))
+            self.agents[agent] = self.agents.get(agent, 0) + t
+            del self.days[day, agent]
         if not told:
             agent, most = self._largest()
             limits = (("tokens", tokens >= self.limits.tokens), ("calls", calls >= self.limits.calls), ("agent_tokens", most >= self.limits.agent_tokens))
@@ -90,22 +120,20 @@ class RunLedger(StatefulProcessor):
             if reason:
                 said.append((key[0], "spent", reason, day, calls, tokens, agent))
                 told = True
-        self.total.update((calls, tokens, day, told))
+        self.total = (calls, tokens, day, told)
 
     def _close_if_idle(self, key, now: int, said: list) -> None:
-        if not self.total.exists():
+        if self.total is None:
             return
-        calls, tokens, last, told = self.total.get()
+        calls, tokens, last, told = self.total
         if last + 1 + self.idle > now:
             return
         if not told:
             said.append((key[0], "idle", None, last, calls, tokens, self._largest()[0]))
-        self.total.clear()
-        self.agents.clear()
+        self.agents, self.total = {}, None
 
     def _largest(self) -> tuple[str, int]:
-        agent, tokens = min(((a[0], t[0]) for a, t in self.agents.iterator()), key=lambda x: (-x[1], x[0]))
-        return agent, tokens
+        return min(self.agents.items(), key=lambda x: (-x[1], x[0]))
 
     def close(self) -> None:
         pass

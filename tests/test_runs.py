@@ -165,3 +165,49 @@ def test_no_calls(spark):
     spark.createDataFrame([], CALLS).write.parquet(folder)
     with ledgers.typed_state(spark):
         assert finished(ledgers.ledgers(spark.readStream.schema(CALLS).parquet(folder), LIMITS), "ledgers").select(F.count(F.lit(1))).first()[0] == 0
+
+
+def test_a_run_is_read_and_written_once_for_its_input_and_once_for_its_timers():
+    """However many days and agents: each access to state is a message."""
+    import pandas as pd
+
+    class Store:
+        def __init__(self):
+            self.value, self.calls, self.timers = None, 0, set()
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.update(None)
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+    class Clock:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+    store, run = Store(), ledgers.RunLedger(ledgers.LedgerLimits(tokens=10**9, calls=10**9, agent_tokens=10**9), 4)
+    run.init(store)
+    days = [d for d in range(60) if d < 20 or d >= 40]
+    run.handleInputRows(("r",), iter([pd.DataFrame([(d, f"a{a}", 5) for d in days for a in range(3)], columns=["day", "agent", "tokens"])]), None)
+    assert store.calls == 2
+    assert {t // ledgers.DAY_MS for t in store.timers} == {d + 1 for d in days} | {19 + 5, 59 + 5}
+    mark = Clock(100 * ledgers.DAY_MS)
+    said = pd.concat([f for t in sorted(store.timers) for f in run.handleExpiredTimer(("r",), mark, Clock(t))])
+    assert store.calls == 4 and store.value is None
+    assert said[["outcome", "day", "calls", "tokens", "agent"]].values.tolist() == [["idle", 19, 60, 300, "a0"], ["idle", 59, 120 // 2, 300, "a0"]]
