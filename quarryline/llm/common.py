@@ -48,6 +48,19 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task writes of a table whose number of rows is known beforehand, at most.
+TASK_ROWS = 1 << 17
+
+
+def gathered(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """`df`, which has at most `rows` rows and comes from a shuffle, in no more partitions than it needs.
+
+    Those are one for each `each` rows, but as many as there are cores, and never more than it has. So a step on few rows
+    costs neither a task nor a file for every shuffle partition, and one on many rows stays dealt out.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 #: Bytes of a batch that goes to a Python worker, at most; Spark's own bound is 64 MB, for either direction and each task.
 BATCH_BYTES = 4 << 20
 

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import ByteWords, bounded_batches, list_array, mix, read_table, row_key, shingle_hashes, slices, split_join, utf8, white_space, without_rows, written
+from quarryline.llm.common import ByteWords, bounded_batches, gathered, list_array, mix, read_table, row_key, shingle_hashes, slices, split_join, utf8, white_space, without_rows, written
 from quarryline.llm.components import connected
 
 WIDTH, K = 5, 64
@@ -40,6 +40,8 @@ WIDTH, K = 5, 64
 THRESHOLD = 75
 #: Ids of documents that are verified are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows with a sketch, and rows with whole sets, that a task works on at most, if their number is known beforehand.
+TASK_SKETCHES, TASK_SETS = 1 << 14, 1 << 12
 
 
 def shingle_set(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -109,34 +111,37 @@ def _sizes_fit(n1, n2, threshold: int):
     return (100 * F.least(n1, n2)) >= threshold * F.greatest(n1, n2)
 
 
-def prefixes(values: DataFrame, share_floor) -> DataFrame:
-    """Lists (v, id, n, place) of each document's rarest values, from rows (v, id, n, s); s: how many values the document has.
+def prefixes(values: DataFrame, share_floor, most: int) -> DataFrame:
+    """Lists (v, id, n, place) of each document's rarest values, from at most `most` rows (v, id, n, s); s: how many values the document has.
 
     `share_floor` maps s to the least number of values that a linked document shares; a document is listed under its
     s - share_floor + 1 rarest values. Values that one document has alone come first and are never listed.
     """
-    often = written(values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "often")
+    often = written(gathered(values.groupBy("v").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), most), "often")
     total = often.agg(F.sum("freq")).first()[0] or 0
     listed = split_join(values, often.withColumn("held", F.col("freq")), "v", total)
     mine = Window.partitionBy("id")
     place = F.col("s") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("freq", "v"))
-    return listed.select("v", "id", "n", "s", place.alias("place")).where(F.col("place") <= F.col("s") - share_floor(F.col("s")) + 1).select("v", "id", "n", "place")
+    kept = listed.select("v", "id", "n", "s", place.alias("place")).where(F.col("place") <= F.col("s") - share_floor(F.col("s")) + 1)
+    return gathered(kept.select("v", "id", "n", "place"), total)
 
 
 class _Linker:
-    """Verifies pairs of documents and keeps the links found so far."""
+    """Verifies pairs of documents and keeps the components that the links found so far give."""
 
     def __init__(self, reps: DataFrame, sets: DataFrame, k: int, threshold: int):
         self.reps, self.sets, self.k, self.threshold = reps, sets, k, threshold
-        self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
+        self.components: DataFrame | None = None
+        self.nodes = 0
 
-    def test(self, pairs: DataFrame) -> None:
-        """Adds the links among `pairs` (a, b), each pair once."""
+    def test(self, pairs: DataFrame, most: int | None = None) -> None:
+        """Adds the links among `pairs` (a, b; at most `most`, if known), each pair once."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = written(pairs if most is None else gathered(pairs, most), "pairs")
+        n = pairs.count()
         r = self.reps.select("id", "n", "sketch")
         both = pairs.join(r.toDF("a", "na", "ka"), "a").join(r.toDF("b", "nb", "kb"), "b")
         # the k smallest of the union; if both sketches are whole sets, this is the union itself
@@ -144,50 +149,62 @@ class _Linker:
         shared = F.size(F.array_intersect(F.array_intersect("ka", "kb"), union))
         whole = (F.col("na") <= self.k) & (F.col("nb") <= self.k) & (F.size(F.array_union("ka", "kb")) <= self.k)
         floor = F.when(whole, F.lit(self.threshold)).otherwise(F.lit(self.threshold - 25))
-        near = written(both.where(_sizes_fit(F.col("na"), F.col("nb"), self.threshold)).where(100 * shared >= floor * F.size(union)).select("a", "b", "na", "nb"), "near")
+        both = both.where(_sizes_fit(F.col("na"), F.col("nb"), self.threshold)).where(100 * shared >= floor * F.size(union))
+        near = written(gathered(both.select("a", "b", "na", "nb"), n, TASK_SKETCHES), "near")
         s = self.sets.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
         exact = near.join(s.toDF("a", "ia"), "a").join(s.toDF("b", "ib"), "b")
         common = F.size(F.array_intersect("ia", "ib"))
-        found = written(exact.where(100 * common >= self.threshold * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
-        self.links = found if self.links is None else self.links.unionAll(found)
+        exact = exact.where(100 * common >= self.threshold * (F.col("na") + F.col("nb") - common)).select("a", "b")
+        found = written(gathered(exact, near.count(), TASK_SETS), "links")
         self.tested = pairs if self.tested is None else self.tested.unionAll(pairs)
-
-    def placed(self, lists: DataFrame) -> DataFrame:
-        """The lists with each member's component, without lists that lie in one component; `major`: the list's largest component."""
-        comps = connected(self.links).withColumnRenamed("node", "id")
-        now = written(lists.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "placed")
+        new = found.count()
+        if new or self.components is None:
+            # the links so far count as their stars
+            edges = found if self.components is None else found.unionAll(self.components.where("node <> component").toDF("a", "b"))
+            self.components = connected(edges, rows=self.nodes + new)
+            self.nodes = self.components.count()
+
+    def placed(self, lists: DataFrame, total: int) -> DataFrame:
+        """The lists, of at most `total` rows, with each member's component, without lists that lie in one component; `major`: the list's largest component."""
+        comps = self.components.withColumnRenamed("node", "id")
+        now = written(gathered(lists.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), total), "placed")
         sizes = now.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
         major = sizes.groupBy("v").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("held")).where("comps > 1").select("v", F.col("top.comp").alias("major"), "held")
-        return written(split_join(now, written(major, "major"), "v", now.count()), "open")
+        return written(gathered(split_join(now, written(gathered(major, total), "major"), "v", total), total), "open")
 
 
 def led(rows: DataFrame, order, total: int) -> DataFrame:
     """The rows of lists with `lead`, the least of `order` in their list."""
-    leaders = written(rows.groupBy("v").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("held")), "leaders")
+    leaders = written(gathered(rows.groupBy("v").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("held")), total), "leaders")
     return split_join(rows, leaders, "v", total)
 
 
-def links_of(docs: DataFrame, reps: DataFrame, width: int, k: int, threshold: int) -> DataFrame:
-    """Links (a, b) that give the components of `reps` (id, n, sketch)."""
+def components_of(docs: DataFrame, reps: DataFrame, most: int, width: int, k: int, threshold: int) -> DataFrame:
+    """The components (node, component) of `reps` (id, n, sketch), at most `most` rows."""
     values = reps.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    lists = written(prefixes(values, lambda s: F.ceil(s / 2)), "lists")
+    lists = written(prefixes(values, lambda s: F.ceil(s / 2), k * most), "lists")
     total = lists.count()
     listed = lists.select("id").distinct()
-    sets = written(whole_sets(docs, reps.join(listed, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
+    sets = whole_sets(docs, reps.join(listed, "id", "left_semi"), width).dropDuplicates(["id"])
+    sets = written(gathered(sets, most, TASK_SETS), "sets")
     linker = _Linker(reps, sets, k, threshold)
     with_lead = led(lists, F.struct("id", "n"), total)
-    linker.test(with_lead.where(_sizes_fit(F.col("n"), F.col("lead.n"), threshold)).select(F.col("lead.id").alias("a"), F.col("id").alias("b")))
-    open_lists = linker.placed(lists)
+    linker.test(with_lead.where(_sizes_fit(F.col("n"), F.col("lead.n"), threshold)).select(F.col("lead.id").alias("a"), F.col("id").alias("b")), total)
+    open_lists = linker.placed(lists, total)
     for round_ in range(2):  # other leaders, of the largest component of each list
+        total = open_lists.count()
+        if not total:
+            return linker.components
         order = F.struct(F.xxhash64("v", "id", F.lit(round_)).alias("h"), "id", "n")
-        leaders = written(open_lists.groupBy("v").agg(F.min(F.when(F.col("comp") == F.col("major"), order)).alias("lead"), F.count(F.lit(1)).alias("held")), "leaders")
+        leaders = open_lists.groupBy("v").agg(F.min(F.when(F.col("comp") == F.col("major"), order)).alias("lead"), F.count(F.lit(1)).alias("held"))
+        leaders = written(gathered(leaders, total), "leaders")
         rest = split_join(open_lists.where("comp <> major"), leaders, "v", total).where(_sizes_fit(F.col("n"), F.col("lead.n"), threshold))
-        linker.test(rest.select(F.col("lead.id").alias("a"), F.col("id").alias("b")))
-        still = written(open_lists.groupBy("v").agg(F.count(F.lit(1)).alias("held")), "still")
-        open_lists = linker.placed(split_join(lists, still, "v", total, "left_semi"))
+        linker.test(rest.select(F.col("lead.id").alias("a"), F.col("id").alias("b")), total)
+        open_lists = linker.placed(open_lists.select("v", "id", "n", "place"), total)
     again = open_lists.select("id", "n").distinct()
     from_sets = again.join(sets, "id").select("id", "n", F.col("n").alias("s"), F.explode("items").alias("v"))
-    finer = linker.placed(written(prefixes(from_sets, lambda s: F.ceil(s * threshold / 100)), "finer"))
+    finer = written(prefixes(from_sets, lambda s: F.ceil(s * threshold / 100), again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "finer")
+    finer = linker.placed(finer, finer.count())
     rest = finer.where("comp <> major").select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"))
     every = finer.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"))
     # where the first shared value stands, the rest of both sets must still be enough for the overlap that a link needs
@@ -195,15 +212,16 @@ def links_of(docs: DataFrame, reps: DataFrame, width: int, k: int, threshold: in
     enough = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed
     cross = rest.join(every, "v").where((F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), threshold) & enough)
     linker.test(cross.select("a", "b"))
-    return linker.links
+    return linker.components
 
 
-def representatives(sketched: DataFrame) -> DataFrame:
-    """One row per set: id (unique), doc_id and h of one of its rows, held (how many it has), sketch, and what tells it apart."""
+def representatives(sketched: DataFrame, most: int) -> DataFrame:
+    """One row per set of at most `most` rows: id (unique), doc_id and h of one of its rows, held (how many it has), sketch, and what tells it apart."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h"))
     reps = sketched.where("n > 0").groupBy(*SET).agg(first.alias("row"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("held"))
-    reps = written(reps.select(*SET, "sketch", "held", "row.doc_id", "row.h"), "reps")
-    shared = written(reps.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.struct("doc_id").alias("shared")), "shared")
+    reps = written(gathered(reps.select(*SET, "sketch", "held", "row.doc_id", "row.h"), most, TASK_SKETCHES), "reps")
+    shared = reps.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.struct("doc_id").alias("shared"))
+    shared = written(gathered(shared, most), "shared")
     if shared.isEmpty():
         return reps.withColumn("id", F.col("doc_id"))
     found = reps.join(shared, F.col("doc_id").eqNullSafe(F.col("shared.doc_id")), "left")
@@ -213,19 +231,23 @@ def representatives(sketched: DataFrame) -> DataFrame:
 def members(docs: DataFrame, width: int = WIDTH, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, h, n and comp of every row: `comp` stands for the row's component, null without words."""
     sketched = written(sketches(docs, width, k), "sketches")
-    reps = representatives(sketched)
-    found = connected(links_of(docs, reps, width, k, threshold)).withColumnRenamed("node", "id")
-    placed = written(reps.select("id", "held", *SET).join(found, "id", "left").select(*SET, "held", F.coalesce("component", "id").alias("comp")), "placed")
+    rows = sketched.count()
+    reps = representatives(sketched, rows)
+    found = components_of(docs, reps, rows, width, k, threshold).withColumnRenamed("node", "id")
+    placed = reps.select("id", "held", *SET).join(found, "id", "left").select(*SET, "held", F.coalesce("component", "id").alias("comp"))
+    placed = written(gathered(placed, rows), "placed")
     own = sketched.select("doc_id", "h", *SET)
-    linked = split_join(own.where("n > 0"), placed, SET, sketched.count()).select("doc_id", "h", "n", "comp")
-    return linked.unionByName(own.where("n = 0").select("doc_id", "h", "n", F.lit(None).cast("long").alias("comp")))
+    linked = split_join(own.where("n > 0"), placed, SET, rows).select("doc_id", "h", "n", "comp")
+    return gathered(linked.unionByName(own.where("n = 0").select("doc_id", "h", "n", F.lit(None).cast("long").alias("comp"))), rows)
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, k: int = K, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = written(members(docs, width, k, threshold), "members")
-    least = written(rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")), "least")
-    linked = split_join(rows.where("comp IS NOT NULL"), least, "comp", rows.count()).select("doc_id", "n", F.col("least").alias("component"))
+    total = rows.count()
+    least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held"))
+    least = written(gathered(least, total), "least")
+    linked = split_join(rows.where("comp IS NOT NULL"), least, "comp", total).select("doc_id", "n", F.col("least").alias("component"))
     out = linked.unionByName(rows.where("comp IS NULL").select("doc_id", "n", F.col("doc_id").alias("component")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -234,9 +256,10 @@ def without_copies(docs: DataFrame, width: int = WIDTH, k: int = K, threshold: i
     """`docs` with one row of each component: that with the smallest id, of several such rows that with the smallest text hash."""
     rows = written(members(docs, width, k, threshold).where("comp IS NOT NULL"), "members")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
-    keys = written(rows.groupBy("comp", "doc_id", "h").agg(F.count(F.lit(1)).alias("times")), "keys")
-    best = written(keys.groupBy("comp").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("held")), "best")
-    judged = split_join(keys, best, "comp", keys.count()).withColumn("stays", F.col("best").eqNullSafe(order))
+    total = rows.count()
+    keys = written(gathered(rows.groupBy("comp", "doc_id", "h").agg(F.count(F.lit(1)).alias("times")), total), "keys")
+    best = written(gathered(keys.groupBy("comp").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("held")), total), "best")
+    judged = split_join(keys, best, "comp", total).withColumn("stays", F.col("best").eqNullSafe(order))
     return without_rows(docs, judged.where("NOT stays"), judged.where("stays AND times > 1"))
 
 

@@ -265,3 +265,28 @@ def test_two_copies_count_twice(spark):
     t = license_scan.TEMPLATES["MIT/notice"]
     d = spark.createDataFrame([(1, t + " filler" * 50 + " " + t)], "doc_id long, text string")
     assert [(r.license, r.n_matches) for r in license_scan.scan(d).collect()] == [("MIT/notice", 2)]
+
+
+def test_few_links_cost_few_files(spark, monkeypatch):
+    rows, files, keep = made_up(5), [], {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keep}
+
+    def counted(df, name="step", write=near_dedup.written):
+        out = write(df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "written", counted)
+    try:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        out = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(4))
+        assert {tuple(r) for r in out.collect()} == brute_components(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # only the pairs of still open lists, whose number isn't known beforehand, may have a file for each shuffle partition
+    assert sum(n > spark.sparkContext.defaultParallelism for _, n in files) <= 1
+    # links are judged once, and stars are not gone over again
+    assert len(files) < 80
