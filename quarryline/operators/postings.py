@@ -45,6 +45,8 @@ PLACE_BITS = 13
 BUCKETS, SPREAD = 64, 16
 #: Questions that are answered together, and parts in which each looks first.
 QUESTIONS, FIRST = 250, 4
+#: Texts that are Python strings at a time, and questions whose scores are held at a time in a part.
+TEXTS_AT_ONCE, QUESTIONS_AT_ONCE = 500, 25
 #: Distinct words of a block of questions that are broadcast; more are joined by shuffle.
 BROADCAST_WORDS = 1_000_000
 #: What the arms read of an object besides its words.
@@ -135,7 +137,7 @@ def _rows(objects: DataFrame, segment: int, carried: list[str], part_objects: in
                 yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.nulls(n, object_field.type), *(x.slice(at, n).cast(f.type) for x, f in zip(arrays, block_fields, strict=True))], schema=fields)
 
         first, seq, part = (segment << 44) | (TaskContext.get().partitionId() << 20), 0, _Part()
-        for batch in batches:
+        for batch in (b.slice(k, TEXTS_AT_ONCE) for b in batches for k in range(0, b.num_rows, TEXTS_AT_ONCE)):
             texts = [batch.column(i).to_pylist() for i in (1, 2, 3)]
             at = 0
             while at < batch.num_rows:
@@ -392,35 +394,44 @@ LEXICAL = (1.0, 0.8, 0.6, 0.4)
 
 
 def _matcher(rows: list, carried: list[str], limit: int, lexical: bool):
-    """A function that gives each question's best objects of a part, by lexical score or by matching words of the body."""
-    asked, sizes = _by_term(rows), np.array([len(r.terms) for r in rows], np.int64)
+    """A function that gives each question's best objects of a part, by lexical score or by matching words of the body.
+
+    Scores are held for QUESTIONS_AT_ONCE questions at a time, so a task's memory doesn't grow with all questions.
+    """
+    blocks = [(at, _by_term(rows[at : at + QUESTIONS_AT_ONCE]), [len(r.terms) for r in rows[at : at + QUESTIONS_AT_ONCE]]) for at in range(0, len(rows), QUESTIONS_AT_ONCE)]
     filters = [(r.kinds, r.paper_ids, r.min_confidence) for r in rows]
 
     def match(table):
         import pyarrow as pa
 
         own, held = _halves(table)
-        names, bodies = (np.zeros((len(sizes), own.num_rows), np.int32) for _ in range(2))
-        for term, at, _, marks in held:
-            q = asked[term][0]
-            names[q[:, None], at] += marks & 1
-            bodies[q[:, None], at] += marks >> 1
-        if lexical:
-            column = lambda c: own[c].to_numpy(zero_copy_only=False).astype(np.float64)
-            share = np.maximum(sizes, 1)[:, None]
-            parts = (names / share, bodies / share, column("confidence")[None], np.minimum(column("n_evidence") / 3, 1.0)[None])
-            score = _rounded(np.minimum(sum(v * w for v, w in zip(parts, LEXICAL, strict=True)) / sum(LEXICAL), 1.0))
-            for q, (kinds, papers, least) in enumerate(filters):
-                for allowed, c in ((kinds, "kind"), (papers, "paper_id")):
-                    if allowed:
-                        score[q, ~np.isin(np.array(own[c].to_pylist(), object), allowed)] = 0
-                if least is not None:
-                    score[q, column("confidence") < least] = 0
-        else:
-            score = bodies.astype(np.float64)
-        q, at = _best(score, own["id"].to_pylist(), limit) if own.num_rows else (np.zeros(0, np.int64),) * 2
-        numbers = {"score": score[q, at], "in_name": pa.array(names[q, at], pa.int32()), "in_body": pa.array(bodies[q, at], pa.int32()), "n_terms": pa.array(sizes[q], pa.int32())}
-        return pa.table({"q": pa.array(q, pa.int32()), **{c: own[c].take(pa.array(at)) for c in ["id", *carried]}, **numbers})
+        ids = own["id"].to_pylist()
+
+        def best(first: int, asked: dict, sizes: np.ndarray):
+            names, bodies = (np.zeros((len(sizes), own.num_rows), np.int32) for _ in range(2))
+            for term, at, _, marks in held:
+                if term in asked:
+                    q = asked[term][0]
+                    names[q[:, None], at] += marks & 1
+                    bodies[q[:, None], at] += marks >> 1
+            if lexical:
+                column = lambda c: own[c].to_numpy(zero_copy_only=False).astype(np.float64)
+                share = np.maximum(sizes, 1)[:, None]
+                parts = (names / share, bodies / share, column("confidence")[None], np.minimum(column("n_evidence") / 3, 1.0)[None])
+                score = _rounded(np.minimum(sum(v * w for v, w in zip(parts, LEXICAL, strict=True)) / sum(LEXICAL), 1.0))
+                for q, (kinds, papers, least) in enumerate(filters[first : first + len(sizes)]):
+                    for allowed, c in ((kinds, "kind"), (papers, "paper_id")):
+                        if allowed:
+                            score[q, ~np.isin(np.array(own[c].to_pylist(), object), allowed)] = 0
+                    if least is not None:
+                        score[q, column("confidence") < least] = 0
+            else:
+                score = bodies.astype(np.float64)
+            q, at = _best(score, ids, limit) if own.num_rows else (np.zeros(0, np.int64),) * 2
+            numbers = {"score": score[q, at], "in_name": pa.array(names[q, at], pa.int32()), "in_body": pa.array(bodies[q, at], pa.int32()), "n_terms": pa.array(sizes[q], pa.int32())}
+            return pa.table({"q": pa.array(first + q, pa.int32()), **{c: own[c].take(pa.array(at)) for c in ["id", *carried]}, **numbers})
+
+        return pa.concat_tables([best(first, asked, np.array(sizes, np.int64)) for first, asked, sizes in blocks])
 
     return match
 

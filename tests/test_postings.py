@@ -130,3 +130,23 @@ def test_an_index_of_nothing(spark):
     questions = spark.createDataFrame([(1, "some words")], "query_id int, text string")
     assert index.size() == (2, 0.0) and postings.bm25(index, questions).count() == 0 and postings.lexical(index, questions).count() == 2
     assert postings.evidence_search(index, questions).count() == 0 and postings.bm25(index, questions.limit(0)).count() == 0
+
+
+def test_scores_of_a_part_are_held_for_few_questions_at_a_time(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    n, q = 4000, 200
+    packed = lambda k: (np.arange(k, n, 7) | 2 << postings.PLACE_BITS).astype(np.int64).tobytes()
+    objects = [{"id": f"d{i}", "place": i, "confidence": 0.5, "n_evidence": i % 4, "kind": "method", "paper_id": "p"} for i in range(n)]
+    table = pa.Table.from_pylist(objects + [{"term": f"t{k}", "postings": packed(k)} for k in range(7)], schema=pa.schema([("id", pa.string()), ("place", pa.int32()), ("confidence", pa.float64()), ("n_evidence", pa.int64()), ("kind", pa.string()), ("paper_id", pa.string()), ("term", pa.string()), ("postings", pa.binary())]))
+    rows = [SimpleNamespace(terms=[SimpleNamespace(term=f"t{i % 7}", times=1)], kinds=["method"] if i % 3 else None, paper_ids=None, min_confidence=None) for i in range(q)]
+    tracemalloc.start()
+    out = postings._matcher(rows, ["confidence"], 10, True)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * q  # one matrix of doubles for all questions
+    monkeypatch.setattr(postings, "QUESTIONS_AT_ONCE", q)
+    assert out.to_pylist() == postings._matcher(rows, ["confidence"], 10, True)(table).to_pylist()
