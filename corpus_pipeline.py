@@ -17,7 +17,10 @@ from quarryline.llm.common import bounded_batches, read_table, renamed, written
 #: A prediction below this probability counts as no language.
 LEAST_SCORE = 0.5
 #: Words that a worker of the encoder remembers: fewer than it would alone, as the workers also hold what other stages left.
-REMEMBERED = 80_000
+REMEMBERED = 40_000
+#: Bytes of a batch that goes to a Python worker, at most: its buffers outside the heap grow by doubling, and what they have
+#: taken stays with the executor through all stages.
+BATCH_BYTES = 1 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +29,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go. Very long texts are read whole; repeated rows, rows without an id and ties fare alike, as
     only the text counts. An empty table stays empty; with no labelled row at all no language is known, and all rows go.
     """
+    docs = bounded_batches(docs, BATCH_BYTES)
     guess = language_id.guess(language_id.fit(language_id.labelled(docs)))
     rows, names, old = renamed(docs)
-    said = bounded_batches(rows).withColumn("guess", guess(names["text"]))
+    said = rows.withColumn("guess", guess(names["text"]))
     return said.where((F.col("guess.lang_pred") != "und") & (F.col("guess.score") >= LEAST_SCORE)).select(*old)
 
 
@@ -47,7 +51,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and white-space texts are linked with nothing and stay. A row without an id stays only where its
     component has no row with one. Rows that repeat id and text are one row afterwards. An empty table stays empty.
     """
-    return near_dedup.without_copies(docs)
+    return near_dedup.without_copies(bounded_batches(docs, BATCH_BYTES))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +60,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts stay, and so does everything if the benchmark is empty; each row is judged by its own text,
     however long and however often it stands there. An empty table stays empty.
     """
-    return decontamination.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontamination.without_contaminated(bounded_batches(docs, BATCH_BYTES), read_table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +69,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids and round_trip true. Every row is encoded whole, also repeated ones and those
     without an id. An empty table stays empty.
     """
-    rows, names, _ = renamed(docs.drop("ids", "n_tokens", "round_trip"))
+    rows, names, _ = renamed(bounded_batches(docs, BATCH_BYTES).drop("ids", "n_tokens", "round_trip"))
     out = sentencepiece.encoded(rows.withColumn(names["text"], F.col(names["text"]).cast("string")).withColumnRenamed(names["text"], "text"), remembered=REMEMBERED)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     kept = [F.col("text") if c == "text" else F.col(n).alias(c) for c, n in names.items()]

@@ -65,12 +65,12 @@ def gathered(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
 BATCH_BYTES = 4 << 20
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
+def bounded_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
     """`df`, with the session's batches to Python workers bounded; a smaller bound is left as it is."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     held = re.match(r"\d+", str(df.sparkSession.conf.get(key)))
-    if not held or not 0 < int(held[0]) <= BATCH_BYTES:
-        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    if not held or not 0 < int(held[0]) <= most:
+        df.sparkSession.conf.set(key, str(most))
     return df
 
 

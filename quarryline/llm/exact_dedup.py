@@ -85,7 +85,8 @@ class DigestIndex:
 
     def read(self) -> DataFrame:
         if not self.made:
-            return self.spark.createDataFrame([], "digest binary, keep_id long, keep_h long, n_points long")
+            # rows of Python's, even none, would start Python workers
+            return self.spark.range(0).selectExpr("CAST(null AS BINARY) AS digest", "CAST(null AS LONG) AS keep_id", "CAST(null AS LONG) AS keep_h", "CAST(null AS LONG) AS n_points")
         return self.spark.table(self.table)
 
     def append(self, groups: DataFrame, rows: int) -> None:

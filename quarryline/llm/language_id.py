@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,8 +124,6 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS, smoothing: float = 0
         return LanguageModel((), np.zeros((0, BUCKETS)), np.zeros(0))
 
     def gather(batches):
-        import pyarrow as pa
-
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             names, number = np.unique(langs, return_inverse=True)
@@ -152,11 +150,11 @@ def guess(model: LanguageModel):
     """A column function: (lang_pred, score) of a text; the model is broadcast."""
     known = SparkSession.active().sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        best, share = known.value.scores(texts.tolist())
+    @F.arrow_udf("lang_pred string, score double")
+    def predicted(texts: pa.Array) -> pa.Array:
+        best, share = known.value.scores(texts.to_pylist())
         names = np.array([*known.value.languages, "und"], object)
-        return pd.DataFrame({"lang_pred": names[best], "score": share})
+        return pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(share, pa.float64())], ["lang_pred", "score"])
 
     return lambda text: predicted(F.col(text).cast("string"))
 

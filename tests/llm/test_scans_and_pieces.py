@@ -332,6 +332,21 @@ def test_stages_that_judge_rows_alone(spark, sf_dir):
     assert corpus_pipeline.language(spark, d.limit(0), sf_dir).count() == corpus_pipeline.encoded(spark, d.limit(0), sf_dir).count() == 0
 
 
+def test_stages_leave_little_in_an_executor(spark, sf_dir):
+    import corpus_pipeline
+
+    from quarryline.llm import exact_dedup
+
+    # an empty index is not made of rows of Python's, which need workers of their own
+    assert "ExistingRDD" not in exact_dedup.DigestIndex.create(spark).read()._jdf.queryExecution().toString()
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50).coalesce(1)
+    for stage in (corpus_pipeline.near, corpus_pipeline.decontaminated, corpus_pipeline.encoded, corpus_pipeline.language):
+        spark.conf.unset(key)
+        assert stage(spark, docs, sf_dir).count() > 0
+        assert int(spark.conf.get(key)) <= 1 << 20, stage
+
+
 # --- robustness of scans and surrogates ---
 
 
